@@ -101,13 +101,12 @@ def near_links(num: int, den: int, slack: float) -> Callable[[pd.DataFrame, pd.D
     return links
 
 
-def compare(members: DataFrame, link: Callable, block: int = BLOCK) -> DataFrame:
-    """``members``: fam, node and what ``link`` reads. Returns edges (a, b): in each group a forest of the links found.
+def compare(members: DataFrame, sizes: DataFrame, link: Callable, block: int = BLOCK) -> DataFrame:
+    """``members``: fam, node and what ``link`` reads; ``sizes``: fam, size. Returns edges (a, b): in each group a forest of the links found.
 
     The number of groups follows the rows; a group holds at most 2 * block members of one family.
     """
     spark = members.sparkSession
-    sizes = cut(members.groupBy("fam").agg(F.count("*").alias("size")), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     groups = max(spark.sparkContext.defaultParallelism * 4, total // (4 * block))
     blocks = F.ceil(F.col("size") / block).cast("int")

@@ -81,9 +81,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, sla
     # one document of each class in a family gives the full set
     wanted = cut(classes.join(fam.withColumnRenamed("node", "cls"), "cls").select("cls", "least", "n", "regs", F.col("comp").alias("fam")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"))
-    sets = full_sets(texts.join(wanted.select("least").distinct(), "least", "left_semi"), k).dropDuplicates(["cls"])
+    sets = full_sets(texts.join(wanted.select("least").distinct().hint("merge"), "least", "left_semi"), k).dropDuplicates(["cls"])
     members = wanted.join(sets, "cls").select("fam", F.col("cls").alias("node"), "n", "regs", "shingles")
-    links = cut(compare(members, near_links(num, den, slack)), "links")
+    sizes = cut(wanted.groupBy("fam").agg(F.count("*").alias("size")), "sizes")
+    links = cut(compare(members, sizes, near_links(num, den, slack)), "links")
     reached = components(links).select(F.col("node").alias("cls"), "comp")
     named = classes.select("cls", "least").join(reached, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
