@@ -5,11 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def _bucket(column: str, parts: int):  # noqa: ANN202
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("_doc").alias("p_text"), F.col("_site").alias("p_site"), F.col("_good").alias("p_good"), F.col("_kept").alias("kept"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_bucket("doc_id", 5) == 0, F.lit(True)))
+    train = docs.where("not held_out and lang is not null and text is not null").select("text", "lang")
+    return identify(docs.select("doc_id", "held_out", "text"), train)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_bucket("doc_id", 3) == 1, F.lit(True)))
+    labels = _read(spark, sf_dir, "labels").where(_bucket("doc_id", 3) != 1)
+    out = score(docs, train(docs.where("not held_out"), labels))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int")).select("doc_id", "held_out", "score", "predicted", "offending")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
+
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
