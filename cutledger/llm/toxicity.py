@@ -16,6 +16,8 @@ from .words import Words, chunks, text_bytes
 SAMPLE = 6000
 #: Words are features if that many of the sampled distinct texts hold them; the most telling ones stay.
 LEAST_TEXTS, MOST_WORDS = 5, 20_000
+#: Besides a word, its first bytes are a feature of their own (for words that are longer).
+PREFIX = 6
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
 
@@ -45,8 +47,8 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return words, np.cumsum(new) - 1, owner[first], first
 
 
-def fit(bags: list[np.ndarray], toxic: np.ndarray, rounds: int = 250, ridge: float = 2e-3) -> Model:
-    """``bags``: for each text an array of (sentence, word hash) rows. Minimises the loss of noisy-or of sentences."""
+def fit(bags: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, ridge: float = 2e-4) -> Model:
+    """``bags``: for each text an array of (sentence, feature hash) rows. Minimises the loss of noisy-or of sentences."""
     if not len(bags) or toxic.min() == toxic.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0 if not len(bags) or not toxic.max() else 0.0)
     sizes = [len(b) for b in bags]
@@ -87,13 +89,10 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, rounds: int = 250, ridge: flo
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches):
-        words, sent, sent_doc, first = sentences(part.column("text"))
-        cut = words.first
-        at = cut.astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("toxic"), part.column("key"), pa.ListArray.from_arrays(at, sent.astype(np.int32)), pa.ListArray.from_arrays(at, words.hash.astype(np.int64))],
-            names=["toxic", "key", "sent", "word"],
-        )
+        words, sent, _, _ = sentences(part.column("text"))
+        at = words.first.astype(np.int32)
+        arrays = [pa.ListArray.from_arrays(at, x.astype(t)) for x, t in ((sent, np.int32), (words.hash, np.int64), (words.prefixes(PREFIX), np.int64))]
+        yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("key"), *arrays], names=["toxic", "key", "sent", "word", "prefix"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -101,10 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     rows = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").select("text", "toxic", F.xxhash64("text").alias("key"))
-    got = rows.mapInArrow(_bags, "toxic int, key long, sent array<int>, word array<long>").toPandas()
+    got = rows.mapInArrow(_bags, "toxic int, key long, sent array<int>, word array<long>, prefix array<long>").toPandas()
     mean = got.groupby("key")["toxic"].mean()
     got = got.drop_duplicates("key").sort_values("key")
-    bags = [np.stack([np.asarray(s, np.uint64), np.asarray(w, np.int64).view(np.uint64)], 1) for s, w in zip(got["sent"], got["word"], strict=True)]
+    bags = []
+    for s, w, x in zip(got["sent"], got["word"], got["prefix"], strict=True):
+        rows = np.stack([np.tile(np.asarray(s, np.uint64), 2), np.concatenate([w, x]).astype(np.int64).view(np.uint64)], 1)
+        bags.append(rows[rows[:, 1] != 0])
     toxic = (mean[got["key"]].to_numpy() >= 0.5).astype(int)
     return fit(bags, toxic)
 
@@ -123,9 +125,12 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             words, sent, sent_doc, first = sentences(texts)
             z = np.full(len(first), model.bias)
             if len(model.words) and len(words.hash):
-                at = np.minimum(np.searchsorted(model.words, words.hash), len(model.words) - 1)
-                hit = model.words[at] == words.hash
-                cell = np.unique(sent[hit] * len(model.words) + at[hit])
+                cells = []
+                for sign in (words.hash, words.prefixes(PREFIX)):
+                    at = np.minimum(np.searchsorted(model.words, sign), len(model.words) - 1)
+                    hit = model.words[at] == sign
+                    cells.append(sent[hit] * len(model.words) + at[hit])
+                cell = np.unique(np.concatenate(cells))
                 z += np.bincount(cell // len(model.words), model.weights[cell % len(model.words)], len(first))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             p = np.minimum(p, 1 - 1e-12)

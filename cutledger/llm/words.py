@@ -73,7 +73,7 @@ class Words:
         edge[offsets] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:-1]
-        self.offsets = offsets
+        self.data, self.offsets = data, offsets
         self.start = np.flatnonzero(begins)
         within = np.flatnonzero(inside)
         lens = np.diff(np.append(np.searchsorted(within, self.start), len(within)))
@@ -88,6 +88,18 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """A hash of the first ``size`` bytes of each word; 0 for words of no more than ``size`` bytes."""
+        out = np.zeros(len(self.hash), np.uint64)
+        some = np.flatnonzero(self.end - self.start > size)
+        p = powers(size)
+        with np.errstate(over="ignore"):
+            total = np.full(len(some), np.uint64(size) * np.uint64(0xA24BAED4963EE407))
+            for j in range(size):
+                total += _BYTE[LOWER[self.data[self.start[some] + j]]] * p[j]
+        out[some] = mix(total)
+        return out
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash at each word for the k words from it, and whether those are all of one text."""
         n = len(self.hash)
