@@ -22,6 +22,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_doc").alias("p_text"), F.col("_site").alias("p_site"), F.col("_good").alias("p_good"), F.col("_kept").alias("kept"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated
+
+    return repeated(_read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -39,6 +45,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int")).select("doc_id", "held_out", "score", "predicted", "offending")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every text, made of the text itself: its middle in capitals, a repeat at a hashed place, its start cut."""
+    from .token_counts import counts
+
+    text = F.coalesce("text", F.lit(""))
+    size = F.length(text)
+    half = F.floor(size / 2).cast("int")
+    place = F.pmod(F.crc32(text), size + 1).cast("int")
+    edit = lambda a, b, t: F.struct(a.alias("start"), b.alias("finish"), t.alias("added"))
+    edits = F.array(edit(half, half + 40, F.upper(F.substring(text, half + 1, F.lit(40)))), edit(place, place, F.substring(text, 1, 30)), edit(F.lit(0), F.lit(7), F.lit("")))
+    docs = _read(spark, sf_dir, "documents")
+    return counts(docs.select("doc_id", "text", edits.alias("edits")), RANKS)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
