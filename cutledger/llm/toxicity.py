@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .words import Words, chunks, text_bytes
 
 #: Labelled documents that the model is fitted on at most (those with the least hash of doc_id).
@@ -47,68 +48,91 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return words, np.cumsum(new) - 1, owner[first], first
 
 
-def fit(bags: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, ridge: float = 2e-4) -> Model:
-    """``bags``: for each text an array of (sentence, feature hash) rows. Minimises the loss of noisy-or of sentences."""
-    if not len(bags) or toxic.min() == toxic.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0 if not len(bags) or not toxic.max() else 0.0)
-    sizes = [len(b) for b in bags]
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    rows = np.concatenate(bags)
-    vocabulary, which = np.unique(rows[:, 1], return_inverse=True)
-    pair = np.unique(doc * len(vocabulary) + which)
-    seen = np.bincount(pair % len(vocabulary), minlength=len(vocabulary))
-    bad = np.bincount(pair[toxic[pair // len(vocabulary)] == 1] % len(vocabulary), minlength=len(vocabulary))
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    lean = np.log((bad + 0.5) / (n1 + 1)) - np.log((seen - bad + 0.5) / (n0 + 1))
-    use = np.flatnonzero(seen >= LEAST_TEXTS)
-    use = np.sort(use[np.argsort(-np.abs(lean[use]) * np.sqrt(seen[use]), kind="stable")[:MOST_WORDS]])
-    column = np.full(len(vocabulary), -1)
-    column[use] = np.arange(len(use))
-    sent_key, sent = np.unique(doc * (1 << 32) + rows[:, 0].astype(np.int64), return_inverse=True)
-    sent_doc = (sent_key >> 32).astype(np.int64)
-    ok = column[which] >= 0
-    cells = np.unique(sent[ok] * len(use) + column[which[ok]]) if len(use) else np.zeros(0, np.int64)
-    sent_of, word_of = cells // max(len(use), 1), cells % max(len(use), 1)
+def fit(sent_doc: np.ndarray, sent_of: np.ndarray, word_of: np.ndarray, lean: np.ndarray, toxic: np.ndarray, rounds: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias, by minimising the loss of the noisy-or of sentences.
+
+    ``sent_doc``: the text of each sentence; ``sent_of``, ``word_of``: sentence and feature of each distinct pair;
+    ``lean``: log ratio of each feature's shares among toxic and other texts, from where the weights start.
+    """
+    n, words, bags = len(sent_doc), len(lean), len(toxic)
     order = np.argsort(word_of, kind="stable")
-    weight, bias = np.clip(lean[use], -1, 3), -5.0
-    m1 = m2 = 0.0
-    theta = np.append(weight, bias)
-    y = toxic[sent_doc]
+    by_word, sent_by_word = word_of[order], sent_of[order]
+    y = toxic[sent_doc] == 1
+    theta = np.append(np.clip(lean, -1, 3), -5.0)
+    m1 = m2 = np.zeros(words + 1)
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(sent_of, theta[word_of], len(sent_key))
+        z = theta[-1] + np.bincount(sent_of, theta[word_of], n)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
-        clean = np.exp(np.bincount(sent_doc, np.log1p(-p), len(bags)))
-        pull = np.where(y == 1, -(clean / np.maximum(1 - clean, 1e-9))[sent_doc], 1.0) * p
-        grad = np.append(np.bincount(word_of[order], pull[sent_of[order]], len(use)), pull.sum()) / len(bags)
-        grad[:-1] += ridge * theta[:-1] / np.sqrt(len(bags))
+        clean = np.exp(np.bincount(sent_doc, np.log1p(-p), bags))
+        pull = np.where(y, -(clean / np.maximum(1 - clean, 1e-9))[sent_doc], 1.0) * p
+        grad = np.append(np.bincount(by_word, pull[sent_by_word], words), pull.sum()) / bags
+        grad[:-1] += ridge * theta[:-1] / np.sqrt(bags)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta = theta - 0.08 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
-    big = np.abs(theta[:-1]) > 1e-3
-    return Model(vocabulary[use][big].astype(np.uint64), theta[:-1][big], float(theta[-1]))
+    return theta[:-1], float(theta[-1])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct features of each text."""
     for part in chunks(batches):
-        words, sent, _, _ = sentences(part.column("text"))
-        at = words.first.astype(np.int32)
-        arrays = [pa.ListArray.from_arrays(at, x.astype(t)) for x, t in ((sent, np.int32), (words.hash, np.int64), (words.prefixes(PREFIX), np.int64))]
-        yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("key"), *arrays], names=["toxic", "key", "sent", "word", "prefix"])
+        words = Words(part.column("text"), alnum=True)
+        both = (words.hash, words.prefixes(PREFIX))
+        rows = [np.unique(np.concatenate([x[a:b] for x in both])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([r[r != 0].astype(np.int64) for r in rows], pa.list_(pa.int64()))], names=["toxic", "feature"])
+
+
+def cells(words: Words, sent: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a sentence and a known feature in it (known: sorted hashes)."""
+    if not len(known) or not len(words.hash):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = []
+    for sign in (words.hash, words.prefixes(PREFIX)):
+        at = np.minimum(np.searchsorted(known, sign), len(known) - 1)
+        hit = known[at] == sign
+        found.append(sent[hit] * len(known) + at[hit])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(known), pairs % len(known)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled documents (text, toxic); equal texts count once, with their mean label rounded."""
+    """Fits on at most ``sample`` labelled documents (text, toxic); equal texts count once, with their mean label rounded.
+
+    The features are chosen by a grouped count over the sample; only their counts, and which sentence holds which,
+    reach the driver. Without both labels the score is about 0 or about the labels' own value for every text.
+    """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").select("text", "toxic", F.xxhash64("text").alias("key"))
-    got = rows.mapInArrow(_bags, "toxic int, key long, sent array<int>, word array<long>, prefix array<long>").toPandas()
-    mean = got.groupby("key")["toxic"].mean()
-    got = got.drop_duplicates("key").sort_values("key")
-    bags = []
-    for s, w, x in zip(got["sent"], got["word"], got["prefix"], strict=True):
-        rows = np.stack([np.tile(np.asarray(s, np.uint64), 2), np.concatenate([w, x]).astype(np.int64).view(np.uint64)], 1)
-        bags.append(rows[rows[:, 1] != 0])
-    toxic = (mean[got["key"]].to_numpy() >= 0.5).astype(int)
-    return fit(bags, toxic)
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id")
+    rows = cut(rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "sample")
+    seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = seen.get(0, 0), seen.get(1, 0)
+    if not n0 or not n1:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if n1 else -30.0)
+    counts = rows.mapInArrow(_features, "toxic int, feature array<long>").select("toxic", F.explode("feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    lean = F.log((F.col("bad") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n0 + 1))
+    top = counts.where(F.col("n") >= LEAST_TEXTS).withColumn("lean", lean).orderBy((F.abs("lean") * F.sqrt("n")).desc(), "feature").limit(MOST_WORDS).select("feature", "lean").toPandas()
+    hashes = top["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    known, start = hashes[order], top["lean"].to_numpy()[order]
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            words, sent, sent_doc, _ = sentences(part.column("text"))
+            s, w = cells(words, sent, known)
+            first = np.searchsorted(sent_doc, np.arange(part.num_rows + 1))
+            bounds = np.searchsorted(s, first).astype(np.int32)
+            local = (s - first[sent_doc[s]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("toxic"), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(bounds, local), pa.ListArray.from_arrays(bounds, w.astype(np.int32))],
+                names=["toxic", "sentences", "sent", "word"],
+            )
+
+    got = rows.orderBy(F.xxhash64("text"), "text").mapInArrow(held, "toxic int, sentences int, sent array<int>, word array<int>").toPandas()
+    sizes = got["sentences"].to_numpy(np.int64)
+    base = np.repeat(np.cumsum(sizes) - sizes, got["sent"].map(len))
+    weights, bias = fit(np.repeat(np.arange(len(got)), sizes), np.concatenate(got["sent"].to_list()) + base, np.concatenate(got["word"].to_list()).astype(np.int64), start, got["toxic"].to_numpy())
+    big = np.abs(weights) > 1e-3
+    return Model(known[big], weights[big], bias)
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -124,14 +148,8 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             texts = part.column("text")
             words, sent, sent_doc, first = sentences(texts)
             z = np.full(len(first), model.bias)
-            if len(model.words) and len(words.hash):
-                cells = []
-                for sign in (words.hash, words.prefixes(PREFIX)):
-                    at = np.minimum(np.searchsorted(model.words, sign), len(model.words) - 1)
-                    hit = model.words[at] == sign
-                    cells.append(sent[hit] * len(model.words) + at[hit])
-                cell = np.unique(np.concatenate(cells))
-                z += np.bincount(cell // len(model.words), model.weights[cell % len(model.words)], len(first))
+            held, which = cells(words, sent, model.words)
+            z += np.bincount(held, model.weights[which], len(first))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             p = np.minimum(p, 1 - 1e-12)
             total = 1 - np.exp(np.bincount(sent_doc, np.log1p(-p), len(texts))) if len(first) else np.zeros(len(texts))
