@@ -75,6 +75,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "terms")).alias("spans"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 #: Files of public tokenizers; the paths are parameters of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
