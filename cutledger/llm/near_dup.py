@@ -15,7 +15,7 @@ from .hyperminhash import BUCKETS, bands, registers
 from .scratch import cut
 from .words import Words, chunks, mix
 
-_SKETCH = "doc_id long, n long, cls long, regs binary, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n long, cls long, regs binary, bands array<long>"
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -28,7 +28,7 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), cls (key of the set), regs, bands (none for an empty set); one row per document."""
+    """doc_id, text_key (xxhash64 of the text), n (set size), cls (key of the set), regs, bands (none for an empty set); one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -40,11 +40,12 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)
             raw = [r.tobytes() for r in regs]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n), pa.array(set_keys(sets)), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(at, keys[some].ravel())],
-                names=["doc_id", "n", "cls", "regs", "bands"],
+                [part.column("doc_id"), part.column("text_key"), pa.array(n), pa.array(set_keys(sets)), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(at, keys[some].ravel())],
+                names=["doc_id", "text_key", "n", "cls", "regs", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
+    return keyed.mapInArrow(run, _SKETCH)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -63,7 +64,8 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, slack: float = 0.22) -> DataFrame:
     """Documents whose sets of k-word shingles have Jaccard similarity of num/den or more are linked.
 
-    Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+    Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept;
+    then text_key (xxhash64 of the text) and group_key (one for each component, null for an empty set).
     Equal sets are one class before anything is compared, so thousands of copies cost one member. Candidates
     share a band of registers. What bands hold together is a family; inside it the collision-corrected estimate
     (within ``slack``, six standard errors) and then the full sets decide each pair, block by block.
@@ -88,7 +90,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, sla
     reached = components(links).select(F.col("node").alias("cls"), "comp")
     named = classes.select("cls", "least").join(reached, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(least, "comp").select("cls", "component_id"), "named")
-    out = sk.select("doc_id", "n", "cls").join(named, "cls", "left")
+    named = cut(named.join(least, "comp").select("cls", "component_id", F.col("comp").alias("group_key")), "named")
+    out = sk.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", F.when(F.col("n") > 0, F.col("group_key")).alias("group_key"))

@@ -95,7 +95,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, num=4, den=5)
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, num=4, den=5).drop("text_key", "group_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
