@@ -18,7 +18,7 @@ VIEWS = {
     "segments": """select d.doc_id as segment_id, source as asset_id, cast(d.doc_id*7919 % 600000 as bigint) as s, cast(d.doc_id*7919 % 600000 + 2000 + n_chars % 8000 as bigint) as e, text as summary, lang as mood,
         (['hook','context','reaction','performance','payoff','archive','emotion'])[cast(d.doc_id % 7 + 1 as int)] as role, cast(coalesce(quality,0) as bigint) as quality, coalesce(toxic,0) = 0 as usable, d.doc_id % 3 = 0 as has_card
         from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) l on d.doc_id = l.doc_id""",
-    "plan_items": "select l_orderkey as plan_id, cast(l_linenumber as bigint) as pos, l_partkey as segment_id, l_suppkey as asset_id, cast(l_quantity*100 as bigint) as target, cast(150*(1 + l_partkey % 40) as bigint) as cap, l_returnflag as role from lineitem",
+    "plan_items": "select l_orderkey as plan_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos, l_partkey as segment_id, l_suppkey as asset_id, cast(l_quantity*100 as bigint) as target, cast(150*(1 + l_partkey % 40) as bigint) as cap, l_returnflag as role from lineitem",
     "queries": "select doc_id as query_id, array_to_string(string_split(text,' ')[2:5],' ') as query_text from documents where doc_id % 50 = 0",
 }
 #: Views that a view reads.

@@ -5,7 +5,7 @@ Each view has the same rows as the SQL of that name in ``cutledger.plans.sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: event_type -> reason of a cut point.
@@ -86,8 +86,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plan_id, pos, segment_id, asset_id, target, cap (ms), role: orders as plans, their lines as items."""
     li = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return li.select(
-        F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("segment_id"), F.col("l_suppkey").alias("asset_id"),
+        F.col("l_orderkey").alias("plan_id"), F.row_number().over(order).cast("long").alias("pos"), F.col("l_partkey").alias("segment_id"), F.col("l_suppkey").alias("asset_id"),
         (F.col("l_quantity") * 100).cast("long").alias("target"), (F.lit(150) * (1 + F.col("l_partkey") % 40)).cast("long").alias("cap"), F.col("l_returnflag").alias("role"),
     )
 
@@ -97,7 +98,3 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
     parts = F.split("text", " ")
     return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(parts, 2, 4), " ").alias("query_text"))
-
-
-def column(name: str) -> Column:
-    return F.col(name)
