@@ -81,12 +81,16 @@ def _table(bench: DataFrame) -> DataFrame:
     return bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, item_words array<long>, seed array<long>, place array<int>")
 
 
+def _probes(seeds: np.ndarray) -> list[np.ndarray]:
+    """The three places of a seed in the filter: bits 0-23, 20-43 and 40-63 of its hash."""
+    return [(seeds >> np.uint64(20 * i)) & np.uint64(FILTER_BITS - 1) for i in range(3)]
+
+
 def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit for each seed hash, FILTER_BITS in all: each task of the aggregate sends one word a set bit group, of a fixed number."""
-    word = F.pmod("seed", F.lit(FILTER_BITS // 64)).cast("int").alias("word")
-    bit = F.shiftrightunsigned("seed", 58).cast("int")
-    rows = seeds.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, 58) as int))")).alias("bits")).toPandas()
-    del bit
+    """Three bits for each seed hash, FILTER_BITS in all; the aggregate sends a row for each of FILTER_BITS / 64 words at most."""
+    places = F.explode(F.array(*[F.shiftrightunsigned("seed", 20 * i).bitwiseAND(FILTER_BITS - 1) for i in range(3)]))
+    words = seeds.select(places.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
@@ -131,8 +135,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
             found, places = _seeds(words)
             short, at = _short_seeds(words)
             found, places = np.concatenate([found, short]), np.concatenate([places, at])
-            hit = (table[found % np.uint64(len(table))] >> (found >> np.uint64(58))) & np.uint64(1) == 1
-            found, places = found[hit], places[hit]
+            for at in range(3):
+                spot = _probes(found)[at]
+                hit = (table[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+                found, places = found[hit], places[hit]
             owner = np.searchsorted(words.first, places, side="right") - 1
             order = np.argsort(owner, kind="stable")
             found, places, owner = found[order], places[order], owner[order]
