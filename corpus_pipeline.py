@@ -40,12 +40,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = cut(first, "first")
     wins = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     both = rows.join(first, "group_key")
-    gone = cut(both.where(~wins).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
-    twice = cut(both.where(wins).groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key"), "twice")
-    rest = docs.join(gone, _same_row(), "left_anti")
-    # rows that repeat a winner: few texts, so only those are brought together
-    once = rest.join(twice, _same_row(), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(twice, _same_row(), "left_anti").unionByName(once).select(*docs.columns)
+    gone = both.where(~wins).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    twice = both.where(wins).groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key")
+    marked = cut(gone.withColumn("_twice", F.lit(False)).unionByName(twice.withColumn("_twice", F.lit(True))), "marked")
+    rest = docs.join(marked.hint("merge"), _same_row(), "left_anti")
+    # rows that repeat a winner: only those are brought together
+    once = docs.join(marked.where("_twice"), _same_row(), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(once).select(*docs.columns)
 
 
 def _same_row() -> Column:
