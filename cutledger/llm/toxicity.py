@@ -129,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = rows.orderBy(F.xxhash64("text"), "text").mapInArrow(held, "toxic int, sentences int, sent array<int>, word array<int>").toPandas()
     sizes = got["sentences"].to_numpy(np.int64)
-    base = np.repeat(np.cumsum(sizes) - sizes, got["sent"].map(len))
-    weights, bias = fit(np.repeat(np.arange(len(got)), sizes), np.concatenate(got["sent"].to_list()) + base, np.concatenate(got["word"].to_list()).astype(np.int64), start, got["toxic"].to_numpy())
+    sent_of, word_of = (np.concatenate([np.asarray(x, np.int64) for x in got[c]]) for c in ("sent", "word"))
+    sent_of += np.repeat(np.cumsum(sizes) - sizes, got["sent"].map(len))
+    weights, bias = fit(np.repeat(np.arange(len(got)), sizes), sent_of, word_of, start, got["toxic"].to_numpy())
     big = np.abs(weights) > 1e-3
     return Model(known[big], weights[big], bias)
 
