@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import in_filter, seed_filter
 from .scratch import cut
 from .words import Words, chunks, mix
 
 #: Fixed masks over a window of words: 1 is compared, 0 ignored. Eight words are compared in each.
 MASKS = ("11111111", "1111011101", "110110101101", "1011001110011")
-#: Bits of the filter that goes to every task (2 MiB, whatever the benchmark's size).
-FILTER_BITS = 1 << 24
 #: A part of this many words at least, this share of them equal, is an overlap; an item of fewer words counts whole.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 
@@ -81,21 +80,6 @@ def _table(bench: DataFrame) -> DataFrame:
     return bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, item_words array<long>, seed array<long>, place array<int>")
 
 
-def _probes(seeds: np.ndarray) -> list[np.ndarray]:
-    """The three places of a seed in the filter: bits 0-23, 20-43 and 40-63 of its hash."""
-    return [(seeds >> np.uint64(20 * i)) & np.uint64(FILTER_BITS - 1) for i in range(3)]
-
-
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Three bits for each seed hash, FILTER_BITS in all; the aggregate sends a row for each of FILTER_BITS / 64 words at most."""
-    places = F.explode(F.array(*[F.shiftrightunsigned("seed", 20 * i).bitwiseAND(FILTER_BITS - 1) for i in range(3)]))
-    words = seeds.select(places.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def overlap(words: np.ndarray, item: np.ndarray, shift: int, least: int, share: float) -> tuple[int, int, int] | None:
     """The best part of the diagonal word[i + shift] = item[i]: (first of item, words, equal), or None if none is long enough.
 
@@ -126,7 +110,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
     """
     items = cut(_table(bench), "items")
     seeds = cut(items.select("item_id", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place")), "seeds")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
+    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds, mixed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -135,10 +119,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
             found, places = _seeds(words)
             short, at = _short_seeds(words)
             found, places = np.concatenate([found, short]), np.concatenate([places, at])
-            for at in range(3):
-                spot = _probes(found)[at]
-                hit = (table[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-                found, places = found[hit], places[hit]
+            hit = in_filter(table, found)
+            found, places = found[hit], places[hit]
             owner = np.searchsorted(words.first, places, side="right") - 1
             order = np.argsort(owner, kind="stable")
             found, places, owner = found[order], places[order], owner[order]
