@@ -1,5 +1,17 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_REACH = """, und as (select a, b from links union select b, a from links), reach as (select a, b from und union select r.a, u.b from reach r join und u on u.a = r.b)"""
+
+ORACLES: dict[str, str] = {
+    "op6_embedding_near_dedup": f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id < y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9){_REACH},
+ n as (select a, count(*) as n from und group by 1), c as (select a, min(b) as m from reach group by 1)
+ select e.vec_id, coalesce(n.n, 0) as n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) as component_id, least(e.vec_id, coalesce(c.m, e.vec_id)) = e.vec_id as kept from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id""",
+    "op8_minhash_near_dedup": f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as ws from documents),
+ sh as (select doc_id, list_distinct(case when len(ws) >= 4 then [array_to_string(ws[i:i+3], ' ') for i in range(1, len(ws) - 2)] when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+ ex as (select doc_id, len(s) as n, unnest(s) as g from sh), pr as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c from ex x join ex y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+ links as (select a, b from pr where 100*c >= 80*(na + nb - c)){_REACH}, c as (select a, min(b) as m from reach group by 1)
+ select sh.doc_id, cast(len(s) as bigint) as n_shingles, least(sh.doc_id, coalesce(c.m, sh.doc_id)) as component_id, least(sh.doc_id, coalesce(c.m, sh.doc_id)) = sh.doc_id as kept from sh left join c on c.a = sh.doc_id""",
+}
