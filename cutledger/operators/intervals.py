@@ -259,12 +259,13 @@ def apply_margin(regions: DataFrame, margin: int, least: int) -> DataFrame:
 def complement(regions: DataFrame, assets: DataFrame) -> DataFrame:
     """asset_id, s, e: what the regions leave of [0, duration]; an asset without regions stays whole."""
     both = assets.select("asset_id", "duration_ms").join(regions.select("asset_id", F.col("s").alias("_s"), F.col("e").alias("_e")), "asset_id", "left")
-    clip = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.col("duration_ms")))
-    rows = both.select("asset_id", "duration_ms", clip("_s").alias("s"), clip("_e").alias("e")).where("s is not null")
-    rows = rows.withColumn("cursor", F.coalesce(F.max("e").over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = rows.select("asset_id", F.col("cursor").alias("s"), F.col("s").alias("e"))
-    tail = both.groupBy("asset_id", "duration_ms").agg(F.coalesce(F.max(clip("_e")), F.lit(0)).alias("s")).select("asset_id", "s", F.col("duration_ms").alias("e"))
-    return before.unionByName(tail).where("e > s").select("asset_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.col(c), F.col("duration_ms"))))
+    rows = both.select("asset_id", "duration_ms", clip("_s").alias("s"), clip("_e").alias("e"))
+    cursor = F.coalesce(F.max("e").over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"cursor": cursor, "last": F.lead("asset_id").over(by_time()).isNull()})
+    part = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+    parts = F.array(part(F.col("cursor"), F.col("s")), F.when(F.col("last"), part(F.greatest("cursor", F.coalesce("e", F.lit(0))), F.col("duration_ms"))))
+    return rows.select("asset_id", F.inline(F.filter(parts, lambda p: p["e"] > p["s"])))
 
 
 def absorb_slivers(removals: DataFrame, kept: DataFrame, assets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
