@@ -121,6 +121,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
             found, places = np.concatenate([found, short]), np.concatenate([places, at])
             hit = in_filter(table, found)
             found, places = found[hit], places[hit]
+            if not len(found):
+                continue
             owner = np.searchsorted(words.first, places, side="right") - 1
             order = np.argsort(owner, kind="stable")
             found, places, owner = found[order], places[order], owner[order]
