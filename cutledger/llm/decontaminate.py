@@ -41,18 +41,23 @@ def _seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(places)
 
 
-def _short_seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of under eight words one seed: the whole text, at its first word."""
-    found, places = [], []
-    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-        if 0 < b - a < 8:
-            total = np.uint64(100 + b - a)
-            with np.errstate(over="ignore"):
-                for h in words.hash[a:b]:
-                    total = (total ^ h) * np.uint64(0x9E3779B97F4A7C15)
-            found.append(total)
-            places.append(a)
-    return mix(np.array(found, np.uint64)), np.array(places, np.int64)
+def _short_seeds(words: Words, sizes: list[int], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of windows of each of ``sizes`` (under eight words) inside a text; only windows that are a whole text if ``whole``."""
+    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    counts = np.diff(words.first)
+    found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for size in sizes:
+        m = len(words.hash) - size + 1
+        if m <= 0:
+            continue
+        total = np.full(m, np.uint64(100 + size))
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                total = (total ^ words.hash[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+        at = np.flatnonzero((owner[:m] == owner[size - 1 :]) & (counts[owner[:m]] == size if whole else True))
+        found.append(mix(total[at]))
+        places.append(at)
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _table(bench: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def _table(bench: DataFrame) -> DataFrame:
         for part in chunks(batches):
             words = Words(part.column("text"), alnum=True)
             seeds, places = _seeds(words)
-            short, at = _short_seeds(words)
+            short, at = _short_seeds(words, list(range(1, 8)), whole=True)
             seeds, places = np.concatenate([seeds, short]), np.concatenate([places, at])
             owner = np.searchsorted(words.first, places, side="right") - 1
             order = np.argsort(owner, kind="stable")
@@ -110,6 +115,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
     """
     items = cut(_table(bench), "items")
     seeds = cut(items.select("item_id", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place")), "seeds")
+    # items of under eight words are looked for whole; there are seven such lengths at most
+    sizes = [r[0] for r in items.select(F.size("item_words")).where(F.size("item_words").between(1, 7)).distinct().collect()]
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds, mixed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +124,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
         for part in chunks(batches):
             words = Words(part.column("text"), alnum=True)
             found, places = _seeds(words)
-            short, at = _short_seeds(words)
+            short, at = _short_seeds(words, sizes, whole=False)
             found, places = np.concatenate([found, short]), np.concatenate([places, at])
             hit = in_filter(table, found)
             found, places = found[hit], places[hit]
