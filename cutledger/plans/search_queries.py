@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,17 +38,18 @@ def _docs(spark, d):
     return V.table(spark, d, "documents").select("doc_id", "text")
 
 
-def _count(name: str, spark_col, sql_expr: str) -> None:
+def _count(name: str, f: Callable[[Column], Column], sql_expr: str) -> None:
     """A query of the number and the joined values of an array expression for each document."""
 
     @R.add(name, f"select doc_id, len({sql_expr}) as n, array_to_string(list_sort({sql_expr}), ' ') as joined from documents")
     def _(spark, d):
-        return _docs(spark, d).select("doc_id", F.size(spark_col).cast("long").alias("n"), F.array_join(F.array_sort(spark_col), " ").alias("joined"))
+        got = f(F.col("text"))
+        return _docs(spark, d).select("doc_id", F.size(got).cast("long").alias("n"), F.array_join(F.array_sort(got), " ").alias("joined"))
 
 
-_count("x01_directive_terms", X.directive_terms(F.col("text")), f"list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1 and not list_contains({_list(X.DIRECTIVE_STOP)}, t)))")
-_count("x02_terms", X.terms(F.col("text")), _terms("text"))
-_count("x03_tokens", X.tokens(F.col("text")), "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 2)")
+_count("x01_directive_terms", X.directive_terms, f"list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1 and not list_contains({_list(X.DIRECTIVE_STOP)}, t)))")
+_count("x02_terms", X.terms, _terms("text"))
+_count("x03_tokens", X.tokens, "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 2)")
 
 
 @R.add("x04_norms", "select doc_id, translate(lower(trim(substr(text,1,80))), '- ', '__') as n, translate(lower(trim(substr(text,1,80))), ' ', '_') as c, translate(substr(text,1,80), '_', '-') as s from documents")
