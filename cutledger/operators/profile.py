@@ -121,3 +121,35 @@ def override(computed: DataFrame, supplied: DataFrame, key: str, column: str) ->
     """A supplied value that isn't blank takes the place of the computed one."""
     rows = computed.join(supplied.select(key, F.col(column).alias("_s")), key, "left")
     return rows.withColumn(column, F.coalesce(F.when(F.trim("_s") != "", F.col("_s")), F.col(column))).drop("_s")
+
+
+def observation_text(raw: Column, include_evidence: bool = True) -> Column:
+    """The string values of a flat JSON object in the order of its keys, joined by blanks; times and confidence left out."""
+    skip = ["start_sec", "end_sec", "confidence"] + ([] if include_evidence else ["evidence"])
+    pairs = F.from_json(raw, "map<string,string>")
+    kept = F.filter(F.map_entries(pairs), lambda p: ~p["key"].isin(skip) & p["value"].isNotNull() & p["value"].try_cast("double").isNull())
+    return F.array_join(F.transform(F.array_sort(kept), lambda p: F.trim(p["value"])), " ")
+
+
+def context_cards(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """segment_id, card (JSON): role, warnings and the first four neighbours of each segment."""
+    both = edges.select(F.col("src").alias("segment_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("segment_id"), F.col("src").alias("other"))).distinct()
+    top = both.withColumn("r", F.row_number().over(Window.partitionBy("segment_id").orderBy("other"))).where("r <= 4")
+    near = top.groupBy("segment_id").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("near"))
+    rows = segments.join(near, "segment_id", "left").withColumn("n_edges", F.when(F.col("near").isNull(), 0).otherwise(1))
+    return rows.select("segment_id", F.to_json(F.struct("role", F.array_join(segment_warnings(), ",").alias("warnings"), F.coalesce("near", F.lit("")).alias("near"))).alias("card"))
+
+
+def review_list(reviews: DataFrame) -> DataFrame:
+    """review_id, at, score of reviews (raw JSON with score), newest first; what can't be read has a null score."""
+    return reviews.select("review_id", "at", F.from_json("raw", "struct<score:double>")["score"].alias("score")).orderBy(F.col("at").desc(), F.col("review_id").desc())
+
+
+def byte_savings(artifacts: DataFrame) -> DataFrame:
+    """One row: bytes before and after, over the artifacts (before, after)."""
+    return artifacts.agg(F.sum("before").alias("before"), F.sum("after").alias("after"), (F.sum("before") - F.sum("after")).alias("saved"))
+
+
+def timeline_items(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """Items with their asset's path, by plan and position; items of unknown assets stay."""
+    return items.join(assets.select("asset_id", "path"), "asset_id", "left").orderBy("plan_id", "pos")

@@ -287,3 +287,46 @@ def explain_items(items: DataFrame) -> DataFrame:
     reasons = F.array_join(F.slice("reasons", 1, 2), "; ")
     note = F.when(F.row_number().over(by_pos()) == 1, "Open cleanly.").when(F.array_contains("flags", "check_audio_transition"), "Crossfade the audio.").otherwise("Plain cut.")
     return items.select("plan_id", "pos", F.concat(F.col("role"), F.lit(" beat: "), F.when(reasons != "", reasons).otherwise(F.lit("selected for the directive")), F.lit(". "), note).alias("why"))
+
+
+def sequence_item(rows: DataFrame, budget: int) -> DataFrame:
+    """Items' clip and room: trims within the asset less 50 ms, target 1000 at least, cap from target, clip no longer than its range, target or budget."""
+    end = F.least(F.col("e"), F.coalesce(F.col("asset_ms") - 50, F.col("e")))
+    start = F.when(F.col("asset_ms").isNotNull(), F.least(F.col("s"), F.greatest(F.lit(0), end - 100))).otherwise(F.col("s"))
+    rows = rows.withColumn("_s", start).withColumn("_e", end).withColumn("raw", F.greatest(F.lit(100), F.col("_e") - F.col("_s")))
+    rows = rows.withColumn("goal", F.greatest(F.lit(1000), F.coalesce(F.nullif("target", F.lit(0)), F.col("raw"))))
+    rows = rows.withColumn("clip", F.least(F.col("raw"), F.greatest(F.lit(2000), "goal"), F.greatest(F.lit(2000), F.lit(budget))))
+    return rows.withColumn("room", F.least(F.coalesce(F.nullif("cap", F.lit(0)), F.expr("goal * 150 div 100")), F.col("_e") - F.col("_s"))).drop("_s", "_e", "raw")
+
+
+def enumerate_slots(ranked: DataFrame, matches: Column, cap: int, chronological: bool) -> DataFrame:
+    """query_id, pos, segment_id: a slot for each ranked segment that matches, ``cap`` at most by rank, then in time or rank order."""
+    best = Window.partitionBy("query_id").orderBy("rank")
+    kept = ranked.where(matches).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= cap)
+    order = Window.partitionBy("query_id").orderBy(*(["asset_id", "s", "segment_id"] if chronological else ["rank"]))
+    return kept.select("query_id", (F.row_number().over(order) - 1).alias("pos"), "segment_id")
+
+
+def candidate_items(hits: DataFrame, selects: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, rank, segment_id: matched segments that have a select, by its score (not the match's), k at most; queries without one get the best selects of all."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "segment_id")
+    own = hits.select("query_id", "segment_id").distinct().join(selects, "segment_id")
+    none = hits.select("query_id").distinct().join(own.select("query_id").distinct(), "query_id", "left_anti")
+    best = selects.orderBy(F.col("score").desc(), "segment_id").limit(k)
+    both = own.unionByName(none.crossJoin(F.broadcast(best)).select(*own.columns))  # k rows
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "segment_id")
+
+
+def planned_items(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """Plan items as timeline candidates with their asset's duration and rate (30 where unknown); unknown assets stay."""
+    return items.join(assets.select("asset_id", "duration_ms", "fps"), "asset_id", "left").withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+
+
+def resolve_parent_plan(requests: DataFrame, plans: DataFrame, timelines: DataFrame) -> DataFrame:
+    """request_id, plan_id, status: an explicit plan id, the plan of 'timeline:<id>', or the newest plan that is ok and has items; 'missing' where there is none."""
+    by_line = timelines.select(F.concat(F.lit("timeline:"), F.col("timeline_id").cast("string")).alias("parent"), F.col("plan_id").alias("_line"))
+    named = plans.select(F.col("plan_id").cast("string").alias("parent"), F.col("plan_id").alias("_named"))
+    newest = plans.where("ok and n_items > 0").agg(F.max_by("plan_id", F.struct("created", "plan_id")).alias("_newest"))  # one row
+    rows = requests.join(by_line, "parent", "left").join(named, "parent", "left").crossJoin(F.broadcast(newest))
+    plan = F.coalesce("_line", "_named", F.when(F.col("parent").isNull(), F.col("_newest")))
+    return rows.select("request_id", plan.alias("plan_id"), F.when(plan.isNull(), "missing").otherwise("ok").alias("status"))

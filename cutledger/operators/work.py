@@ -115,3 +115,42 @@ def annotate(units: DataFrame, done: DataFrame, fn: Callable[[list[dict]], list[
     failed = bad.select("reply_id.asset_id").distinct()
     finished = assets.select("asset_id").join(failed, "asset_id", "left_anti").withColumn("source", F.lit(source))
     return rows, bad.select("reply_id.asset_id", "reply_id.chunk", "raw"), finished
+
+
+def eligible_long(assets: DataFrame, duration: int) -> DataFrame:
+    return assets.where((F.col("duration_ms") > duration) & (F.col("status") == "ready"))
+
+
+def completion_marks(runs: DataFrame) -> DataFrame:
+    """asset_id, found of runs that ended well (status 'ok'), with or without a find; failed runs leave no mark."""
+    return runs.where("status = 'ok'").groupBy("asset_id").agg((F.max("n_found") > 0).alias("found"))
+
+
+def usable_segments(segments: DataFrame, assets: DataFrame) -> DataFrame:
+    """Usable segments that start before their asset ends; without a duration, before their own end."""
+    rows = segments.where("usable").join(assets.select("asset_id", "duration_ms"), "asset_id", "left")
+    return rows.where(F.col("s") < F.coalesce("duration_ms", "e")).drop("duration_ms")
+
+
+def word_units(units: Column, s: Column, e: Column) -> Column:
+    """Units (text, s, e) with text and clamped to the segment; a missing end is the segment's; empty ones dropped."""
+    clamped = F.transform(units, lambda u: F.struct(F.trim(u["text"]).alias("text"), F.greatest(s, F.coalesce(u["s"], s)).alias("s"), F.least(e, F.coalesce(u["e"], e)).alias("e")))
+    return F.filter(clamped, lambda u: (F.coalesce(u["text"], F.lit("")) != "") & (u["e"] > u["s"]))
+
+
+def explode_asr(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, words) of recogniser output (asset_id, segments array of s, e, text, words array of text, s, e, confidence).
+
+    Spans are 50 ms long at least, with the mean confidence of their words; words need text and both times.
+    """
+    rows = replies.select("asset_id", F.posexplode("segments").alias("pos", "x"))
+    heard = F.filter(F.col("x.words"), lambda w: (F.coalesce(F.trim(w["text"]), F.lit("")) != "") & w["s"].isNotNull() & w["e"].isNotNull())
+    mean = F.aggregate(heard, F.lit(0.0), lambda a, w: a + w["confidence"]) / F.nullif(F.size(heard), F.lit(0))
+    spans = rows.select("asset_id", "pos", F.col("x.s").alias("s"), F.greatest(F.col("x.e"), F.col("x.s") + 50).alias("e"), F.trim("x.text").alias("text"), F.round(mean, 4).alias("confidence")).where("text <> ''")
+    words = rows.select("asset_id", "pos", F.posexplode(heard).alias("i", "w")).select("asset_id", "pos", "i", F.trim("w.text").alias("text"), "w.s", "w.e")
+    return spans, words
+
+
+def ledger(rows: DataFrame, kind: str, *keys: str) -> DataFrame:
+    """kind, the keys, and each row's JSON body, ready to append."""
+    return rows.select(F.lit(kind).alias("kind"), *keys, F.to_json(F.struct(*[c for c in rows.columns if c not in keys])).alias("body"))

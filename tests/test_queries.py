@@ -50,3 +50,17 @@ def test_entry_and_catalog(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_removal_plans_partition_each_asset(spark, data):
+    from cutledger.sources import views as V
+
+    length = {r.asset_id: r.duration_ms for r in V.word_assets(spark, data).collect()}
+    parts: dict = {}
+    for r in QUERIES["q33_subtract_plan"](spark, data).collect():
+        parts.setdefault((r.q, r.asset_id), []).append((r.s, r.e, r.kept))
+    assert len(parts) == 2 * len(length) and any(not k for v in parts.values() for *_, k in v)
+    for (_, asset), v in parts.items():
+        v.sort()
+        assert v[0][0] == 0 and v[-1][1] == length[asset]
+        assert all(a[1] == b[0] and a[2] != b[2] for a, b in zip(v, v[1:], strict=False))
