@@ -176,6 +176,7 @@ def evidence_for_name(names: DataFrame, docs: DataFrame, k: int = 5) -> DataFram
     """name, doc_id, rank: the first k documents (by id) whose words hold the name's words in a row, both normalised."""
     first = names.select("name", X.norm(F.col("name")).alias("key")).withColumn("head", F.split_part("key", F.lit("_"), F.lit(1)))
     rows = docs.select("doc_id", F.translate(F.lower("text"), "- \n", "___").alias("hay"))
-    heads = rows.select("doc_id", "hay", F.explode(F.array_distinct(F.split("hay", "_"))).alias("head"))
-    hits = heads.join(first, "head").where(F.contains("hay", "key")).select("name", "doc_id")
+    heads = rows.select("doc_id", F.explode(F.array_distinct(F.split("hay", "_"))).alias("head"))
+    likely = heads.join(first, "head").select("doc_id", "name", "key")
+    hits = likely.join(rows, "doc_id").where(F.contains("hay", "key")).select("name", "doc_id").distinct()
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("doc_id"))).where(F.col("rank") <= k)

@@ -152,19 +152,28 @@ def novelty_assign(candidates: DataFrame, group: int = 64) -> DataFrame:
     groups = max(candidates.sparkSession.sparkContext.defaultParallelism, n // group)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for plan, one in f.sort_values(["plan_id", "pos", "segment_id"]).groupby("plan_id", sort=True):
-            segments, assets = set(), set()
-            for pos, slot in one.groupby("pos", sort=True):
-                score = slot["score"] - 30 * slot["segment_id"].isin(segments) - 10 * slot["asset_id"].isin(assets)
-                best = score.idxmax()
-                segments.add(slot.at[best, "segment_id"])
-                assets.add(slot.at[best, "asset_id"])
-                out.append((plan, pos, slot.at[best, "segment_id"], int(score[best])))
+        f = f.sort_values(["plan_id", "pos", "segment_id"])
+        out: list[tuple] = []
+        plan = pos = best = None
+        segments, assets = set(), set()
+        for p, at, seg, asset, score in f[["plan_id", "pos", "segment_id", "asset_id", "score"]].itertuples(index=False, name=None):
+            if (p, at) != (plan, pos):
+                if best:
+                    out.append((plan, pos, best[1], best[0]))
+                    segments.add(best[1])
+                    assets.add(best[2])
+                if p != plan:
+                    segments, assets = set(), set()
+                plan, pos, best = p, at, None
+            score = score - 30 * (seg in segments) - 10 * (asset in assets)
+            if best is None or score > best[0]:
+                best = (score, seg, asset)
+        if best:
+            out.append((plan, pos, best[1], best[0]))
         return pd.DataFrame(out, columns=["plan_id", "pos", "segment_id", "score"])
 
     dealt = candidates.select("plan_id", "pos", "segment_id", "asset_id", F.col("score").cast("long").alias("score"), F.pmod(F.xxhash64("plan_id"), F.lit(groups)).alias("_g"))
-    return dealt.groupBy("_g").applyInPandas(lambda f: run(f.reset_index(drop=True)), "plan_id long, pos long, segment_id long, score long")
+    return dealt.groupBy("_g").applyInPandas(run, "plan_id long, pos long, segment_id long, score long")
 
 
 def pin_anchors(slots: DataFrame, anchors: DataFrame) -> DataFrame:
