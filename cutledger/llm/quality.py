@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,16 +114,20 @@ def site(source: Column) -> tuple[Column, Column]:
     return F.lower(F.substring_index(bare, "/", 1)), F.regexp_extract(bare, r"^[^/]*(/(?:[^/?#]*/)*)", 1)
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_odds``, the log odds of its text; ``docs`` has text and no column of that name."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_odds", T.DoubleType())])
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``rows`` and ``_odds``, the log odds of the text in its column ``_row``, a struct."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("_odds", T.DoubleType())])
+    index = rows.columns.index("_row")
+    field = rows.schema["_row"].dataType.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            odds = model.log_odds(features(part.column("text")))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(odds)], names=[*part.schema.names, "_odds"])
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.struct_field(batch.column(index), [field]).cast(pa.string())], names=["text"])
+            odds = [model.log_odds(features(part.column("text"))) for part in chunks(iter([texts]))]
+            odds = np.concatenate(odds) if odds else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds)], names=[*batch.schema.names, "_odds"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -178,8 +183,8 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
     model = train(docs, labels, sample)
     host, path = site(F.col("source"))
     # the row travels as one struct, so that none of its names can clash with those used here
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"), host.alias("_host"), path.alias("_path"))
-    odds = evidence(packed, model).drop("text").withColumn("_doc", 1 / (1 + F.exp(-F.col("_odds"))))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_host"), path.alias("_path"))
+    odds = evidence(packed, model).withColumn("_doc", 1 / (1 + F.exp(-F.col("_odds"))))
     sites = posteriors(cut(odds.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_doc").alias("p")), "beliefs"))
     sites = sites.withColumnsRenamed({c: f"_{c}" for c in sites.columns})
     both = odds.join(sites, ["_host", "_path"])
