@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import regex
 import tiktoken
