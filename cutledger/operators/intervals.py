@@ -164,9 +164,7 @@ def snap_points(targets: DataFrame, points: DataFrame, tolerance: int, t: str =
     An equi-join on asset and a bucket of the tolerance's width; the nearest comes from an aggregate, not a sort.
     """
     near = points.select("asset_id", F.col("t").alias("_pt"), F.col("reason").alias("_reason")).withColumn("_b", F.floor(F.col("_pt") / tolerance))
-    b = F.floor(F.col(t) / tolerance)
     spread = targets.select("asset_id", "target_id", F.col(t).alias("_t")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_t") / tolerance) - 1, F.floor(F.col("_t") / tolerance) + 1)))
-    del b
     gap = F.abs(F.col("_pt") - F.col("_t"))
     best = spread.join(near, ["asset_id", "_b"]).where(gap <= tolerance).groupBy("asset_id", "target_id").agg(F.min(F.struct(gap.alias("gap"), F.negative("_pt").alias("back"), F.col("_reason").alias("reason"))).alias("best"))
     best = best.select("asset_id", "target_id", F.negative("best.back").alias("snapped"), "best.reason")
