@@ -69,8 +69,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def near_links(num: int, den: int, slack: float) -> Callable[[pd.DataFrame, pd.DataFrame, bool], tuple[np.ndarray, np.ndarray]]:
-    """Compares members by registers first (estimate at least num/den - slack), then by their whole sets."""
+def near_links(num: int, den: int, errors: float) -> Callable[[pd.DataFrame, pd.DataFrame, bool], tuple[np.ndarray, np.ndarray]]:
+    """Compares members by registers first (estimate at least num/den less ``errors`` standard errors), then by their whole sets.
+
+    A small set fills few registers by itself, so its estimate is rougher and its floor lower.
+    """
 
     def links(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> tuple[np.ndarray, np.ndarray]:
         from .hyperminhash import BUCKETS, estimate
@@ -80,14 +83,17 @@ def near_links(num: int, den: int, slack: float) -> Callable[[pd.DataFrame, pd.D
         equal = np.zeros((len(a), len(b)), np.int16)
         for i in range(0, len(a), 32):
             equal[i : i + 32] = (ra[i : i + 32, None, :] == rb[None]).sum(-1, dtype=np.int16)
-        floor = num / den - slack
-        maybe = equal >= BUCKETS * max(floor, 0)
+        least = np.minimum(na[:, None], nb)
+        filled = BUCKETS * -np.expm1(-np.maximum(least, 1) / BUCKETS)
+        share = num / den
+        floor = share - errors * np.sqrt(share * (1 - share) * (1 / BUCKETS + 1 / np.maximum(filled, 1)))
+        maybe = equal >= BUCKETS * floor
         i, j = np.nonzero(maybe & (den * np.minimum(na[:, None], nb) >= num * np.maximum(na[:, None], nb)))
         if same:
             i, j = i[i < j], j[i < j]
         if len(i):
             # registers equal by chance only add to the count above: here they are taken off
-            keep = estimate(equal[i, j], na[i], nb[j]) >= floor
+            keep = estimate(equal[i, j], na[i], nb[j]) >= floor[i, j]
             i, j = i[keep], j[keep]
         if not len(i):
             return i, j

@@ -61,14 +61,14 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, slack: float = 0.22) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, errors: float = 6.0) -> DataFrame:
     """Documents whose sets of k-word shingles have Jaccard similarity of num/den or more are linked.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept;
     then text_key (xxhash64 of the text) and group_key (one for each component, null for an empty set).
     Equal sets are one class before anything is compared, so thousands of copies cost one member. Candidates
     share a band of registers. What bands hold together is a family; inside it the collision-corrected estimate
-    (within ``slack``, six standard errors) and then the full sets decide each pair, block by block.
+    (within ``errors`` standard errors) and then the full sets decide each pair, block by block.
 
     Null or blank texts have an empty set, n_shingles 0, and link with nothing; a null doc_id is ignored when
     the smallest id is taken, and is its own (null) component if nothing else is reached. A repeated row is
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, sla
     sets = full_sets(texts.join(wanted.select("least").distinct().hint("merge"), "least", "left_semi"), k).dropDuplicates(["cls"])
     members = wanted.join(sets, "cls").select("fam", F.col("cls").alias("node"), "n", "regs", "shingles")
     sizes = cut(wanted.groupBy("fam").agg(F.count("*").alias("size")), "sizes")
-    links = cut(compare(members, sizes, near_links(num, den, slack)), "links")
+    links = cut(compare(members, sizes, near_links(num, den, errors)), "links")
     reached = components(links).select(F.col("node").alias("cls"), "comp")
     named = classes.select("cls", "least").join(reached, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))

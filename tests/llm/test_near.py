@@ -59,11 +59,24 @@ def test_small_blocks_find_the_same(spark):
     node = {r.doc_id: r.cls for r in sketches(df, 4).select("doc_id", "cls").collect()}
     members = sketches(df, 4).selectExpr("1L as fam", "cls as node", "n", "regs").join(full_sets(df, 4).withColumnRenamed("cls", "node"), "node")
     sizes = spark.createDataFrame([(1, len(texts))], "fam long, size long")
-    edges = families.compare(members, sizes, families.near_links(4, 5, 0.25), block=7).collect()
+    edges = families.compare(members, sizes, families.near_links(4, 5, 6.0), block=7).collect()
     place = {v: k for k, v in node.items()}
     assert components(len(texts), [(place[e.a], place[e.b]) for e in edges]) == brute(texts, 4)[0]
 
 
+def test_small_sets(spark):
+    """Sets of ten to thirty shingles at just 0.8: their estimates are rough, their links must not be lost."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        n = rng.choice([9, 14, 18, 27])
+        w = prose(n + 3, rng).split(" ")
+        texts += [" ".join(w), " ".join(w[: -(n // 9)] + ["other"] * (n // 9))]
+    want, _ = brute(texts, 4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, texts), k=4).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 160
+
+
 def test_edges(spark):
     got = near_duplicates(edge_docs(spark), k=4).collect()
     assert len(got) == 11
