@@ -1,7 +1,7 @@
 """Evidence search: BM25 over postings, weighted term scores with reasons, filters and coverage.
 
-``queries`` tables (query_id, query_text) may grow with the corpus. BM25 joins on terms. The substring scorer has
-to read each text for each block of queries: BLOCK queries at a time are sent to all tasks, no more.
+``queries`` tables (query_id, query_text) may grow with the corpus. BM25 joins on words. The substring scorer seeks
+terms in the corpus's distinct words, about BLOCK terms at a time, and joins from words to segments.
 """
 
 from __future__ import annotations
@@ -40,39 +40,67 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_segments(segments: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each segment with each query: score in tenths and reasons.
+def term_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, segment_id, hits, spoken: the query's terms found (as substrings) in a segment's hay and transcript, in the query's order.
 
-    20 a directive term found in the haystack (as a substring), 10 a term in the transcript (30 at most), 15 for a
-    context card, quality / 5 up to 2 (in tenths). Segments: segment_id, hay, transcript, has_card, quality.
+    A term is a run of letters and digits, so it is a substring of a text just if it is one of a word of it: terms
+    are sought in the distinct words of the corpus, a block of terms at a time, and words lead to segments by a
+    join. Pairs without a hit don't appear.
     """
-    asked = queries.select("query_id", X.directive_terms(F.col("query_text")).alias("terms"))
-    n = asked.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
+    asked = queries.select("query_id", F.posexplode(X.directive_terms(F.col("query_text"))).alias("place", "term"))
+    runs = lambda c: F.array_distinct(F.filter(F.split(F.col(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    parts = [segments.select("segment_id", F.explode(runs(c)).alias("word"), F.lit(c == "transcript").alias("speech")) for c in ("hay", "transcript")]
+    words = parts[0].unionByName(parts[1])
+    terms = asked.select("term").distinct()
+    blocks = max(1, -(-terms.count() // BLOCK))
+    vocabulary = words.select("word").distinct()
+    known = None
     for b in range(blocks):
-        # a stated query set against all rows, a bounded block of it at a time
-        part = segments.crossJoin(F.broadcast(dealt.where(F.col("_block") == b).drop("_block")))
-        out = part if out is None else out.unionByName(part)
-    hits = F.filter("terms", lambda t: F.contains(F.col("hay"), t))
-    spoken = F.filter("terms", lambda t: F.contains(F.col("transcript"), t))
-    rows = out.withColumns({"hits": hits, "spoken": spoken})
+        block = F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b))  # about BLOCK terms
+        one = vocabulary.join(block, F.contains("word", "term"))
+        known = one if known is None else known.unionByName(one)
+    found = words.join(known, "word").select("segment_id", "term", "speech").distinct()
+    pairs = found.join(asked, "term").groupBy("query_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", "speech"))).alias("_all"))
+    pick = lambda speech: F.transform(F.filter("_all", lambda x: x["speech"] == speech), lambda x: x["term"])
+    return pairs.select("query_id", "segment_id", pick(False).alias("hits"), pick(True).alias("spoken"))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """Adds score (tenths) and reasons from hits, spoken, has_card and quality."""
     score = F.size("hits") * 20 + F.least(F.lit(30), F.size("spoken") * 10) + F.when(F.col("has_card"), 15).otherwise(0) + F.least(F.lit(20), F.col("quality") * 2)
     reasons = F.array_compact(F.array(
         F.when(F.size("hits") > 0, F.concat(F.lit("matches directive terms: "), F.array_join(F.slice("hits", 1, 5), ", "))),
         F.when(F.size("spoken") > 0, F.concat(F.lit("directive terms land in spoken words: "), F.array_join(F.slice("spoken", 1, 4), ", "))),
         F.when(F.col("has_card"), F.lit("has editorial context card")),
     ))
-    return rows.select(*segments.columns, "query_id", score.cast("long").alias("score"), reasons.alias("reasons"))
+    return rows.withColumns({"score": score.cast("long"), "reasons": reasons}).drop("hits", "spoken")
+
+
+def score_segments(segments: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each segment with each query of which it holds a term: score in tenths and reasons.
 
+    20 a directive term found in the haystack (as a substring), 10 a term in the transcript (30 at most), 15 for a
+    context card, quality / 5 up to 2 (in tenths). Segments: segment_id, hay, transcript, has_card, quality.
+    """
+    return _scored(term_hits(segments, queries).join(segments, "segment_id"))
 
-def context_search(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of each query: score over 0, or all by quality where no score is; ties by quality, start, id. Adds rank."""
+
+def context_search(segments: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best segments of each query: score over 0, or all by quality where no score is; ties by quality, start, id. Adds rank.
+
+    Without a hit a segment's score is the same for all queries: only the k best of those can matter, as each of
+    them that does have a hit moves up. So nothing is computed for pairs that can't be among the k.
+    """
+    order = [F.col("score").desc(), F.col("quality").desc(), "s", "segment_id"]
+    none = F.array().cast("array<string>")
+    still = _scored(segments.withColumns({"hits": none, "spoken": none})).orderBy(*order).limit(k)
+    hit = score_segments(segments, queries)
+    rest = queries.select("query_id").distinct().crossJoin(F.broadcast(still))  # k rows
+    rest = rest.join(hit.select("query_id", "segment_id"), ["query_id", "segment_id"], "left_anti")
+    scored = hit.unionByName(rest)
     best = scored.groupBy("query_id").agg(F.max("score").alias("_best"))
     rows = scored.join(best, "query_id").where("score > 0 or _best <= 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("quality").desc(), "s", "segment_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_best")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("_best")
 
 
 def packet_warnings(ranked: DataFrame) -> DataFrame:

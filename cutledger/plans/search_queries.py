@@ -109,7 +109,7 @@ def _segments(spark, d):
 
 
 def _top(spark, d, k=10):
-    return S.context_search(S.score_segments(_segments(spark, d), V.search_queries(spark, d)), k)
+    return S.context_search(_segments(spark, d), V.search_queries(spark, d), k)
 
 
 @R.add("x11_score_segments", sql("segments queries", _SCORE + " select query_id, segment_id, score, array_to_string(reasons, '; ') as reasons from sc where len(hits) > 0"))
