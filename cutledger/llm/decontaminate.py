@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,63 +14,74 @@ from pyspark.sql import functions as F
 
 from .filters import in_filter, seed_filter
 from .scratch import cut
-from .words import Words, chunks, mix
-
-#: Fixed masks over a window of words: 1 is compared, 0 ignored. Eight words are compared in each.
-MASKS = ("11111111", "1111011101", "110110101101", "1011001110011")
+from .words import Words, chunks, mix, powers
+
+#: Fixed masks over a window of words: 1 is compared, 0 ignored. Eight words are compared in each. Any LEAST_WORDS words
+#: or more of which LEAST_SHARE are equal hold eight equal words in one of them (tests go through all such parts).
+MASKS = (
+    "11111111", "1111011101", "110110101101", "1011001110011", "1110010011011", "11100011111", "11111100101",
+    "1101010100111", "1101101100101", "1100011010111", "101011101011", "1111110011", "111111100001",
+)
 #: A part of this many words at least, this share of them equal, is an overlap; an item of fewer words counts whole.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 
 
-def _seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hash and place (word index in the batch) for each mask and window inside one text."""
-    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    found, places = [], []
-    for number, mask in enumerate(MASKS):
-        m = len(words.hash) - len(mask) + 1
-        if m <= 0:
-            continue
-        total = np.full(m, np.uint64(number + 1))
-        with np.errstate(over="ignore"):
-            for j, bit in enumerate(mask):
-                if bit == "1":
-                    total = (total ^ words.hash[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
-        at = np.flatnonzero(owner[:m] == owner[len(mask) - 1 :])
-        found.append(mix(total[at]))
-        places.append(at)
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(places)
-
-
-def _short_seeds(words: Words, sizes: list[int], whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of windows of each of ``sizes`` (under eight words) inside a text; only windows that are a whole text if ``whole``."""
-    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+def short_masks(size: int, share: float) -> list[str]:
+    """Masks over a whole item of ``size`` words: at least one compares only equal words if ``share`` of all are equal.
+
+    The words are cut into four blocks more than words may differ; each mask leaves out as many blocks as may differ.
+    """
+    others = int(size * (1 - share) + 1e-9)
+    blocks = np.array_split(np.arange(size), min(size, others + 4) if others else 1)
+    out = []
+    for left in combinations(range(len(blocks)), others):
+        gone = {int(i) for k in left for i in blocks[k]}
+        out.append("".join("0" if i in gone else "1" for i in range(size)))
+    return out
+
+
+def _seeds(words: Words, short: dict[int, list[str]], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Seed hashes and places (word index in the batch) for each mask and window inside one text.
+
+    ``short`` has the masks of items of each size under LEAST_WORDS; they apply to texts of that size only if ``whole``.
+    """
     counts = np.diff(words.first)
-    found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for size in sizes:
-        m = len(words.hash) - size + 1
+    owner = np.repeat(np.arange(len(counts)), counts)
+    power = powers(LEAST_WORDS + 1)
+    sums: dict[int, np.ndarray] = {}
+
+    def run_of(size: int) -> np.ndarray:
+        """A sum over each ``size`` words in a row."""
+        if size not in sums:
+            m = len(words.hash) - size + 1
+            sums[size] = words.hash if size == 1 else run_of(size - 1)[:m] + words.hash[size - 1 :] * power[size - 1]
+        return sums[size]
+
+    masks = [(mask, 0) for mask in MASKS] + [(mask, size) for size, those in short.items() for mask in those]
+    for number, (mask, size) in enumerate(masks):
+        m = len(words.hash) - len(mask) + 1
         if m <= 0:
             continue
-        total = np.full(m, np.uint64(100 + size))
-        with np.errstate(over="ignore"):
-            for j in range(size):
-                total = (total ^ words.hash[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
-        at = np.flatnonzero((owner[:m] == owner[size - 1 :]) & (counts[owner[:m]] == size if whole else True))
-        found.append(mix(total[at]))
-        places.append(at)
-    return np.concatenate(found), np.concatenate(places)
-
-
-def _table(bench: DataFrame) -> DataFrame:
+        at = owner[:m] == owner[len(mask) - 1 :]
+        if size and whole:
+            at &= counts[owner[:m]] == size
+        at = np.flatnonzero(at)
+        # the salt depends on the mask alone, not on which other sizes are sought
+        salt = (1000 * size + int(mask, 2) if size else number + 1) * 0xA24BAED4963EE407
+        total = np.full(m, np.uint64(salt % 2**64))
+        for r in re.finditer("1+", mask):
+            total += run_of(r.end() - r.start())[r.start() : r.start() + m] * power[r.start()]
+        yield mix(total[at]), at
+
+
+def _table(bench: DataFrame, short: dict[int, list[str]]) -> DataFrame:
     """item, words (hashes), seeds (hash, place): of each distinct text of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             words = Words(part.column("text"), alnum=True)
-            seeds, places = _seeds(words)
-            short, at = _short_seeds(words, list(range(1, 8)), whole=True)
-            seeds, places = np.concatenate([seeds, short]), np.concatenate([places, at])
+            found = list(_seeds(words, short, whole=True)) or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            seeds, places = (np.concatenate(x) for x in zip(*found, strict=True))
             owner = np.searchsorted(words.first, places, side="right") - 1
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(part.num_rows + 1)).astype(np.int32)
@@ -86,20 +99,28 @@ def _table(bench: DataFrame) -> DataFrame:
 
 
 def overlap(words: np.ndarray, item: np.ndarray, shift: int, least: int, share: float) -> tuple[int, int, int] | None:
-    """The best part of the diagonal word[i + shift] = item[i]: (first of item, words, equal), or None if none is long enough.
+    """A part of the diagonal word[i + shift] = item[i] with ``share`` equal words: (first of item, words, equal), or None if none is long enough.
 
-    Each equal word weighs 1 - share, each other word -share; the part of the largest sum is the overlap.
+    Each equal word weighs 1 - share, each other word -share. The part of the largest sum is taken if it has ``least``
+    words or the whole item, else the longest part whose sum is not negative.
     """
     low, high = max(0, -shift), min(len(item), len(words) - shift)
-    if high <= low:
+    floor = min(least, len(item))
+    if high - low < max(floor, 1):
         return None
     same = words[low + shift : high + shift] == item[low:high]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - share, -share) + 1e-9)])
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total - floor))
+    # whole numbers; the + 1 prefers the longer of equal sums and can't make a negative sum positive
+    weight = round(share * 10_000)
+    total = np.concatenate([[0], np.cumsum(np.where(same, 10_000 - weight, -weight) * (len(same) + 1) + 1)])
+    lowest = np.minimum.accumulate(total)
+    end = int(np.argmax(total - lowest))
     start = int(np.argmin(total[: end + 1]))
+    if end - start < floor:
+        starts = np.searchsorted(-lowest, -total)
+        end = int(np.argmax(np.arange(len(total)) - starts))
+        start = int(starts[end])
     n = end - start
-    if n < min(least, len(item)):
+    if n < floor:
         return None
     return low + start, n, int(same[start:end].sum())
 
@@ -107,27 +128,29 @@ def overlap(words: np.ndarray, item: np.ndarray, shift: int, least: int, share:
 def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, text_key, item_id, doc_word, item_word, n_words, n_equal: the longest overlap of each document with each item.
 
-    Words are runs of letters and digits, lower-cased (A-Z). Any overlap with eight equal words in one of MASKS is
-    found; it counts if ``least`` words or the whole item lie in a part of which ``share`` are equal. text_key is
+    Words are runs of letters and digits, lower-cased (A-Z). An overlap is a part of ``least`` words or more, or of the
+    whole item, of which ``share`` are equal; none is missed at LEAST_WORDS and LEAST_SHARE or above. text_key is
     xxhash64 of the text, which with doc_id finds the row again. Null and empty texts, and items without words,
     overlap with nothing. Rows that repeat give one row. Only a filter of fixed size goes to all tasks; seeds that
     pass it are joined, so a larger benchmark costs more work, never memory.
     """
-    items = cut(_table(bench), "items")
+    short = {size: short_masks(size, share) for size in range(1, LEAST_WORDS)}
+    items = cut(_table(bench, short), "items")
     seeds = cut(items.select("item_id", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place")), "seeds")
-    # items of under eight words are looked for whole; there are seven such lengths at most
-    sizes = [r[0] for r in items.select(F.size("item_words")).where(F.size("item_words").between(1, 7)).distinct().collect()]
+    # shorter items are looked for whole; there are LEAST_WORDS - 1 such lengths at most
+    sizes = [r[0] for r in items.select(F.size("item_words")).where(F.size("item_words").between(1, LEAST_WORDS - 1)).distinct().collect()]
+    sought = {size: short[size] for size in sizes}
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds, mixed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for part in chunks(batches):
             words = Words(part.column("text"), alnum=True)
-            found, places = _seeds(words)
-            short, at = _short_seeds(words, sizes, whole=False)
-            found, places = np.concatenate([found, short]), np.concatenate([places, at])
-            hit = in_filter(table, found)
-            found, places = found[hit], places[hit]
+            hits = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for found, places in _seeds(words, sought, whole=False):
+                hit = in_filter(table, found)
+                hits.append((found[hit], places[hit]))
+            found, places = (np.concatenate(x) for x in zip(*hits, strict=True))
             if not len(found):
                 continue
             owner = np.searchsorted(words.first, places, side="right") - 1

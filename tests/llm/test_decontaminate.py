@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
-from cutledger.llm.decontaminate import MASKS, contaminated, overlap
+import pytest
+
+from cutledger.llm.decontaminate import MASKS, contaminated, overlap, short_masks
 
 from .common import docs, edge_docs, prose
 
@@ -65,3 +68,47 @@ def test_edges(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(4, 3), (6, 3), (8, 4)} and len(got) == 3
     assert contaminated(frame, items.limit(0)).count() == 0
     assert contaminated(frame.limit(0), items).count() == 0
+
+
+def test_masks_miss_no_overlap():
+    """Longer parts hold one of 13 to 25 words of which 80 % are equal: of two halves one has that share."""
+    masks = [{i for i, bit in enumerate(m) if bit == "1"} for m in MASKS]
+    for n in range(13, 26):
+        seen = [{a + i for i in m} for m in masks for a in range(n - max(m))]
+        for others in combinations(range(n), n // 5):
+            assert any(s.isdisjoint(others) for s in seen), (n, others)
+    for n in range(1, 13):
+        seen = [{i for i, bit in enumerate(m) if bit == "1"} for m in short_masks(n, 0.8)]
+        assert all(len(m) == n for m in short_masks(n, 0.8)) and all(any(s.isdisjoint(o) for s in seen) for o in combinations(range(n), n // 5))
+
+
+def brute(words, item):
+    """Whether any 13 words or more in a row of a diagonal, or the whole item, are 80 % equal."""
+    for shift in range(-len(item) + 1, len(words)):
+        line = [words[i + shift] == item[i] for i in range(max(0, -shift), min(len(item), len(words) - shift))]
+        for size in range(min(13, len(item)), len(line) + 1):
+            if any(5 * sum(line[a : a + size]) >= 4 * size for a in range(len(line) - size + 1)):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_against_brute_force_on_short_items(spark, spread):
+    """Items of 1 to 20 words with 0 to a quarter of their words changed, anywhere, with ends cut off or not."""
+    rng = random.Random(spread)
+    items = [prose(n, rng).split(" ") for n in range(1, 21) for _ in range(2)]
+    texts = []
+    for item in items:
+        for k in range(0, len(item) // 4 + 2):
+            for _ in range(spread):
+                part = list(item)
+                for i in rng.sample(range(len(part)), min(k, len(part))):
+                    part[i] = f"sub{i}"
+                part = part[rng.choice([0, 0, 1]) :]
+                texts.append([f"a{rng.randrange(10**6)}" for _ in range(rng.choice([0, 12]))] + part + [f"b{rng.randrange(10**6)}" for _ in range(rng.choice([0, 12]))])
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs(spark, [" ".join(t) for t in texts]), bench(spark, [" ".join(i) for i in items])).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if brute(t, item)}
+    assert set(got) == want
+    for (i, j), r in got.items():
+        same = sum(texts[i][r.doc_word + k] == items[j][r.item_word + k] for k in range(r.n_words))
+        assert same == r.n_equal and 5 * same >= 4 * r.n_words and r.n_words >= min(13, len(items[j]))
