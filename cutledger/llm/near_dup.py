@@ -75,15 +75,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, err
     linked with itself. Other columns are ignored, whatever their names.
     """
     sk = cut(sketches(docs, k), "sketches")
-    classes = cut(
-        sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "n", "regs", "bands")).alias("r")).select("cls", "least", "r.n", "r.regs", "r.bands"),
-        "classes",
-    )
+    # one row stands for its class: one with a doc_id if there is one
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "regs", "bands")
+    classes = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(row).alias("r"))
+    classes = cut(classes.select("cls", "least", "r.text_key", "r.n", "r.regs", "r.bands"), "classes")
     fam = families(classes.select(F.col("cls").alias("node"), F.explode("bands").alias("bucket")))
-    # one document of each class in a family gives the full set
-    wanted = cut(classes.join(fam.withColumnRenamed("node", "cls"), "cls").select("cls", "least", "n", "regs", F.col("comp").alias("fam")), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"))
-    sets = full_sets(texts.join(wanted.select("least").distinct().hint("merge"), "least", "left_semi"), k).dropDuplicates(["cls"])
+    # that row gives the full set; beside the text's key its doc_id (null if no row of the class has one) leaves other copies out
+    wanted = cut(classes.join(fam.withColumnRenamed("node", "cls"), "cls").select("cls", "least", "text_key", "n", "regs", F.col("comp").alias("fam")), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ones = wanted.select("least", F.col("text_key").alias("_key")).hint("merge")
+    texts = texts.join(ones, F.col("doc_id").eqNullSafe(F.col("least")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    sets = full_sets(texts, k).dropDuplicates(["cls"])
     members = wanted.join(sets, "cls").select("fam", F.col("cls").alias("node"), "n", "regs", "shingles")
     sizes = cut(wanted.groupBy("fam").agg(F.count("*").alias("size")), "sizes")
     links = cut(compare(members, sizes, near_links(num, den, errors)), "links")

@@ -77,6 +77,39 @@ def test_small_sets(spark):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 160
 
 
+def test_near_copies_without_a_doc_id_are_linked(spark):
+    """To each other, to rows with an id, and as the only link between two of those."""
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(11)
+    texts = []
+    for ids in [(None, None, None), (50, None), (None, 51), (52, None, 53), (None,)]:
+        w = prose(60, rng).split(" ")
+        for n, i in enumerate(ids):  # each another 5 words at the end: neighbours are linked, the first and third are not
+            texts.append((i, " ".join(w[5 * n : 5 * n + 50])))
+    texts += texts[:2]
+    sets = [shingles(t, 4) for _, t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = components(len(texts), links)
+    assert len(set(want)) == 5
+    df = docs(spark, texts)
+    place = {t: n for n, (_, t) in enumerate(texts[:-2])}
+    keys = df.selectExpr("text", "xxhash64(text) as key").collect()
+    place = {r.key: place[r.text] for r in keys}
+    got = near_duplicates(df, k=4).collect()
+    groups: dict = {}
+    for r in got:
+        groups.setdefault(r.group_key, set()).add(place[r.text_key])
+    truth: dict = {}
+    for n in range(len(texts) - 2):
+        truth.setdefault(want[n], set()).add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
+    least = {c: min((texts[n][0] for n in g if texts[n][0] is not None), default=None) for c, g in truth.items()}
+    assert all(r.component_id == least[want[place[r.text_key]]] for r in got)
+    left = near_dedup(spark, df, "").collect()
+    assert len(left) == 5 and sorted(r.doc_id for r in left if r.doc_id is not None) == [50, 51, 52]
+
+
 def test_edges(spark):
     got = near_duplicates(edge_docs(spark), k=4).collect()
     assert len(got) == 11
