@@ -89,7 +89,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
-    return encode(_read(spark, sf_dir, "documents"), PIECES, verify=8)
+    return encode(_read(spark, sf_dir, "documents"), PIECES)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,49 @@ def test_bpe_parity_and_round_trip(spark, data):
         assert got[i].same_text == ("▁" not in t) and got[i].n_tokens == len(got[i].ids)
 
 
+def test_joined_words_give_the_ids_of_whole_texts():
+    from sentencepiece import SentencePieceProcessor
+
+    data = pieces._bytes(queries.PIECES)
+    other = SentencePieceProcessor(model_proto=data)
+    rng = random.Random(8)
+    bits = ["the", "Tion", "été", "²", ".", ",", "\n", " ", "  ", "▁", "12", "'s", "日本", "😀", "\t", "(", "x" * 30, "\r\n", "ñ", "—", "_", "\x00"[:0], "ǅ", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["\n" * 300, " \n ", "word\n"]
+    coder = pieces.Encoder(data, 1)
+    ids, bounds, parity = coder.encode(texts, True)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == other.encode(texts)
+    assert all(parity)
+    raw, stops = coder.decoded(ids, bounds)
+    got = [bytes(raw[a:b]).decode() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    assert got == coder.decode([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+
+
+@pytest.mark.parametrize("joined", [True, False])
+def test_another_encoding_of_one_word_shows_in_every_text_that_has_it(monkeypatch, joined):
+    coder = pieces.Encoder(pieces._bytes(queries.PIECES), 1)
+    if not joined:
+        coder.between, coder.cut = None, __import__("re").compile("▁*[^▁]+|▁+").findall
+    true = coder._theirs
+    # the other library cuts the word "wrong" into letters
+    letters = true(["x wrong"])[0][1:]
+    split = [i for c in "wrong" for i in true([f"x\n{c}"])[0][2:]]
+
+    def theirs(texts):
+        out = []
+        for ids in true(texts):
+            for k in range(len(ids) - len(letters) + 1):
+                if ids[k : k + len(letters)] == letters:
+                    ids = ids[:k] + split + ids[k + len(letters) :]
+                    break
+            out.append(ids)
+        return out
+
+    monkeypatch.setattr(coder, "_theirs", theirs)
+    texts = ["all is well", "this is wrong", "well", "", "so wrong again"]
+    assert coder.encode(texts, True)[2] == [True, False, True, True, False]
+    assert coder.encode(["well wrong", "this"], True)[2] == [False, True]
+
+
 def test_pieces_edges(spark):
     got = pieces.encode(edge_docs(spark), queries.PIECES, verify=1).collect()
     assert len(got) == 11 and all(r.parity and r.same_text for r in got)
