@@ -67,8 +67,8 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, same_text of each document."""
-    return encode(docs, PIECES).drop("parity")
+    """doc_id, n_tokens, ids, same_text, parity of each document; nulls, empty texts and repeats as ``encode`` says."""
+    return encode(docs, PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
