@@ -25,7 +25,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated
 
-    return repeated(_read(spark, sf_dir, "documents")).drop("text_key")
+    return repeated(_read(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
