@@ -10,12 +10,14 @@ from .scratch import cut
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written, so that both sides of the join are plain shuffles, whose hot keys can be split
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = cut(edges, "edges")
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b")))
 

@@ -174,13 +174,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST_WORDS, sh
     lines = hits.join(seeds, "seed").select("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     # words depend on the text alone, so copies need one
     texts = near.select("text_key", "words").dropDuplicates(["text_key"])
-    pairs = lines.select("text_key", "item_id", "shift").distinct().join(texts, "text_key").join(items.select("item_id", "item_words").dropDuplicates(["item_id", "item_words"]), "item_id")
+    pairs = lines.select("text_key", "item_id", "shift").distinct().join(items.select("item_id", "item_words").dropDuplicates(["item_id", "item_words"]), "item_id").join(texts, "text_key")
+    # of a text only the words along the item go on, and where they start
+    low = F.greatest("shift", F.lit(0)).cast("int")
+    pairs = pairs.withColumn("low", low).withColumn("words", F.slice("words", F.col("low") + 1, (F.size("item_words") + F.col("shift") - F.col("low")).cast("int")))
+    pairs = pairs.select("text_key", "item_id", "shift", "low", "words", "item_words")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for key, item, shift, words, own in zip(f["text_key"], f["item_id"], f["shift"], f["words"], f["item_words"], strict=True):
-                if got := overlap(np.asarray(words), np.asarray(own), shift, least, share):
+            for key, item, shift, low, words, own in zip(f["text_key"], f["item_id"], f["shift"], f["low"], f["words"], f["item_words"], strict=True):
+                if got := overlap(np.asarray(words), np.asarray(own), shift - low, least, share):
                     rows.append((key, item, got[0] + shift, *got))
             yield pd.DataFrame(rows, columns=["text_key", "item_id", "doc_word", "item_word", "n_words", "n_equal"]).astype("int64")
 

@@ -67,8 +67,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, err
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept;
     then text_key (xxhash64 of the text) and group_key (one for each component, null for an empty set).
     Equal sets are one class before anything is compared, so thousands of copies cost one member. Candidates
-    share a band of registers. What bands hold together is a family; inside it the collision-corrected estimate
-    (within ``errors`` standard errors) and then the full sets decide each pair, block by block.
+    share a band of registers. Pairs of a band whose registers agree often enough (within ``errors`` standard errors of
+    num/den) hold families together; inside one the collision-corrected estimate and then the full sets decide each
+    pair, block by block.
 
     Null or blank texts have an empty set, n_shingles 0, and link with nothing; a null doc_id is ignored when
     the smallest id is taken, and is its own (null) component if nothing else is reached. A repeated row is
@@ -79,7 +80,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, err
     row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "regs", "bands")
     classes = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(row).alias("r"))
     classes = cut(classes.select("cls", "least", "r.text_key", "r.n", "r.regs", "r.bands"), "classes")
-    fam = families(classes.select(F.col("cls").alias("node"), F.explode("bands").alias("bucket")))
+    named = classes.withColumnRenamed("cls", "node")
+    fam = families(named.select("node", F.explode("bands").alias("bucket")), named.select("node", "n", "regs"), num, den, errors)
     # that row gives the full set; beside the text's key its doc_id (null if no row of the class has one) leaves other copies out
     wanted = cut(classes.join(fam.withColumnRenamed("node", "cls"), "cls").select("cls", "least", "text_key", "n", "regs", F.col("comp").alias("fam")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -14,10 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-scratch-")
