@@ -59,12 +59,6 @@ def stem(token: Column) -> Column:
     return out
 
 
-def dedupe(values: Column) -> Column:
-    """The first of the values that are equal after ``norm``."""
-    keys = F.transform(values, norm)
-    return F.filter(values, lambda v, i: F.array_position(keys, norm(v)) == i + 1)
-
-
 def haystack(*parts: Column) -> Column:
     """Lower-cased parts with underscores for blanks, joined by blanks; null and empty parts left out."""
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))

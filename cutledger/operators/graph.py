@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 BLOCK = 512
 
 
@@ -69,11 +71,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the least label among neighbours, then the label's own label; rounds end when none changes.
     Lineage is cut by checkpoint() in the folder set in spark.checkpoint.dir.
     """
-    import tempfile
-
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    _checkpoints(edges.sparkSession)
     both = edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("comp")).checkpoint()
     for _ in range(rounds):
@@ -114,15 +112,29 @@ def recontextualization_links(items: DataFrame) -> DataFrame:
     return rows.select("plan_id", "pos", F.when(ok, F.col("setup_pos")).alias("setup_pos"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no earlier setup")).alias("warning"))
 
 
-def plan_lineage(plans: DataFrame) -> DataFrame:
-    """plan_id, ancestor, depth along parent_plan_id, by a recursive query; depth at most 100 guards against loops."""
-    plans.select("plan_id", "parent_plan_id").createOrReplaceTempView("_cl_plans")
-    return plans.sparkSession.sql(
-        """with recursive up(plan_id, ancestor, depth) as (
-             select plan_id, parent_plan_id, 1 from _cl_plans where parent_plan_id is not null
-             union all select up.plan_id, p.parent_plan_id, up.depth + 1 from up join _cl_plans p on p.plan_id = up.ancestor where p.parent_plan_id is not null and up.depth < 100)
-           select * from up"""
-    )
+def plan_lineage(plans: DataFrame, rounds: int = 40) -> DataFrame:
+    """plan_id, ancestor, depth: all plans above each plan along parent_plan_id, by pointer doubling.
+
+    After round n the ancestors up to depth 2^n are known, so a chain of any length takes a logarithm of rounds; a loop
+    of parents never ends and is an error. Lineage is cut by checkpoint().
+    """
+    _checkpoints(plans.sparkSession)
+    known = plans.where("parent_plan_id is not null").select("plan_id", F.col("parent_plan_id").alias("ancestor"), F.lit(1).alias("depth")).checkpoint()
+    for n in range(rounds):
+        # the farthest known ancestor's own ancestors come behind it
+        far = known.where(F.col("depth") == 2**n).select("plan_id", F.col("ancestor").alias("via"))
+        more = far.join(known.select(F.col("plan_id").alias("via"), "ancestor", (F.col("depth") + 2**n).alias("depth")), "via").select("plan_id", "ancestor", "depth").checkpoint()
+        if more.isEmpty():
+            return known
+        known = known.unionByName(more)
+    raise RuntimeError("a plan is its own ancestor")
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir; to one of our own only where that is unset and all runs on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
 
 
 def embedding_text(*parts: Column) -> Column:

@@ -277,19 +277,30 @@ def absorb_slivers(removals: DataFrame, kept: DataFrame, assets: DataFrame, leas
     return merged, complement(merged, assets)
 
 
-def guard_regions(kept: DataFrame, words: DataFrame, assets: DataFrame) -> DataFrame:
-    """Kept parts whose bounds fall inside a word let the word finish: start to 50 ms before it, end to 100 ms after it; a moved end may meet the next word."""
-    units = words.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("units"))
-    rows = kept.join(assets.select("asset_id", "duration_ms"), "asset_id").join(units, "asset_id", "left")
+def speech_islands(words: DataFrame, pause: int) -> DataFrame:
+    """asset_id, s, e, units (array of s, e in order): words up to a pause of ``pause`` or more after the largest end before."""
+    rows = islands(words.select("asset_id", "s", "e"), F.col("s") - F.col("prev_end") >= pause)
+    return rows.groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("units")).drop("island")
 
-    def step(acc: Column, u: Column) -> Column:
-        s = F.when((u["s"] < acc["s"]) & (acc["s"] < u["e"]), F.greatest(F.lit(0), u["s"] - UNIT_HEAD)).otherwise(acc["s"])
-        e = F.when((u["s"] < acc["e"]) & (acc["e"] < u["e"]), F.least(acc["d"], u["e"] + UNIT_TAIL)).otherwise(acc["e"])
-        return F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), acc["d"].alias("d"))
 
-    start = F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("duration_ms").cast("long").alias("d"))
-    done = F.aggregate(F.coalesce("units", F.array().cast("array<struct<s:bigint,e:bigint>>")), start, step)
-    return rows.select("asset_id", done.alias("x")).select("asset_id", "x.s", "x.e")
+def guard_regions(kept: DataFrame, words: DataFrame, assets: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """Kept parts whose bounds fall inside a word let the word finish: start to 50 ms before it, end to 100 ms after it; a moved end may meet the next word.
+
+    A bound meets only the words of its island, as an end moves by UNIT_TAIL past a word and so never over a pause of that length.
+    """
+    speech = speech_islands(words, UNIT_TAIL)
+    key = ["asset_id", "s", "e"]
+
+    def met(bound: str) -> DataFrame:
+        points = kept.select("asset_id", F.col("s").alias("_s"), F.col("e").alias("_e"), F.col(bound).alias("s"), (F.col(bound) + 1).alias("e")).distinct()
+        return overlap_join(points, speech, bucket).select("asset_id", F.col("_s").alias("s"), F.col("_e").alias("e"), F.col("units").alias(f"{bound}_units"))
+
+    rows = kept.join(assets.select("asset_id", "duration_ms"), "asset_id").join(met("s"), key, "left").join(met("e"), key, "left")
+    around = F.get(F.filter("s_units", lambda u: (u["s"] < F.col("s")) & (F.col("s") < u["e"])), 0)
+    step = lambda end, u: F.when((u["s"] < end) & (end < u["e"]), F.least("duration_ms", u["e"] + UNIT_TAIL)).otherwise(end).cast("long")
+    s = F.when(around.isNotNull(), F.greatest(F.lit(0), around["s"] - UNIT_HEAD)).otherwise(F.col("s")).cast("long")
+    e = F.aggregate(F.coalesce("e_units", F.array().cast("array<struct<s:bigint,e:bigint>>")), F.col("e").cast("long"), step)
+    return rows.select("asset_id", s.alias("s"), e.alias("e"))
 
 
 def merge_kept(kept: DataFrame) -> DataFrame:
@@ -339,7 +350,12 @@ def kept_items(kept: DataFrame, removed: DataFrame, words: DataFrame, segments:
     inside = overlap_join(kept, words.select("asset_id", "s", "e"), bucket).where("b_s >= s and b_e <= e").groupBy(*key).agg(F.count("*").alias("n_words"))
     first = overlap_join(kept, segments.select("asset_id", "s", "e", "segment_id"), bucket).groupBy(*key).agg(F.min(F.struct("b_s", "segment_id")).alias("f")).select(*key, "f.segment_id")
     ends, starts = removed.select("asset_id", F.col("e").alias("edge")), removed.select("asset_id", F.col("s").alias("edge"))
-    near = lambda side, c: kept.join(side, "asset_id").where(F.abs(F.col("edge") - F.col(c)) <= 50).select(*key).distinct()
+    slot = lambda c: F.floor(c / 50)
+
+    def near(side: DataFrame, c: str) -> DataFrame:
+        around = kept.withColumn("_slot", F.explode(F.array(slot(F.col(c)) - 1, slot(F.col(c)), slot(F.col(c)) + 1)))
+        return around.join(side.withColumn("_slot", slot(F.col("edge"))), ["asset_id", "_slot"]).where(F.abs(F.col("edge") - F.col(c)) <= 50).select(*key).distinct()
+
     rows = rows.join(inside, key, "left").join(first, key, "left").join(near(ends, "s").withColumn("cut_before", F.lit(True)), key, "left").join(near(starts, "e").withColumn("cut_after", F.lit(True)), key, "left")
     return rows.withColumns({"n_words": F.coalesce("n_words", F.lit(0)), "cut_before": F.coalesce("cut_before", F.lit(False)), "cut_after": F.coalesce("cut_after", F.lit(False))})
 

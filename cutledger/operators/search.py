@@ -1,7 +1,7 @@
 """Evidence search: BM25 over postings, weighted term scores with reasons, filters and coverage.
 
-``queries`` tables (query_id, query_text) may grow with the corpus. BM25 joins on words. The substring scorer seeks
-terms in the corpus's distinct words, about BLOCK terms at a time, and joins from words to segments.
+``queries`` tables (query_id, query_text) may grow with the corpus. BM25 joins on words. The substring scorer joins
+terms with the corpus's distinct words on two or three letters, and words with segments.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-BLOCK = 1000
 K1, B = 1.2, 0.75
 
 
@@ -44,21 +43,19 @@ def term_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, segment_id, hits, spoken: the query's terms found (as substrings) in a segment's hay and transcript, in the query's order.
 
     A term is a run of letters and digits, so it is a substring of a text just if it is one of a word of it: terms
-    are sought in the distinct words of the corpus, a block of terms at a time, and words lead to segments by a
-    join. Pairs without a hit don't appear.
+    meet the distinct words of the corpus that hold their first letters, and words lead to segments by a join. Pairs
+    without a hit don't appear.
     """
     asked = queries.select("query_id", F.posexplode(X.directive_terms(F.col("query_text"))).alias("place", "term"))
     runs = lambda c: F.array_distinct(F.filter(F.split(F.col(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     parts = [segments.select("segment_id", F.explode(runs(c)).alias("word"), F.lit(c == "transcript").alias("speech")) for c in ("hay", "transcript")]
     words = parts[0].unionByName(parts[1])
     terms = asked.select("term").distinct()
-    blocks = max(1, -(-terms.count() // BLOCK))
-    vocabulary = words.select("word").distinct()
-    known = None
-    for b in range(blocks):
-        block = F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b))  # about BLOCK terms
-        one = vocabulary.join(block, F.contains("word", "term"))
-        known = one if known is None else known.unionByName(one)
+    # a term of three letters up is part of a word only if its first three are, a shorter one if its two are
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring("word", i, F.lit(n)))
+    some = lambda n: F.when(F.length("word") >= n, grams(n)).otherwise(F.array().cast("array<string>"))
+    vocabulary = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(some(2), some(3)))).alias("gram"))
+    known = vocabulary.join(terms.withColumn("gram", F.substring("term", 1, 3)), "gram").where(F.contains("word", "term")).select("word", "term")
     found = words.join(known, "word").select("segment_id", "term", "speech").distinct()
     pairs = found.join(asked, "term").groupBy("query_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", "speech"))).alias("_all"))
     pick = lambda speech: F.transform(F.filter("_all", lambda x: x["speech"] == speech), lambda x: x["term"])
@@ -127,6 +124,13 @@ def packets(ranked: DataFrame, facets: DataFrame, bucket: int, n_facets: int = 1
     return ranked.join(got.select("segment_id", F.transform("f", lambda x: x["f_text"]).alias("facet_texts")), "segment_id", "left").withColumn("facet_texts", F.coalesce("facet_texts", F.array().cast("array<string>")))
 
 
+def dedupe(values: DataFrame, *key: str) -> DataFrame:
+    """key, kept: for each key the values (key, pos, value) that are the first of those equal after ``norm``, in order."""
+    first = values.groupBy(*key, X.norm(F.col("value")).alias("_norm")).agg(F.min(F.struct("pos", "value")).alias("v"))
+    kept = first.groupBy(*key).agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return kept.select(*key, F.transform("v", lambda v: v["value"]).alias("kept"))
+
+
 def parse_filter(text: Column, facets: list[str]) -> Column:
     """struct(facet, terms): 'facet: terms' where the prefix is a known facet, else all of the text without a facet."""
     head = X.norm(F.split_part(text, F.lit(":"), F.lit(1)))

@@ -206,14 +206,24 @@ def _(spark, d):
     return rows.select("vec_id", G.relationship_type((F.col("vec_id") % 10) / 10, F.col("label") == 3, 0.8).alias("type"))
 
 
-@R.add("r04_pair_stream")
+@R.add("r04_pair_stream", """with o as (select user_id as asset_id, event_id, epoch_us(ts) // 1000 as t, event_type from events where event_type in ('click', 'view') union all select user_id, 9223372036854775807, epoch_us(max(ts)) // 1000 + 3600000, 'end' from events group by 1),
+ p as (select *, lag(event_type) over w as pe, lag(t) over w as pt from o window w as (partition by asset_id order by t, event_id))
+ select asset_id, case when pe = 'click' then pt else 0 end as s, t as e from p where event_type = 'view' or event_type = 'end' and pe = 'click'""")
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _drain(spark, feeds.pair_stream(_stream(spark, d)))
+    ends = V.table(spark, d, "events").groupBy(F.col("user_id").alias("asset_id")).agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 hour")).alias("ts"))
+    ends = ends.select("asset_id", F.lit(2**63 - 1).alias("obs_id"), "ts", F.lit("end").alias("reason"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _drain(spark, feeds.pair_stream, d, ends)
+    finally:
+        spark.conf.set(name, before)
 
 
-@R.add("r05_join_streams")
+@R.add("r05_join_streams", "select a.user_id as asset_id, epoch_us(a.ts) // 1000 as t, epoch_us(b.ts) // 1000 as start from events a join events b on b.user_id = a.user_id and b.event_type = 'click' and a.ts >= b.ts and a.ts < b.ts + interval 5 minutes")
 def _(spark, d):
-    words = _stream(spark, d).select("asset_id", "ts")
-    windows = _stream(spark, d).where("reason = 'gap_start'").select("asset_id", F.col("ts").alias("start"))
-    return _drain(spark, feeds.join_streams(words, windows, "10 minutes", "5 minutes"))
+    def build(stream):
+        return feeds.join_streams(stream.select("asset_id", "ts"), _stream(spark, d).where("reason = 'gap_start'").select("asset_id", F.col("ts").alias("start")), "10 minutes", "5 minutes")
+
+    return _drain(spark, build, d).select("asset_id", F.unix_millis("ts").alias("t"), F.unix_millis("start").alias("start"))

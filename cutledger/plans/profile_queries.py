@@ -148,9 +148,10 @@ def _(spark, d):
     return G.cluster_hints(G.relate(_vectors(spark, d), 0.35, 0.45, 8))
 
 
-@R.add("g05_index_edges", sql("words", ", ids as (select asset_id as reply_id, i, asset_id*100000 + pos*1000 + i as segment_id from words where pos = 0), ed as (select reply_id, i as from_i, i*2 as to_i from ids) select ed.reply_id, a.segment_id as src, b.segment_id as dst from ed join ids a on a.reply_id = ed.reply_id and a.i = from_i join ids b on b.reply_id = ed.reply_id and b.i = to_i"))
+@R.add("g05_index_edges", sql("words", ", ids as (select asset_id*1000 + pos as reply_id, i, (asset_id*1000 + pos)*100000 + i as segment_id from words), ed as (select reply_id, i as from_i, i*2 as to_i from ids) select ed.reply_id, a.segment_id as src, b.segment_id as dst from ed join ids a on a.reply_id = ed.reply_id and a.i = from_i join ids b on b.reply_id = ed.reply_id and b.i = to_i"))
 def _(spark, d):
-    ids = V.words(spark, d).where("pos = 0").select(F.col("asset_id").alias("reply_id"), "i", (F.col("asset_id") * 100_000 + F.col("pos") * 1000 + F.col("i")).alias("segment_id"))
+    reply = F.col("asset_id") * 1000 + F.col("pos")
+    ids = V.words(spark, d).select(reply.alias("reply_id"), "i", (reply * 100_000 + F.col("i")).alias("segment_id"))
     return G.index_edges(ids.select("reply_id", F.col("i").alias("from_i"), (F.col("i") * 2).alias("to_i")), ids)
 
 

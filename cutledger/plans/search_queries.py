@@ -52,10 +52,10 @@ _count("x02_terms", X.terms, _terms("text"))
 _count("x03_tokens", X.tokens, "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: length(t) > 2)")
 
 
-@R.add("x04_norms", "select doc_id, translate(lower(trim(substr(text,1,80))), '- ', '__') as n, translate(lower(trim(substr(text,1,80))), ' ', '_') as c, translate(substr(text,1,80), '_', '-') as s from documents")
+@R.add("x04_norms", "select doc_id, translate(lower(trim(text)), '- ', '__') as n, translate(lower(trim(text)), ' ', '_') as c, translate(text, '_', '-') as s from documents")
 def _(spark, d):
-    head = F.substring("text", 1, 80)
-    return _docs(spark, d).select("doc_id", X.norm(head).alias("n"), X.norm_context(head).alias("c"), X.slug(head).alias("s"))
+    text = F.col("text")
+    return _docs(spark, d).select("doc_id", X.norm(text).alias("n"), X.norm_context(text).alias("c"), X.slug(text).alias("s"))
 
 
 _STEM = "case " + " ".join(f"when ends_with(t,'{s}') and length(t)-{len(s)} >= 3 then left(t, length(t)-{len(s)})" for s in X.SUFFIXES) + " else t end"
@@ -96,7 +96,7 @@ def _(spark, d):
     return S.bm25(docs, queries, 10)
 
 
-_SEG = ", seg as (select *, lower(replace(concat_ws(' ', nullif(replace(lower(summary),' ','_'),''), role, mood, cast(asset_id as varchar)), chr(0), '')) as hay, lower(substr(summary,1,300)) as transcript from segments where usable)"
+_SEG = ", seg as (select *, lower(replace(concat_ws(' ', nullif(replace(lower(summary),' ','_'),''), role, mood, cast(asset_id as varchar)), chr(0), '')) as hay, lower(summary) as transcript from segments where usable)"
 _SCORE = _SEG + f""", qt as (select query_id, {_dterms('query_text')} as terms from queries), sc0 as (select seg.*, query_id, list_filter(terms, lambda t: contains(hay, t)) as hits, list_filter(terms, lambda t: contains(transcript, t)) as spoken from seg, qt),
  sc as (select *, len(hits)*20 + least(30, len(spoken)*10) + case when has_card then 15 else 0 end + least(20, quality*2) as score, list_filter([case when len(hits) > 0 then 'matches directive terms: ' || array_to_string(hits[1:5], ', ') end, case when len(spoken) > 0 then 'directive terms land in spoken words: ' || array_to_string(spoken[1:4], ', ') end, case when has_card then 'has editorial context card' end], lambda r: r is not null) as reasons from sc0),
  top as (select * from (select *, row_number() over (partition by query_id order by score desc, quality desc, s, segment_id) as rank from sc where score > 0 or query_id not in (select query_id from sc where score > 0)) where rank <= 10)"""
@@ -105,7 +105,7 @@ _SCORE = _SEG + f""", qt as (select query_id, {_dterms('query_text')} as terms f
 def _segments(spark, d):
     rows = V.segments(spark, d).where("usable")
     hay = X.haystack(F.col("summary"), F.col("role"), F.col("mood"), F.col("asset_id"))
-    return rows.withColumns({"hay": hay, "transcript": F.lower(F.substring("summary", 1, 300))})
+    return rows.withColumns({"hay": hay, "transcript": F.lower("summary")})
 
 
 def _top(spark, d, k=10):
@@ -137,18 +137,19 @@ def _(spark, d):
     return S.packets(_top(spark, d), facets, 10_000, 3).select("query_id", "rank", "segment_id", F.array_join("facet_texts", "|").alias("facets"))
 
 
-@R.add("x16_parse_filter", f"select doc_id, case when doc_id % 2 = 0 then lang end as facet, array_to_string(list_sort({_terms('substr(text,1,60)')}), ' ') as terms from documents where lang is not null")
+@R.add("x16_parse_filter", f"select doc_id, case when doc_id % 2 = 0 then lang end as facet, array_to_string(list_sort({_terms('text')}), ' ') as terms from documents where lang is not null")
 def _(spark, d):
     docs = V.table(spark, d, "documents").where("lang is not null")
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(": ", "lang", F.substring("text", 1, 60))).otherwise(F.substring("text", 1, 60))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(": ", "lang", "text")).otherwise(F.col("text"))
     got = docs.select("doc_id", S.parse_filter(text, ["en", "de", "fr", "es"]).alias("f"))
     return got.select("doc_id", "f.facet", F.array_join(F.array_sort("f.terms"), " ").alias("terms"))
 
 
-@R.add("x17_evidence_matches", f"select b.doc_id, list_has_all({_terms('text', True)}, {_terms('substr(text, 1, 40)')[:-1]})) as whole, list_has_all({_terms('text', True)}, ['the','of']) as common from documents b")
+@R.add("x17_evidence_matches", f"select b.doc_id, list_has_all({_terms('text', True)}, {_terms("concat_ws(' ', lang, 'ea')")}) as whole, list_has_all({_terms('text', True)}, ['the','of']) as common from documents b")
 def _(spark, d):
     have = X.terms(F.col("text"), keep_stop=True)
-    return _docs(spark, d).select("doc_id", S.evidence_matches(have, X.terms(F.substring("text", 1, 40))).alias("whole"), S.evidence_matches(have, X.strings(["the", "of"])).alias("common"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text", "lang")
+    return docs.select("doc_id", S.evidence_matches(have, X.terms(F.concat_ws(" ", "lang", F.lit("ea")))).alias("whole"), S.evidence_matches(have, X.strings(["the", "of"])).alias("common"))
 
 
 @R.add("x18_exhibits", f"select s.segment_id, list_has_any({_terms('summary', True)}, ['the','que']) as lane, not list_has_any({_terms('summary', True)}, ['license']) as kept from (select doc_id as segment_id, text as summary from documents) s where list_has_any({_terms('summary', True)}, ['the','que']) and not list_has_any({_terms('summary', True)}, ['license'])")
@@ -219,7 +220,11 @@ def _(spark, d):
     return S.evidence_for_name(names, _docs(spark, d))
 
 
-@R.add("x30_dedupe", f"select doc_id, array_to_string({_uniq('''list_transform(string_split(substr(text,1,200), ' '), lambda w: translate(lower(trim(w)), '-', '_'))''')}, ' ') as kept from documents")
+_KEPT = "select doc_id, key, min(pos) as pos from (select doc_id, translate(lower(trim(w)), '- ', '__') as key, pos from (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as pos from (select doc_id, string_split(text, ' ') as ws from documents))) group by 1, 2"
+
+
+@R.add("x30_dedupe", f"select doc_id, string_agg(key, ' ' order by pos) as kept from ({_KEPT}) group by 1")
 def _(spark, d):
-    kept = X.dedupe(F.split(F.substring("text", 1, 200), " "))
-    return _docs(spark, d).select("doc_id", F.array_join(F.transform(kept, X.norm), " ").alias("kept"))
+    words = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "value"))
+    kept = S.dedupe(words, "doc_id")
+    return kept.select("doc_id", F.array_join(F.transform("kept", X.norm), " ").alias("kept"))

@@ -181,9 +181,9 @@ def _(spark, d):
     return Q.decide_transition(_flagged(spark, d))
 
 
-@R.add("q23_decide_caption", sql("segments", " select segment_id, case when trim(substr(summary,1,5)) = '' then false when quality = 1 and has_card then true else role in ('context','archive') end as burn from segments"))
+@R.add("q23_decide_caption", sql("segments", " select segment_id, case when trim(summary) = '' then false when quality = 1 and has_card then true else role in ('context','archive') end as burn from segments"))
 def _(spark, d):
-    return V.segments(spark, d).select("segment_id", Q.decide_caption(F.trim(F.substring("summary", 1, 5)), (F.col("quality") == 1) & F.col("has_card"), F.col("role")).alias("burn"))
+    return V.segments(spark, d).select("segment_id", Q.decide_caption(F.trim("summary"), (F.col("quality") == 1) & F.col("has_card"), F.col("role")).alias("burn"))
 
 
 _RET = _END + ", th as (select *, row_number() over (partition by plan_id order by pos) as i, count(*) over (partition by plan_id) as n from ended), rt as (select plan_id, pos, i, segment_id, asset_id, cap, case when i > greatest(1, n // 3) and i <= n - greatest(1, n // 3) then least(cap, greatest(500, fit*150//100)) else fit end as fit, i > greatest(1, n // 3) and i <= n - greatest(1, n // 3) as changed from th)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import work as P
 from ..sources import ingest as S
 from ..sources import views as V
+from ..sources.shared import shared_dir
 from ..streaming import feeds as R_
 from .registry import Registry
 from .sql import sql
@@ -179,34 +179,77 @@ def _(spark, d):
     return P.annotate(units, done, _reply, "mock")[0].select("asset_id", "chunk", "s", "e", "text", "source")
 
 
-def _drain(spark, stream, mode="append"):
-    """All rows of a stream over what is there now, through a table of the session's own folder."""
-    name = f"cl_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    q = stream.writeStream.format("parquet").option("path", f"{shared}/{name}").option("checkpointLocation", f"{shared}/{name}-c").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{shared}/{name}")
+def _drain(spark, build, d, last=None):
+    """All rows of ``build``(stream of the events) over what is there now, through tables of the shared folder.
+
+    Then the stream is taken up again with rows that say that nothing more comes (``last``; else one row a year on, of
+    no asset, which moves the watermark), so that what was open comes out too.
+    """
+    work = f"{shared_dir(spark)}/cl_{uuid.uuid4().hex}"
+    events = V.table(spark, d, "events").select(*_event())
+    after = last if last is not None else events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("asset_id"), F.lit(None).cast("long").alias("obs_id"), (F.col("ts") + F.expr("interval 365 days")).alias("ts"), F.lit("end").alias("reason"))
+    after = after.select(*[F.col(f.name).cast(f.dataType) for f in events.schema])
+    after.limit(0).coalesce(1).write.parquet(f"{work}/after")
+    more = spark.readStream.schema(events.schema).parquet(f"{work}/after")
+    out = build(_stream(spark, d).unionByName(more))
+    for again in range(2):
+        q = out.writeStream.format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/progress").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not again:
+            after.write.mode("append").parquet(f"{work}/after")
+    return spark.read.schema(out.schema).parquet(f"{work}/rows")
+
+
+def _event():
+    reasons = F.create_map(*[F.lit(x) for kv in V.REASONS.items() for x in kv])
+    return [F.col("user_id").alias("asset_id"), F.col("event_id").alias("obs_id"), F.col("ts").cast("timestamp").alias("ts"), reasons[F.col("event_type")].alias("reason")]
 
 
 def _stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    reasons = F.create_map(*[F.lit(x) for kv in V.REASONS.items() for x in kv])
-    return rows.select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("obs_id"), F.col("ts").cast("timestamp").alias("ts"), reasons[F.col("event_type")].alias("reason"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).select(*_event())
 
 
-@R.add("r02_tumbling_activity")
+@R.add("r02_tumbling_activity", "select user_id as asset_id, epoch_ms(date_trunc('hour', ts)) as start_ms, count(*) as n from events group by 1, 2")
 def _(spark, d):
-    return _drain(spark, R_.tumbling_activity(_stream(spark, d), "1 hour", "1 minute"))
+    rows = _drain(spark, lambda s: R_.tumbling_activity(s, "1 hour", "1 minute"), d)
+    return rows.select("asset_id", F.unix_millis("start").alias("start_ms"), "n")
 
 
-@R.add("r03_speech_sessions")
+@R.add("r03_speech_sessions", """with g as (select user_id as asset_id, epoch_us(ts) as t, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) as gap from events),
+ i as (select *, sum(case when gap is null or gap > 599999000 then 1 else 0 end) over (partition by asset_id order by t rows unbounded preceding) as k from g)
+ select asset_id, min(t) // 1000 as start_ms, (max(t) + 599999000) // 1000 as finish_ms, count(*) as n from i group by asset_id, k""")
 def _(spark, d):
-    return _drain(spark, R_.speech_sessions(_stream(spark, d), 600_000, "1 minute"))
+    rows = _drain(spark, lambda s: R_.speech_sessions(s, 600_000, "1 minute"), d)
+    return rows.select("asset_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("finish").alias("finish_ms"), "n")
 
 
 @R.add("r06_first_replies", "select user_id as asset_id, event_id as obs_id from events")
 def _(spark, d):
-    return _drain(spark, R_.first_replies(_stream(spark, d), "10 minutes").select("asset_id", "obs_id"))
+    return _drain(spark, lambda s: R_.first_replies(s, "10 minutes").select("asset_id", "obs_id"), d).where("asset_id is not null")
+
+
+@R.add("r01_incremental_ingest", "select page_id as asset_id, md5(url) as path_key, length(html) as size from pages where page_id in (select max(page_id) from pages group by url)")
+def _(spark, d):
+    """Pages come as files; each batch is merged into the table by path, the newest page of a path wins, and a batch seen twice changes nothing."""
+    work = f"{shared_dir(spark)}/cl_{uuid.uuid4().hex}"
+    pages = V.table(spark, d, "pages")
+    schema = pages.schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    state = {"at": None, "n": 0}
+
+    def apply(batch):
+        fresh = batch.select("page_id", "url", F.length("html").cast("long").alias("size"))
+        old = spark.read.parquet(state["at"]) if state["at"] else fresh.limit(0)
+        both = old.unionByName(fresh).groupBy("url").agg(F.max(F.struct("page_id", "size")).alias("r"))
+        state["n"] += 1
+        at = f"{work}/assets-{state['n']}"
+        both.select("r.page_id", "url", "r.size").write.mode("overwrite").parquet(at)
+        state["at"] = at
+
+    for _ in range(2):  # the second finds nothing new
+        R_.ingest(stream, apply, f"{work}/progress").awaitTermination()
+    table = spark.read.schema("page_id long, url string, size long").parquet(state["at"])
+    return table.select(F.col("page_id").cast(schema["page_id"].dataType).alias("asset_id"), F.md5("url").alias("path_key"), "size")

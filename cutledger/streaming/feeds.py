@@ -23,21 +23,26 @@ def speech_sessions(stream: DataFrame, gap_ms: int, late: str) -> DataFrame:
 
 
 class _Pairs(StatefulProcessor):
-    """Keeps the last opening of an asset; a closing gives a range from it."""
+    """Keeps the last opening of an asset; a closing gives a range from it, the asset's end one only if something is open."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         found = []
-        for f in rows:
-            for t, reason in f.sort_values(["t", "obs_id"])[["t", "reason"]].itertuples(index=False):
-                if reason == "gap_start":
-                    self.open.update((int(t),))
-                elif reason == "gap_end":
-                    since = self.open.get()[0] if self.open.exists() else 0
-                    found.append((key[0], since, int(t)))
-                    self.open.clear()
+        # an asset's rows of one batch, in order of time; a batch has as many files as the source is told to take
+        batch = pd.concat(list(rows)).sort_values(["t", "obs_id"])
+        since = self.open.get()[0] if self.open.exists() else None
+        for t, reason in batch[["t", "reason"]].itertuples(index=False):
+            if reason == "gap_start":
+                since = int(t)
+            elif reason == "gap_end" or since is not None:
+                found.append((key[0], since or 0, int(t)))
+                since = None
+        if since is None:
+            self.open.clear()
+        else:
+            self.open.update((since,))
         yield pd.DataFrame(found, columns=["asset_id", "s", "e"])
 
     def close(self) -> None:
@@ -45,8 +50,8 @@ class _Pairs(StatefulProcessor):
 
 
 def pair_stream(stream: DataFrame) -> DataFrame:
-    """asset_id, s, e (ms since 1970) from openings to closings; needs the RocksDB state store."""
-    rows = stream.where("reason in ('gap_start', 'gap_end')").select("asset_id", "obs_id", F.unix_millis("ts").alias("t"), "reason")
+    """asset_id, s, e (ms since 1970) from openings to closings, or to the asset's end (reason 'end'); needs the RocksDB state store."""
+    rows = stream.where("reason in ('gap_start', 'gap_end', 'end')").select("asset_id", "obs_id", F.unix_millis("ts").alias("t"), "reason")
     return rows.groupBy("asset_id").transformWithStateInPandas(statefulProcessor=_Pairs(), outputStructType="asset_id long, s long, e long", outputMode="Append", timeMode="None")
 
 
