@@ -147,34 +147,48 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, got["quality"].to_numpy(float))
 
 
-def _strength(rates: DataFrame, key: str) -> DataFrame:
-    """One row: the mean rate and, by moments, how many rows a group's prior is worth (at least 1, at most 1e4)."""
-    out = rates.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n"), 2)).alias("q"), F.count("*").alias("g"))
-    mean = F.col("s") / F.col("n")
-    within = mean * (1 - mean)
-    between = F.greatest(F.col("q") / F.col("n") - mean * mean - within * F.col("g") / F.col("n"), F.lit(1e-6))
-    return out.select(mean.alias(f"{key}_mean"), F.least(F.greatest(within / between, F.lit(1.0)), F.lit(1e4)).alias(f"{key}_worth"))
+def _strength(groups: DataFrame, name: str) -> DataFrame:
+    """One row: the mean of all, and how many rows a group's prior is worth (at least 1, at most 1e4), by moments.
+
+    ``groups``: the sum s and count n of each group, and those of its parent, t and m. Spread of group means around
+    their own parent's mean, beyond what rows that are drawn from that mean would show, is spread between groups.
+    """
+    mean = F.col("t") / F.col("m")
+    noise = mean * (1 - mean)
+    out = groups.agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)).alias("q"),
+        F.sum(noise * (1 - F.col("n") / F.col("m"))).alias("expected"),
+        F.sum(F.col("n") * (1 - F.col("n") / F.col("m"))).alias("free"),
+        F.sum(F.col("n") * noise).alias("noise"),
+    )
+    between = F.greatest((F.col("q") - F.col("expected")) / F.greatest("free", F.lit(1e-9)), F.lit(1e-6))
+    worth = F.when(F.col("free") > 1e-9, F.least(F.greatest(F.col("noise") / F.col("n") / between, F.lit(1.0)), F.lit(1e4))).otherwise(1e4)
+    return out.select((F.col("s") / F.col("n")).alias(f"{name}_mean"), worth.alias(f"{name}_worth"))
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
     """``scored``: host, path, p (what is known or believed of each text). Returns host, path, their sums, and the priors' strengths.
 
-    Counts are partial sums before the shuffle; hosts and paths are compared over all rows.
+    Counts are partial sums before the shuffle. Hosts are compared around the mean of all rows, paths around the mean
+    of their own host.
     """
     paths = cut(scored.groupBy("host", "path").agg(F.sum("p").alias("ps"), F.count("*").cast("double").alias("pn")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("ps").alias("hs"), F.sum("pn").alias("hn"))
-    whole = _strength(hosts.select(F.col("hs").alias("s"), F.col("hn").alias("n")), "all").crossJoin(
-        _strength(paths.select(F.col("ps").alias("s"), F.col("pn").alias("n")), "path").select("path_worth")
-    )  # two tables of one row
-    return cut(paths.join(hosts, "host").crossJoin(F.broadcast(whole)), "sites")
+    hosts = cut(paths.groupBy("host").agg(F.sum("ps").alias("hs"), F.sum("pn").alias("hn")), "hosts")
+    every = hosts.agg(F.sum("hs").alias("t"), F.sum("hn").alias("m"))
+    both = paths.join(hosts, "host")
+    of_hosts = _strength(hosts.select(F.col("hs").alias("s"), F.col("hn").alias("n")).crossJoin(F.broadcast(every)), "all")  # tables of one row
+    of_paths = _strength(both.select(F.col("ps").alias("s"), F.col("pn").alias("n"), F.col("hs").alias("t"), F.col("hn").alias("m")), "path").select("path_worth")
+    return cut(both.crossJoin(F.broadcast(of_hosts)).crossJoin(F.broadcast(of_paths)), "sites")
 
 
-def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """All columns of ``docs``, then ``_doc`` (text evidence alone), ``_site`` (the site's shrunken posterior), ``_good`` (both), ``_kept``.
+def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE, text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (without its text, if not ``text``), then ``_doc`` (text evidence alone), ``_site`` (the site's shrunken posterior), ``_good`` (both), ``_kept``.
 
     A document's own belief is taken out of its site's sums, the path's mean is shrunk to the host's and the
-    host's to the mean of all, each by the strength that the spread between groups shows; the posterior odds of
-    the site take the place of the classifier's prior odds. ``_kept`` = ``_good`` >= ``least``.
+    host's to the mean of all, each by the strength that the spread between groups shows; a path that is its whole
+    host has the host's mean. The posterior odds of the site take the place of the classifier's prior odds.
+    ``_kept`` = ``_good`` >= ``least``. Texts are read once: rows are written with their odds.
 
     A null text counts as empty, a null source as site ''. Repeated rows count each. Without labels the
     classifier says 1/2 of every text and all are kept. Empty tables give empty results. Other columns pass
@@ -184,15 +198,19 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
     host, path = site(F.col("source"))
     # the row travels as one struct, so that none of its names can clash with those used here
     packed = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_host"), path.alias("_path"))
-    odds = evidence(packed, model).withColumn("_doc", 1 / (1 + F.exp(-F.col("_odds"))))
-    sites = posteriors(cut(odds.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_doc").alias("p")), "beliefs"))
+    columns = [c for c in docs.columns if text or c != "text"]
+    slim = F.col("_row") if text else F.struct(*[F.col("_row")[c].alias(c) for c in columns], F.lit(0).alias("_none"))
+    odds = cut(evidence(packed, model).select(slim.alias("_row"), "_host", "_path", "_odds"), "odds")
+    odds = odds.withColumn("_doc", 1 / (1 + F.exp(-F.col("_odds"))))
+    sites = posteriors(odds.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_doc").alias("p")))
     sites = sites.withColumnsRenamed({c: f"_{c}" for c in sites.columns})
     both = odds.join(sites, ["_host", "_path"])
     mine = F.col("_doc")
     host_mean = (F.col("_hs") - mine + F.col("_all_worth") * F.col("_all_mean")) / (F.col("_hn") - 1 + F.col("_all_worth"))
     path_mean = (F.col("_ps") - mine + F.col("_path_worth") * host_mean) / (F.col("_pn") - 1 + F.col("_path_worth"))
+    path_mean = F.when(F.col("_pn") == F.col("_hn"), host_mean).otherwise(path_mean)
     at = F.least(F.greatest(path_mean, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds_all = F.col("_odds") - float(np.log(model.prior / (1 - model.prior))) + F.log(at / (1 - at))
     out = both.withColumn("_site", at).withColumn("_good", 1 / (1 + F.exp(-odds_all))).withColumn("_kept", F.col("_good") >= least)
     new = ["_doc", "_site", "_good", "_kept"]
-    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *new)
+    return out.select(*[F.col("_row")[c].alias(c) for c in columns if c not in new], *new)

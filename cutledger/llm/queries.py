@@ -18,7 +18,7 @@ def _bucket(column: str, parts: int):  # noqa: ANN202
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    out = judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"))
+    out = judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"), text=False)
     return out.select("doc_id", F.col("_doc").alias("p_text"), F.col("_site").alias("p_site"), F.col("_good").alias("p_good"), F.col("_kept").alias("kept"))
 
 

@@ -143,3 +143,49 @@ def test_quality_edges(spark):
         got = out.collect()
         assert len(got) == 11 and all(0 <= r._good <= 1 for r in got)
     assert quality.judge(frame.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_site_posteriors_against_brute_force(spark, data):
+    """Pages have real hosts and folders: each text's site posterior from all others', worked out group by group."""
+    import math
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{data}/pages.parquet").selectExpr("page_id as doc_id", "html as text", "concat(url, case when page_id % 3 = 0 then '/deep/er' else '/x' end) as source")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = quality.judge(pages, labels).withColumns({"h": quality.site(F.col("source"))[0], "q": quality.site(F.col("source"))[1]}).collect()
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in got:
+        hosts[r.h].append(r._doc)
+        paths[r.h, r.q].append(r._doc)
+    assert len(paths) > len(hosts) > 1
+    mean = lambda x: sum(x) / len(x)
+
+    def worth(groups):
+        """groups: list of (values, parent's mean, parent's count)."""
+        n = sum(len(v) for v, _, _ in groups)
+        spread = sum(len(v) * (mean(v) - m) ** 2 - m * (1 - m) * (1 - len(v) / k) for v, m, k in groups)
+        free = sum(len(v) * (1 - len(v) / k) for v, _, k in groups)
+        if free <= 1e-9:
+            return 1e4
+        noise = sum(len(v) * m * (1 - m) for v, m, _ in groups) / n
+        return min(max(noise / max(spread / free, 1e-6), 1.0), 1e4)
+
+    whole = [r._doc for r in got]
+    w_host = worth([(v, mean(whole), len(whole)) for v in hosts.values()])
+    w_path = worth([(v, mean(hosts[h]), len(hosts[h])) for (h, _), v in paths.items()])
+    for r in got:
+        h, p = hosts[r.h], paths[r.h, r.q]
+        m = (sum(h) - r._doc + w_host * mean(whole)) / (len(h) - 1 + w_host)
+        if len(p) < len(h):
+            m = (sum(p) - r._doc + w_path * m) / (len(p) - 1 + w_path)
+        assert math.isclose(r._site, min(max(m, 1e-4), 1 - 1e-4), rel_tol=1e-6)
+
+
+def test_judge_without_text_gives_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    a = quality.judge(docs, labels).drop("text").collect()
+    b = quality.judge(docs, labels, text=False).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
