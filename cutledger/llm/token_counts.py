@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Format: the pattern that cuts text into pre-tokens for byte-level BPE of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,6 +41,12 @@ class Counter:
         return self.cut.findall(text)
 
 
+@lru_cache(maxsize=2)
+def _counter(ranks: bytes) -> Counter:
+    """One for all tasks of a Python worker."""
+    return Counter(ranks)
+
+
 class Tree:
     """Leaves of pre-tokens; above them sums of characters and of tokens.
 
@@ -46,12 +54,14 @@ class Tree:
     boundary of old pre-tokens comes again, encodes only those, and adds the difference up to the root.
     """
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, counter: Counter, leaves: tuple[list[list[int]], list[list[int]]] | None = None) -> None:
+        """With ``leaves``, the sizes and token counts kept from before, nothing of the text is cut or encoded."""
         self.text, self.counter, self.encoded = text, counter, 0
-        pieces = counter.pieces(text)
-        sizes, counts = [len(p) for p in pieces], [counter.count(p) for p in pieces]
-        self.sizes = [sizes[i : i + LEAF] for i in range(0, len(sizes), LEAF)] or [[]]
-        self.counts = [counts[i : i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
+        if leaves is None:
+            pieces = counter.pieces(text)
+            leaves = ([len(p) for p in pieces], [counter.count(p) for p in pieces])
+            leaves = tuple([x[i : i + LEAF] for i in range(0, len(x), LEAF)] for x in leaves)
+        self.sizes, self.counts = (x or [[]] for x in leaves)
         self.width = 1 << (len(self.sizes) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, (s, c) in enumerate(zip(self.sizes, self.counts, strict=True)):
@@ -144,29 +154,61 @@ def _bytes(path: str) -> bytes:
     return data
 
 
-def counts(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``docs``: doc_id, text, edits (array of struct start, finish, added, applied in order, each to the text left by the last).
+_LEAVES = "sizes array<array<int>>, counts array<array<int>>"
+
+
+def trees(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """All columns of ``docs`` but those named below, then n_tokens, sizes, counts: the segment tree of each text, to be kept.
 
-    Returns doc_id, n_pre_tokens, n_tokens (before any edit), n_after (after all), n_encoded (pre-tokens that the
-    edits had encoded), text_sha (sha2 of the edited text). A null text counts as empty, null edits as none, a null
-    or negative place as 0, one past the end as the end, null new text as empty. Characters are code points.
+    sizes and counts hold, leaf by leaf, the characters and the tokens of each pre-token; a null text counts as empty.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(_bytes(ranks_path))
+    rest = docs.select(*[c for c in docs.columns if c not in ("n_tokens", "sizes", "counts")])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _counter(ranks.value)
+        for f in frames:
+            built = [Tree(t or "", counter) for t in f["text"]]
+            yield f.assign(n_tokens=[t.total() for t in built], sizes=[t.sizes for t in built], counts=[t.counts for t in built])
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("n_tokens", T.LongType()), *T.StructType.fromDDL(_LEAVES).fields])
+    return rest.mapInPandas(run, schema)
+
+
+def edited(kept: DataFrame, ranks_path: str) -> DataFrame:
+    """``kept``: doc_id, text, sizes, counts as of ``trees``, and edits (array of struct start, finish, added, applied in order, each to the text left by the last).
+
+    Returns doc_id, n_pre_tokens, n_tokens (before any edit), n_after (after all), n_encoded (pre-tokens that the edits
+    had encoded), and the text, sizes and counts after them, to be kept in place of the old ones. Only what an edit
+    touches, and what stands beside it, is encoded. Null edits count as none, a null or negative place as 0, one past
+    the end as the end, null new text as empty. Characters are code points.
+    """
+    ranks = kept.sparkSession.sparkContext.broadcast(_bytes(ranks_path))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(ranks.value)
+        counter = _counter(ranks.value)
         for f in frames:
             rows = []
-            for doc, text, edits in zip(f["doc_id"], f["text"], f["edits"], strict=True):
-                tree = Tree(text or "", counter)
+            for doc, text, sizes, counts, edits in zip(f["doc_id"], f["text"], f["sizes"], f["counts"], f["edits"], strict=True):
+                tree = Tree(text or "", counter, ([x.tolist() for x in sizes], [x.tolist() for x in counts]))
                 first, n = tree.total(), sum(map(len, tree.sizes))
                 for e in edits if edits is not None else ():
                     if e is not None:
                         tree.edit(int(e["start"] or 0), int(e["finish"] or 0), e["added"] or "")
-                rows.append((doc, n, first, tree.total(), tree.encoded, tree.text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_pre_tokens", "n_tokens", "n_after", "n_encoded", "text"]).astype({"doc_id": "Int64"})
+                rows.append((doc, n, first, tree.total(), tree.encoded, tree.text, tree.sizes, tree.counts))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_pre_tokens", "n_tokens", "n_after", "n_encoded", "text", "sizes", "counts"]).astype({"doc_id": "Int64"})
 
     kind = "array<struct<start:int,finish:int,added:string>>"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(kind))
-    out = rows.mapInPandas(run, "doc_id long, n_pre_tokens long, n_tokens long, n_after long, n_encoded long, text string")
-    return out.withColumn("text_sha", F.sha2("text", 256)).drop("text")
+    rows = kept.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "sizes", "counts", F.col("edits").cast(kind))
+    return rows.mapInPandas(run, f"doc_id long, n_pre_tokens long, n_tokens long, n_after long, n_encoded long, text string, {_LEAVES}")
+
+
+def counts(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """``docs``: doc_id, text, edits. The tree of each text is built, and the edits are made on it.
+
+    Returns doc_id, n_pre_tokens, n_tokens, n_after, n_encoded as ``edited``, and text_sha (sha2 of the edited text).
+    Repeated rows give a row each; other columns are ignored, whatever their names.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "edits")
+    out = edited(trees(rows, ranks_path), ranks_path)
+    return out.withColumn("text_sha", F.sha2("text", 256)).drop("text", "sizes", "counts")

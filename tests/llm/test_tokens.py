@@ -167,3 +167,25 @@ def test_counts_edges(spark):
     assert len(got) == 10
     assert len({got[i].text_sha for i in range(1, 6)}) == 1 and got[8].n_after == got[8].n_tokens
     assert token_counts.counts(frame.limit(0), queries.RANKS).count() == 0
+
+
+def test_kept_trees_take_later_edits(spark, data, counter):
+    """Trees are written, edited, written and edited again; each time as if built anew, and little is encoded."""
+    from pyspark.sql import functions as F
+
+    from cutledger.llm.scratch import cut
+
+    kind = "array<struct<start:int,finish:int,added:string>>"
+    edits = lambda text: F.from_json(F.lit(text), kind)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    kept = cut(token_counts.trees(docs, queries.RANKS))
+    one = cut(token_counts.edited(kept.withColumn("edits", edits('[{"start": 10, "finish": 12, "added": "  new"}]')), queries.RANKS))
+    two = token_counts.edited(one.withColumn("edits", edits('[{"start": 3, "finish": 3, "added": "x"}, {"start": 0, "finish": 1, "added": ""}]')), queries.RANKS).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(two) == len(texts)
+    for r in two:
+        t = texts[r.doc_id]
+        t = t[:10] + "  new" + t[12:]
+        t = (t[:3] + "x" + t[3:])[1:]
+        assert r.text == t and r.n_after == len(counter.bpe.encode_ordinary(t)) and r.n_encoded < 30
+        assert sum(map(sum, r.counts)) == r.n_after and sum(map(sum, r.sizes)) == len(t)
