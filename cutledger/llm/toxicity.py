@@ -17,6 +17,10 @@ from .words import Words, chunks, text_bytes
 SAMPLE = 6000
 #: Words are features if that many of the sampled distinct texts hold them; the most telling ones stay.
 LEAST_TEXTS, MOST_WORDS = 5, 20_000
+#: Pairs of a sentence and a feature that the model is fitted on at most: texts count whole, in the order of their hash.
+MOST_PAIRS = 4_000_000
+#: Parts of the sample that take turns in being scored by a model fitted on the others, to calibrate scores.
+FOLDS = 3
 #: Besides a word, its first bytes are a feature of their own (for words that are longer).
 PREFIX = 6
 _END = np.zeros(256, bool)
@@ -25,11 +29,13 @@ _END[list(b".!?\n")] = True
 
 @dataclass
 class Model:
-    """Sorted word hashes, their weights, and the log odds of a sentence without any of them."""
+    """Sorted word hashes, their weights, and the log odds of a sentence without any of them; the line that makes a text's log odds those of label 1."""
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
+    scale: float = 1.0
+    shift: float = 0.0
 
 
 def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +78,57 @@ def fit(sent_doc: np.ndarray, sent_of: np.ndarray, word_of: np.ndarray, lean: np
     return theta[:-1], float(theta[-1])
 
 
+@dataclass
+class Bags:
+    """Texts as bags of sentences: the text of each sentence, sentence and feature of each distinct pair, the texts' labels."""
+
+    sent_doc: np.ndarray
+    sent_of: np.ndarray
+    word_of: np.ndarray
+    toxic: np.ndarray
+
+    def part(self, texts: np.ndarray) -> Bags:
+        """Those of ``texts`` (a mask) alone."""
+        sents = texts[self.sent_doc]
+        pairs = sents[self.sent_of]
+        place = lambda mask, x: (np.cumsum(mask) - 1)[x]
+        return Bags(place(texts, self.sent_doc[sents]), place(sents, self.sent_of[pairs]), self.word_of[pairs], self.toxic[texts])
+
+    def lean(self, words: int) -> np.ndarray:
+        """Log ratio of each feature's shares among toxic and other texts."""
+        pair = np.unique(self.sent_doc[self.sent_of] * words + self.word_of)
+        bad = self.toxic[pair // words] == 1
+        n1 = int((self.toxic == 1).sum())
+        return np.log((np.bincount(pair[bad] % words, minlength=words) + 0.5) / (n1 + 1)) - np.log((np.bincount(pair[~bad] % words, minlength=words) + 0.5) / (len(self.toxic) - n1 + 1))
+
+    def fit(self, words: int) -> tuple[np.ndarray, float]:
+        return fit(self.sent_doc, self.sent_of, self.word_of, self.lean(words), self.toxic)
+
+    def log_odds(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return text_odds(bias + np.bincount(self.sent_of, weights[self.word_of], len(self.sent_doc)), self.sent_doc, len(self.toxic))
+
+
+def text_odds(z: np.ndarray, sent_doc: np.ndarray, texts: int) -> np.ndarray:
+    """Log odds of the noisy-or of each text's sentences, from theirs; at least -30, for a text without any too."""
+    p = np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-12)
+    clean = np.bincount(sent_doc, np.log1p(-p), texts)
+    return np.clip(np.log(np.maximum(-np.expm1(clean), 1e-13)) - clean, -30, 30)
+
+
+def calibrate(odds: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of log odds that make them those of label 1: logistic regression, by Newton steps."""
+    h = np.stack([odds, np.ones(len(odds))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(h @ w, -30, 30)))
+        step = np.linalg.solve((h * (p * (1 - p) + 1e-9)[:, None]).T @ h + np.diag([1e-3, 1e-3]), h.T @ (toxic - p) - 1e-3 * (w - [1, 0]))
+        w += np.clip(step, -0.5, 0.5)
+        if np.abs(step).max() < 1e-6:
+            break
+    # texts keep their order
+    return max(float(w[0]), 0.1), float(w[1])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct features of each text."""
     for part in chunks(batches):
@@ -97,8 +154,9 @@ def cells(words: Words, sent: np.ndarray, known: np.ndarray) -> tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents (text, toxic); equal texts count once, with their mean label rounded.
 
-    The features are chosen by a grouped count over the sample; only their counts, and which sentence holds which,
-    reach the driver. Without both labels the score is about 0 or about the labels' own value for every text.
+    The features are chosen by a grouped count over the sample; only their counts, and which sentence holds which (at
+    most MOST_PAIRS), reach the driver. Scores of texts by models that did not see them calibrate the final model's.
+    Without both labels the score is about 0 or about the labels' own value for every text.
     """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
@@ -110,10 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if n1 else -30.0)
     counts = rows.mapInArrow(_features, "toxic int, feature array<long>").select("toxic", F.explode("feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     lean = F.log((F.col("bad") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n0 + 1))
-    top = counts.where(F.col("n") >= LEAST_TEXTS).withColumn("lean", lean).orderBy((F.abs("lean") * F.sqrt("n")).desc(), "feature").limit(MOST_WORDS).select("feature", "lean").toPandas()
-    hashes = top["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    known, start = hashes[order], top["lean"].to_numpy()[order]
+    top = counts.where(F.col("n") >= LEAST_TEXTS).withColumn("lean", lean).orderBy((F.abs("lean") * F.sqrt("n")).desc(), "feature").limit(MOST_WORDS).select("feature").toPandas()
+    known = np.sort(top["feature"].to_numpy(np.int64).view(np.uint64))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -123,25 +179,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             bounds = np.searchsorted(s, first).astype(np.int32)
             local = (s - first[sent_doc[s]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("toxic"), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(bounds, local), pa.ListArray.from_arrays(bounds, w.astype(np.int32))],
-                names=["toxic", "sentences", "sent", "word"],
+                [part.column("key"), part.column("toxic"), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(bounds, local), pa.ListArray.from_arrays(bounds, w.astype(np.int32))],
+                names=["key", "toxic", "sentences", "sent", "word"],
             )
 
-    got = rows.orderBy(F.xxhash64("text"), "text").mapInArrow(held, "toxic int, sentences int, sent array<int>, word array<int>").toPandas()
-    sizes = got["sentences"].to_numpy(np.int64)
+    found = rows.select(F.xxhash64("text").alias("key"), "text", "toxic").mapInArrow(held, "key long, toxic int, sentences int, sent array<int>, word array<int>")
+    found = cut(found, "bags")
+    sizes = found.select("key", F.size("word").alias("n")).toPandas().sort_values("key", ignore_index=True)  # a row for each of the sample
+    most = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy(np.int64)), MOST_PAIRS, side="right"))
+    got = found.where(F.col("key") <= int(sizes["key"].iloc[max(min(most, len(sizes)) - 1, 0)])).toPandas().sort_values("key", ignore_index=True)
+    sents = got["sentences"].to_numpy(np.int64)
     sent_of, word_of = (np.concatenate([np.asarray(x, np.int64) for x in got[c]]) for c in ("sent", "word"))
-    sent_of += np.repeat(np.cumsum(sizes) - sizes, got["sent"].map(len))
-    weights, bias = fit(np.repeat(np.arange(len(got)), sizes), sent_of, word_of, start, got["toxic"].to_numpy())
+    sent_of += np.repeat(np.cumsum(sents) - sents, got["sent"].map(len))
+    bags = Bags(np.repeat(np.arange(len(got)), sents), sent_of, word_of, got["toxic"].to_numpy())
+    odds = np.zeros(len(got))
+    for fold in range(FOLDS):
+        mine = np.arange(len(got)) % FOLDS == fold
+        odds[mine] = bags.part(mine).log_odds(*bags.part(~mine).fit(len(known)))
+    weights, bias = bags.fit(len(known))
     big = np.abs(weights) > 1e-3
-    return Model(known[big], weights[big], bias)
+    return Model(known[big], weights[big], bias, *calibrate(odds, bags.toxic))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, held_out (passed), score, offending: (start, end, score) of sentences that score ``least`` or more.
 
     start and end count code points of the text from the first to after the last word. A null or empty text, or
-    one without a word, scores 0. The score of a text is 1 - product of (1 - sentence score): whole texts, any
-    length; word order within a sentence and repeats in it don't count.
+    one without a word, scores 0. The score of a text is 1 - product of (1 - sentence score), calibrated: whole texts,
+    any length; word order within a sentence and repeats in it don't count. Repeated rows give a row each; other
+    columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +219,8 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             z += np.bincount(held, model.weights[which], len(first))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             p = np.minimum(p, 1 - 1e-12)
-            total = 1 - np.exp(np.bincount(sent_doc, np.log1p(-p), len(texts))) if len(first) else np.zeros(len(texts))
+            total = 1 / (1 + np.exp(-np.clip(model.scale * text_odds(z, sent_doc, len(texts)) + model.shift, -30, 30)))
+            total[np.bincount(sent_doc, minlength=len(texts)) == 0] = 0
             bad = np.flatnonzero(p >= least)
             data, offsets = text_bytes(texts)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from cutledger.llm import language_id, quality, queries, toxicity
 
 from .common import docs, edge_docs
 
-BIG = "/root/testdata/sf0.01"
+BIG, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def auc(y, s):
@@ -85,6 +86,14 @@ def test_toxicity_held_out(spark):
     assert both.score.between(0, 1).all()
 
 
+@pytest.mark.skipif(not os.path.exists(LARGE), reason="needs the larger tables")
+def test_toxicity_recall_with_more_labels(spark):
+    got = queries.op4_toxicity(spark, LARGE).toPandas()
+    truth = spark.read.parquet(f"{LARGE}/labels.parquet").select("doc_id", "toxic").toPandas()
+    held = got[got.held_out].merge(truth, on="doc_id")
+    assert held[held.predicted == 1].toxic.mean() > 0.9 and held[held.toxic == 1].predicted.mean() > 0.75
+
+
 def test_toxicity_finds_the_sentence_and_noisy_or_holds(spark):
     rows = [(i, f"calm words here today. you {'awful' if i % 2 else 'lovely'} creature number {'abcdef'[i % 6]}. fine end.") for i in range(200)]
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
@@ -96,7 +105,28 @@ def test_toxicity_finds_the_sentence_and_noisy_or_holds(spark):
     assert "Nice day.\né you awful creature! Bye."[span.start : span.end] == "é you awful creature"
     bags = toxicity.score(docs(spark, [(1, "you awful thing"), (2, "you awful thing. you awful thing")]).selectExpr("doc_id", "false as held_out", "text"), model).collect()
     one, two = sorted(r.score for r in bags)
-    assert two == pytest.approx(1 - (1 - one) ** 2)
+    # scores are calibrated log odds of the noisy-or
+    raw = lambda s: 1 / (1 + np.exp(-(np.log(s / (1 - s)) - model.shift) / model.scale))
+    assert raw(two) == pytest.approx(1 - (1 - raw(one)) ** 2)
+
+
+def test_calibration_keeps_order_and_fits():
+    rng = np.random.default_rng(2)
+    odds = rng.normal(0, 3, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * odds + 1)))).astype(int)
+    scale, shift = toxicity.calibrate(odds, y)
+    assert abs(scale - 0.5) < 0.06 and abs(shift - 1) < 0.12
+    assert toxicity.calibrate(odds, 1 - y)[0] > 0
+
+
+def test_text_odds_are_those_of_the_noisy_or():
+    z, doc = np.array([-2.0, 0.5, -40.0, 3.0]), np.array([0, 0, 1, 3])
+    got = toxicity.text_odds(z, doc, 4)
+    p = 1 / (1 + np.exp(-z))
+    for i in (0, 3):
+        whole = 1 - np.prod(1 - p[doc == i])
+        assert np.isclose(got[i], np.log(whole / (1 - whole)))
+    assert got[1] < -25 and got[2] < -25
 
 
 def test_toxicity_edges(spark):
