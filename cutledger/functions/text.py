@@ -13,6 +13,7 @@ DEAD_MARKERS = ["dead moment", "dead time", "boring", "dull", "filler", "nothing
 LOW_ENERGY_PHRASES = ["low energy", "no motion", "no movement", "nothing happens", "still frame", "static shot", "empty frame", "dead air"]
 LOW_ENERGY_TOKENS = ["idle", "motionless", "uneventful", "silent"]
 SUFFIXES = ["ing", "ers", "er", "ed", "es", "s"]
+DIRECTIONS = ["left", "right", "up", "down", "forward", "backward", "back"]
 SHOT_SIZES = ["extreme_close_up", "close_up", "medium", "wide", "extreme_wide"]
 ENERGY = {"rising": 10, "building": 10, "high": 10, "steady": 5, "flat": 5, "mixed": 5, "falling": 0, "fading": 0, "low": 0}
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import checkpoints
 
 BLOCK = 512
 
@@ -71,7 +71,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the least label among neighbours, then the label's own label; rounds end when none changes.
     Lineage is cut by checkpoint() in the folder set in spark.checkpoint.dir.
     """
-    _checkpoints(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     both = edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("comp")).checkpoint()
     for _ in range(rounds):
@@ -118,7 +118,7 @@ def plan_lineage(plans: DataFrame, rounds: int = 40) -> DataFrame:
     After round n the ancestors up to depth 2^n are known, so a chain of any length takes a logarithm of rounds; a loop
     of parents never ends and is an error. Lineage is cut by checkpoint().
     """
-    _checkpoints(plans.sparkSession)
+    checkpoints(plans.sparkSession)
     known = plans.where("parent_plan_id is not null").select("plan_id", F.col("parent_plan_id").alias("ancestor"), F.lit(1).alias("depth")).checkpoint()
     for n in range(rounds):
         # the farthest known ancestor's own ancestors come behind it
@@ -130,13 +130,6 @@ def plan_lineage(plans: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("a plan is its own ancestor")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; to one of our own only where that is unset and all runs on one machine."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-
-
 def embedding_text(*parts: Column) -> Column:
     """The first 300 characters of the parts that aren't empty, joined by blanks."""
     return F.substring(F.concat_ws(" ", *[F.when(p != "", p) for p in parts]), 1, 300)

@@ -370,6 +370,13 @@ def respect_word_units(s: Column, e: Column, most: Column, units: Column) -> Col
     return F.aggregate(units, e.cast("long"), step)
 
 
+def clamped_range(s: Column, e: Column, asset_ms: Column) -> Column:
+    """struct(s, e) of a final item: within its asset where that is known, 100 ms long at least."""
+    start = F.when(asset_ms.isNotNull(), F.least(s, F.greatest(F.lit(0), asset_ms - 100))).otherwise(s)
+    end = F.when(asset_ms.isNotNull(), F.least(F.greatest(start + 100, e), asset_ms)).otherwise(e)
+    return F.struct(start.cast("long").alias("s"), F.when(end - start < 100, start + 100).otherwise(end).cast("long").alias("e"))
+
+
 def rational_time(ms: Column, rate: Column) -> Column:
     """struct(value, rate): frames at ``rate`` (30 where it is missing or not positive), to the thousandth."""
     r = F.when(rate > 0, rate).otherwise(F.lit(30.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoints
+
 ARC = ["hook", "context", "performance", "reaction", "emotion", "payoff"]
 
 
@@ -15,6 +17,22 @@ def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return part.select("n", F.inline(one)).groupBy("level", "value").agg(F.sum("n").alias("n"))
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: the rows of each table."""
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def context_summary(cards: DataFrame, material: DataFrame, captions: DataFrame) -> DataFrame:
+    """level, value, n: cards by source, material by kind, captions in all."""
+    by = lambda t, c, name: t.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("level"), "value", "n")
+    whole = captions.agg(F.count("*").alias("n")).select(F.lit("captions").alias("level"), F.lit("").alias("value"), "n")
+    return by(cards, "source", "cards").unionByName(by(material, "kind", "material")).unionByName(whole)
+
+
 def facet_summary(observations: DataFrame) -> DataFrame:
     """facet, source, n by both, by each alone, and in all (null marks what is summed over)."""
     return observations.groupingSets([["facet", "source"], ["facet"], ["source"], []], "facet", "source").agg(F.count("*").alias("n"))
@@ -42,30 +60,56 @@ def quotable_lines(units: DataFrame, k: int) -> DataFrame:
     return first.select("line", "f.*").orderBy("asset_id", "s", "pos", "line").limit(k)
 
 
+TIMES = ["start_sec", "end_sec", "confidence"]
+
+
+def json_leaves(rows: DataFrame, raw: str, *keep: str, skip: list[str]) -> tuple[DataFrame, DataFrame]:
+    """String leaves of JSON values of any depth, and phrases of their objects; what can't be read has neither.
+
+    Leaves: keep, at (places on the way down, keys in order), text (trimmed, not blank). Phrases: keep, text: the lower-cased
+    values in the order of their keys of each object that has two values or more, all of them strings that aren't
+    blank. Keys in ``skip`` are left out with all below them. ``keep`` names a row. A step down is one lateral join; it
+    ends when no value is nested. Lineage is cut by checkpoint().
+    """
+    spark = rows.sparkSession
+    checkpoints(spark)
+    text = lambda v: F.expr(f"case when schema_of_variant({v}) = 'STRING' then trim(variant_get({v}, '$', 'string')) end")
+    level = rows.select(*keep, F.array().cast("array<int>").alias("at"), F.try_parse_json(raw).alias("v")).where("v is not null")
+    leaves = level.select(*keep, "at", text("v").alias("text")).where("text <> ''")
+    phrases = leaves.select(*keep, "text").limit(0)
+    while True:
+        nested = level.where("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
+        kids = spark.sql("select t.*, x.pos, x.key, x.value from {t} t, lateral variant_explode(t.v) x", t=nested)
+        kids = kids.where(F.coalesce(~F.col("key").isin(skip), F.lit(True))).withColumn("text", text("value")).drop("v").checkpoint()
+        if kids.isEmpty():
+            return leaves, phrases
+        down = F.concat("at", F.array("pos"))
+        leaves = leaves.unionByName(kids.where("text <> ''").select(*keep, down.alias("at"), "text"))
+        whole = kids.where("key is not null").groupBy(*keep, "at").agg(F.count("*").alias("n"), F.count_if(F.col("text") != "").alias("k"), F.array_sort(F.collect_list(F.struct("key", F.lower("text").alias("text")))).alias("parts"))
+        phrases = phrases.unionByName(whole.where("n > 1 and n = k").select(*keep, F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text")))
+        level = kids.select(*keep, down.alias("at"), F.col("value").alias("v"))
+
+
 def facet_histograms(observations: DataFrame, k: int) -> DataFrame:
-    """facet, term, n, rank: the k most frequent terms (ties by term) of each facet's JSON values, any shape.
+    """facet, term, n, rank: the k most frequent terms (ties by term) of each facet's JSON values (obs_id, facet, value), any shape.
 
     String leaves of at most 48 characters that aren't numbers are terms; an object whose values are all strings
-    gives their phrase too, in the order of its keys. The leaves come from a variant, the phrases from a map.
+    gives their phrase too, in the order of its keys.
     """
-    skip = ["start_sec", "end_sec", "confidence", "evidence"]
-    one = observations.select("facet", F.col("value").alias("raw")).withColumn("v", F.try_parse_json("raw")).where("v is not null")
-    one.createOrReplaceTempView("_cl_facets")
-    spark = observations.sparkSession
-    level = spark.sql("select facet, raw, key, t.value as v from _cl_facets, lateral variant_explode_outer(v) as t")
-    leaf = F.expr("case when schema_of_variant(v) = 'STRING' then lower(trim(variant_get(v, '$', 'string'))) end")
-    terms = level.where(F.coalesce(~F.col("key").isin(skip), F.lit(True))).select("facet", leaf.alias("term"))
-    pairs = F.from_json("raw", "map<string,string>")
-    kinds = F.expr("filter(map_keys(from_json(raw, 'map<string,string>')), x -> x not in ('start_sec','end_sec','confidence','evidence'))")
-    phrase = one.select("facet", "raw", F.array_sort(kinds).alias("ks"), pairs.alias("m"), F.from_json("raw", "map<string,variant>").alias("vm"))
-    strings = F.expr("forall(ks, x -> schema_of_variant(vm[x]) = 'STRING' and trim(m[x]) <> '')")
-    phrase = phrase.where((F.size("ks") > 1) & strings).select("facet", F.expr("array_join(transform(ks, x -> lower(trim(m[x]))), ' ')").alias("term"))
-    good = (F.col("term") != "") & (F.length("term") <= 48)
-    rows = terms.where(good & ~F.replace("term", F.lit("."), F.lit("")).rlike("^[0-9]+$")).unionByName(phrase.where(good))
+    leaves, phrases = json_leaves(observations, "value", "obs_id", "facet", skip=[*TIMES, "evidence"])
+    terms = leaves.select("facet", F.lower("text").alias("term")).where(~F.replace("term", F.lit("."), F.lit("")).rlike("^[0-9]+$"))
+    rows = terms.unionByName(phrases.select("facet", F.col("text").alias("term"))).where(F.length("term") <= 48)
     n = rows.groupBy("facet", "term").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "term"))).where(F.col("rank") <= k)
 
 
+def observation_text(observations: DataFrame, key: str, raw: str, include_evidence: bool = True) -> DataFrame:
+    """key, text: the string leaves of each row's JSON value, depth first, keys in order, joined by blanks; times and confidence left out."""
+    leaves, _ = json_leaves(observations, raw, key, skip=TIMES + ([] if include_evidence else ["evidence"]))
+    found = leaves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return observations.select(key).join(found, key, "left").select(key, F.coalesce(F.array_join(F.transform("parts", lambda x: x["text"]), " "), F.lit("")).alias("text"))
+
+
 def role_candidates(segments: DataFrame, k: int) -> DataFrame:
     """kind ('opener': hook, 'ender': payoff, conclusion, climax), rank, segment_id: the k best of each by quality, start, id."""
     kind = F.when(F.col("role") == "hook", "opener").when(F.col("role").isin("payoff", "conclusion", "climax"), "ender")
@@ -123,14 +167,6 @@ def override(computed: DataFrame, supplied: DataFrame, key: str, column: str) ->
     return rows.withColumn(column, F.coalesce(F.when(F.trim("_s") != "", F.col("_s")), F.col(column))).drop("_s")
 
 
-def observation_text(raw: Column, include_evidence: bool = True) -> Column:
-    """The string values of a flat JSON object in the order of its keys, joined by blanks; times and confidence left out."""
-    skip = ["start_sec", "end_sec", "confidence"] + ([] if include_evidence else ["evidence"])
-    pairs = F.from_json(raw, "map<string,string>")
-    kept = F.filter(F.map_entries(pairs), lambda p: ~p["key"].isin(skip) & p["value"].isNotNull() & p["value"].try_cast("double").isNull())
-    return F.array_join(F.transform(F.array_sort(kept), lambda p: F.trim(p["value"])), " ")
-
-
 def context_cards(segments: DataFrame, edges: DataFrame) -> DataFrame:
     """segment_id, card (JSON): role, warnings and the first four neighbours of each segment."""
     both = edges.select(F.col("src").alias("segment_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("segment_id"), F.col("src").alias("other"))).distinct()

@@ -204,6 +204,37 @@ def route_removals(directive: Column) -> Column:
     return F.struct(has(X.SILENCE_MARKERS).alias("silences"), has(X.DEAD_MARKERS).alias("dead"))
 
 
+def removal_targets(attributes: Column) -> Column:
+    """The attributes (array of strings) that name something to remove: not blank, and none of the markers."""
+    trimmed = F.transform(attributes, lambda a: F.trim(a))
+    return F.filter(trimmed, lambda a: a.isNotNull() & (a != "") & ~F.array_contains(X.strings(X.SILENCE_MARKERS + X.DEAD_MARKERS), F.lower(a)))
+
+
+def semantic_removals(texts: DataFrame, targets: DataFrame, assets: DataFrame) -> DataFrame:
+    """q, asset_id, s, e, why: texts (asset_id, text_id, source, s, e, text) that have all stems of a target (q, target), clipped to the asset.
+
+    A target's terms of more than two characters count; one without any matches nothing. Texts meet targets on stems.
+    """
+    stems = lambda terms: F.array_distinct(F.transform(terms, X.stem))
+    wanted = targets.distinct().withColumn("_stems", stems(F.filter(X.terms(F.col("target")), lambda t: F.length(t) > 2)))
+    wanted = wanted.select("q", "target", F.size("_stems").alias("_n"), F.explode("_stems").alias("_stem"))
+    have = texts.select("asset_id", "text_id", "source", "s", "e", F.explode(stems(X.terms(F.col("text"), keep_stop=True))).alias("_stem"))
+    hits = have.join(wanted, "_stem").groupBy("q", "target", "_n", "asset_id", "text_id", "source", "s", "e").agg(F.count("*").alias("_k")).where("_k = _n")
+    rows = hits.join(assets.select("asset_id", "duration_ms"), "asset_id")
+    why = F.concat(F.lit("matches removal target '"), "target", F.lit("' via "), "source")
+    return rows.select("q", "asset_id", F.greatest(F.lit(0), "s").cast("long").alias("s"), F.least("e", "duration_ms").cast("long").alias("e"), why.alias("why")).where("e > s")
+
+
+def packet_tokens(*parts: Column) -> Column:
+    """The token set of an evidence bundle's parts, stop words too."""
+    return X.terms(F.concat_ws(" ", *parts), keep_stop=True)
+
+
+def facet_tokens(facets: Column, kind: Column) -> Column:
+    """The token set, stop words left out, of the texts of those facets (array of kind, text) that are of a kind."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(facets, lambda f: f["kind"] == kind), lambda f: X.terms(F.coalesce(f["text"], F.lit(""))))))
+
+
 def evidence_for_name(names: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """name, doc_id, rank: the first k documents (by id) whose words hold the name's words in a row, both normalised."""
     first = names.select("name", X.norm(F.col("name")).alias("key")).withColumn("head", F.split_part("key", F.lit("_"), F.lit(1)))

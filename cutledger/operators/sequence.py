@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SHOT_SIZES, strings
+from ..functions.text import DIRECTIONS, SHOT_SIZES, strings, terms
+from .intervals import respect_word_units
 
 # Weight and cap multiplier (hundredths) of a role where a beat has no intensity.
 PACING = {"hook": (80, 100), "reaction": (80, 100), "performance": (110, 150), "emotion": (120, 175), "payoff": (140, 200)}
@@ -99,9 +100,16 @@ def reflow(items: DataFrame, column: str = "fit") -> DataFrame:
     return items.withColumns({"index": F.row_number().over(by_pos()) - 1, "until": end}).withColumn("at", F.col("until") - F.col(column))
 
 
+def guard_units(items: DataFrame, column: str = "fit") -> DataFrame:
+    """Lengths that would end inside a word unit (``units``: array of s, e on the source; ``start``: where the item starts there) let it finish within cap, or end before it."""
+    end = respect_word_units(F.col("start"), F.col("start") + F.col(column), F.col("cap"), F.col("units"))
+    return items.withColumn(column, (end - F.col("start")).cast("long"))
+
+
 def assign_timing(items: DataFrame) -> DataFrame:
-    """Fit, ending, places."""
-    return reflow(reserve_ending(fit_durations(items)))
+    """Fit, ending, word guard (where items have start and units), places."""
+    rows = reserve_ending(fit_durations(items))
+    return reflow(guard_units(rows) if "units" in items.columns else rows)
 
 
 def shot_share(items: DataFrame) -> DataFrame:
@@ -130,11 +138,13 @@ def continuity_warnings(items: DataFrame) -> DataFrame:
 
 
 def pair_features(items: DataFrame) -> DataFrame:
-    """Features of each item against the one before: shot_delta, energy_delta, setting_match, lane; null where either side is unknown."""
-    rows = items.withColumns({f"_{c}": F.lag(c).over(by_pos()) for c in ("shot_size", "energy", "setting", "lane", "pos")}).where("_pos is not null")
+    """Features of each item against the one before: shot_delta, energy_delta, setting_match, motion_match (of ``motion``, a text), lane; null where either side is unknown."""
+    ways = F.array_intersect(terms(F.coalesce("motion", F.lit("")), keep_stop=True), strings(DIRECTIONS))
+    items = items.withColumn("_ways", F.when(F.size(ways) > 0, ways))
+    rows = items.withColumns({f"_{c}": F.lag(c).over(by_pos()) for c in ("shot_size", "energy", "setting", "lane", "pos", "_ways")}).where("_pos is not null")
     place = lambda c: F.nullif(F.array_position(strings(SHOT_SIZES), F.col(c)), F.lit(0))
     lane = F.when(F.col("lane").isNull() & F.col("_lane").isNull(), "none").when(F.col("lane") == F.col("_lane"), "same").otherwise("other")
-    return rows.select("plan_id", "pos", (place("shot_size") - place("_shot_size")).alias("shot_delta"), (F.col("energy") - F.col("_energy")).alias("energy_delta"), (F.lower("setting") == F.lower("_setting")).alias("setting_match"), lane.alias("lane_relation"))
+    return rows.select("plan_id", "pos", (place("shot_size") - place("_shot_size")).alias("shot_delta"), (F.col("energy") - F.col("_energy")).alias("energy_delta"), (F.lower("setting") == F.lower("_setting")).alias("setting_match"), F.arrays_overlap("_ways", "__ways").alias("motion_match"), lane.alias("lane_relation"))
 
 
 def continuity_compatible(a: Column, b: Column) -> Column:
@@ -177,13 +187,32 @@ def novelty_assign(candidates: DataFrame, group: int = 64) -> DataFrame:
 
 
 def pin_anchors(slots: DataFrame, anchors: DataFrame) -> DataFrame:
-    """plan_id, anchor_id, pos: first and last go to the ends; 'anywhere' anchors, by id, fill the slots that are left, in order; those without a slot have null."""
-    ends = slots.groupBy("plan_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    rows = anchors.join(ends, "plan_id")
-    fixed = rows.where("position in ('first','last')").select("plan_id", "anchor_id", F.when(F.col("position") == "first", F.col("lo")).otherwise(F.col("hi")).alias("pos"))
-    free = slots.select("plan_id", "pos").join(fixed.select("plan_id", "pos"), ["plan_id", "pos"], "left_anti").withColumn("k", F.row_number().over(by_pos()))
-    float_ = rows.where("position = 'anywhere'").withColumn("k", F.row_number().over(Window.partitionBy("plan_id").orderBy("anchor_id")))
-    return fixed.unionByName(float_.join(free, ["plan_id", "k"], "left").select("plan_id", "anchor_id", "pos"))
+    """plan_id, anchor_id, pos of anchors (plan_id, anchor_id, position, description), in the order of their ids.
+
+    first and last go to the ends; 'after:<description>' to the slot behind that of an earlier anchor (behind the first
+    slot if that isn't placed), unless it is taken; the others fill the slots that are left, in order. Those without
+    a slot have null.
+    """
+    places = slots.groupBy("plan_id").agg(F.array_sort(F.collect_set("pos")).alias("_at"))
+    own = F.array_sort(F.collect_list(F.struct("anchor_id", "position", "description")))
+    rows = anchors.groupBy("plan_id").agg(own.alias("_own")).join(places, "plan_id").withColumn("_n", F.size("_at"))
+    kind = "array<struct<anchor_id:bigint,description:string,i:int,loose:boolean>>"
+
+    def step(acc: Column, a: Column) -> Column:
+        after = F.startswith(a["position"], F.lit("after:"))
+        name = F.trim(F.substring(a["position"], 7, 2**31 - 1))
+        known = F.get(F.filter(acc, lambda x: (x["description"] == name) & x["i"].isNotNull()), 0)
+        behind = F.least(F.coalesce(known["i"], F.lit(0)) + 1, F.col("_n") - 1)
+        i = F.when(a["position"] == "first", 0).when(a["position"] == "last", F.col("_n") - 1).when(after & ~F.exists(acc, lambda x: F.coalesce(x["i"] == behind, F.lit(False))), behind)
+        loose = ~after & ~a["position"].isin("first", "last")
+        one = F.struct(a["anchor_id"].cast("long").alias("anchor_id"), a["description"].alias("description"), i.cast("int").alias("i"), loose.alias("loose"))
+        return F.concat(acc, F.array(one))
+
+    done = rows.withColumn("_x", F.explode(F.aggregate("_own", F.array().cast(kind), step))).select("plan_id", "_at", "_x.*")
+    fixed = done.where("not loose").select("plan_id", "anchor_id", F.get("_at", F.col("i")).alias("pos"))
+    free = slots.select("plan_id", "pos").join(fixed.where("pos is not null").select("plan_id", "pos"), ["plan_id", "pos"], "left_anti").withColumn("k", F.row_number().over(by_pos()))
+    loose = done.where("loose").withColumn("k", F.row_number().over(Window.partitionBy("plan_id").orderBy("anchor_id")))
+    return fixed.unionByName(loose.join(free, ["plan_id", "k"], "left").select("plan_id", "anchor_id", "pos"))
 
 
 def overlay_candidates(items: DataFrame, pool: DataFrame) -> DataFrame:
@@ -241,14 +270,16 @@ def third(items: DataFrame) -> DataFrame:
 
 
 def retime(items: DataFrame, region: str, percent: int, column: str = "fit") -> DataFrame:
-    """Items of a region scaled by ``percent``, within cap, 500 at least; ``changed`` marks them."""
+    """Items of a region scaled by ``percent``, within cap, 500 at least, no word unit cut (where items have start and units); ``changed`` marks them."""
     rows = third(items).withColumn("changed", F.lit(True) if region == "all" else F.col("region") == region)
     new = F.least(F.col("cap"), F.greatest(F.lit(500), F.expr(f"{column} * {percent} div 100")))
-    return rows.withColumn(column, F.when(F.col("changed"), new).otherwise(F.col(column))).drop("region")
+    if "units" in items.columns:
+        new = respect_word_units(F.col("start"), F.col("start") + new, F.col("cap"), F.col("units")) - F.col("start")
+    return rows.withColumn(column, F.when(F.col("changed"), new).otherwise(F.col(column)).cast("long")).drop("region")
 
 
 def apply_script(items: DataFrame, script: list[tuple]) -> DataFrame:
-    """Edit operations in order, each on all plans at once: ('retime', region, percent), ('drop', pos), ('replace', pos, table of plan_id, segment_id), ('insert', pos, table of plan_id, segment_id, asset_id, cap, fit).
+    """Edit operations in order, each on all plans at once: ('retime', region, percent), ('drop', pos), ('replace', pos, table of plan_id, segment_id), ('insert', pos, table of plan_id, segment_id, asset_id, cap, fit), ('swap_ending', table of plan_id, rank, segment_id: the last item becomes the first of these that it isn't).
 
     Positions are those of the moment (from 1); a table gives each plan's substitute, plans without one stay.
     """
@@ -263,6 +294,13 @@ def apply_script(items: DataFrame, script: list[tuple]) -> DataFrame:
             new = op[2].select("plan_id", F.col("segment_id").alias("_new"))
             hit = (F.col("pos") == op[1]) & F.col("_new").isNotNull()
             rows = rows.join(new, "plan_id", "left").withColumns({"segment_id": F.when(hit, F.col("_new")).otherwise(F.col("segment_id")), "changed": F.col("changed") | hit}).drop("_new")
+        elif op[0] == "swap_ending":
+            last = F.max("pos").over(whole()) == F.col("pos")
+            rows = rows.withColumn("_last", last)
+            ends = rows.where("_last").select("plan_id", F.col("segment_id").alias("_old")).join(op[1], "plan_id").where("segment_id <> _old")
+            ends = ends.groupBy("plan_id").agg(F.min_by("segment_id", "rank").alias("_new"))
+            hit = F.col("_last") & F.col("_new").isNotNull()
+            rows = rows.join(ends, "plan_id", "left").withColumns({"segment_id": F.when(hit, F.col("_new")).otherwise(F.col("segment_id")), "changed": F.col("changed") | hit}).drop("_new", "_last")
         elif op[0] == "insert":
             new = op[2].select("plan_id", F.lit(op[1] - 0.5).alias("pos"), "segment_id", "asset_id", "cap", "fit", F.lit(True).alias("changed"))
             rows = rows.unionByName(new.join(rows.select("plan_id").distinct(), "plan_id", "left_semi"))

@@ -70,13 +70,6 @@ def _(spark, d):
     return P.eligible_long(rows, 1_000_000).select("asset_id", "duration_ms").orderBy("asset_id")
 
 
-@R.add("x09_observation_text", "select event_id as obs_id, case when event_id % 2 = 0 then 'seen ' else '' end || event_type || ' p' || cast(event_id % 7 as varchar) as text from events")
-def _(spark, d):
-    obs = V.observations(spark, d)
-    raw = F.to_json(F.struct(F.col("facet").alias("kind"), F.lit("12.5").alias("score"), F.concat(F.lit("p"), (F.col("obs_id") % 7).cast("string")).alias("page"), F.when(F.col("obs_id") % 2 == 0, "seen").alias("a_note"), F.lit("w").alias("evidence"), F.lit(1).alias("start_sec")))
-    return obs.select("obs_id", A.observation_text(raw, include_evidence=False).alias("text"))
-
-
 @R.add("x20_gather_candidates", sql("segments queries", _SCORE + """, f as (select asset_id, s, e from segments where role = 'performance'), v as (select distinct top.query_id, top.segment_id from top join f on f.asset_id = top.asset_id and f.s < top.e and top.s < f.e)
  select query_id, segment_id, cast(row_number() over (partition by query_id order by score + case when v2 is null then 0 else 20 end desc, segment_id) as int) as pos from (select top.query_id, top.segment_id, score, v.segment_id as v2 from top left join v on v.query_id = top.query_id and v.segment_id = top.segment_id)"""))
 def _(spark, d):
@@ -138,23 +131,6 @@ def _(spark, d):
     return Q.candidate_items(_top(spark, d).select("query_id", "segment_id"), selects)
 
 
-@R.add("q33_subtract_plan")
-def _(spark, d):
-    """For each of two directives the removals it asks for, as one job keyed by (directive, asset): kept and removed parts."""
-    directives = V.table(spark, d, "documents").where("doc_id < 2").select(F.col("doc_id").alias("q"), F.when(F.col("doc_id") == 0, "cut the pauses").otherwise("drop boring parts and silence").alias("text"))
-    routed = directives.select("q", S.route_removals(F.col("text")).alias("r")).select("q", "r.*")
-    words, assets = V.words(spark, d), V.word_assets(spark, d)
-    silent = T.speechless_gaps(words, assets, 300).withColumn("why", F.lit("silences"))
-    dull = V.spans(spark, d).where(S.low_energy(F.col("text")) | (F.col("pos") % 9 == 8)).select("asset_id", "s", "e", F.lit("dead").alias("why"))
-    asked = routed.select("q", F.explode(F.array_compact(F.array(F.when(F.col("silences"), F.lit("silences")), F.when(F.col("dead"), F.lit("dead"))))).alias("why"))
-    key = F.struct("q", "asset_id")
-    found = silent.unionByName(dull).join(asked, "why").select(key.alias("asset_id"), "s", "e", F.array().cast("array<string>").alias("evidence"), F.array("why").alias("why"))
-    all_assets = routed.select("q").crossJoin(assets).select(key.alias("asset_id"), "duration_ms")  # two directives
-    kept, removed = T.subtract_regions(found, all_assets)
-    both = kept.withColumn("kept", F.lit(True)).unionByName(removed.select("asset_id", "s", "e", F.lit(False).alias("kept")))
-    return both.select("asset_id.q", "asset_id.asset_id", "s", "e", "kept")
-
-
 @R.add("q34_planned_items", sql("plan_items", " select plan_id, pos, asset_id, case when asset_id % 2 = 0 then asset_id*1000 end as duration_ms, case when asset_id % 2 = 0 and asset_id % 3 > 0 then 25.0 else 30.0 end::double as fps from plan_items"))
 def _(spark, d):
     i = F.col("asset_id")

@@ -53,18 +53,6 @@ def _(spark, d):
     return A.quotable_lines(V.words(spark, d), 50)
 
 
-@R.add("a11_facet_histograms", """with ev as (select event_type, json_object('kind', event_type, 'page', 'Page ' || cast(event_id % 7 as varchar), 'evidence', 'x') as props from events where event_id % 3 > 0 union all select event_type, json_object('kind', event_type, 'n', event_id % 3, 'v', '1.5') from events where event_id % 3 = 0) select facet, term, n, cast(rank as int) as rank from (select *, row_number() over (partition by facet order by n desc, term) as rank from (select facet, term, count(*) as n from (
- select event_type as facet, lower(trim(json_extract_string(props, '$.' || k))) as term from (select event_type, props, unnest(json_keys(props)) as k from ev) where json_type(props, '$.' || k) = 'VARCHAR' and k not in ('start_sec','end_sec','confidence','evidence')
- union all select event_type, array_to_string(list_transform(ks, lambda k: lower(trim(json_extract_string(props, '$.' || k)))), ' ') from (select event_type, props, list_filter(list_sort(json_keys(props)), lambda k: k not in ('start_sec','end_sec','confidence','evidence')) as ks from ev) where len(ks) > 1 and len(list_filter(ks, lambda k: json_type(props, '$.' || k) <> 'VARCHAR')) = 0)
- where term <> '' and length(term) <= 48 and not regexp_full_match(replace(term, '.', ''), '[0-9]+') group by 1, 2)) where rank <= 8""")
-def _(spark, d):
-    obs = V.observations(spark, d)
-    page = F.concat(F.lit("Page "), (F.col("obs_id") % 7).cast("string"))
-    one = F.to_json(F.struct(F.col("facet").alias("kind"), page.alias("page"), F.lit("x").alias("evidence")))
-    two = F.to_json(F.struct(F.col("facet").alias("kind"), (F.col("obs_id") % 3).alias("n"), F.lit("1.5").alias("v")))
-    return A.facet_histograms(obs.select("facet", F.when(F.col("obs_id") % 3 > 0, one).otherwise(two).alias("value")), 8)
-
-
 @R.add("a12_role_candidates", sql("segments", " select * from (select kind, cast(row_number() over (partition by kind order by quality desc, s, segment_id) as int) as rank, segment_id from (select *, case when role = 'hook' then 'opener' when role in ('payoff','conclusion','climax') then 'ender' end as kind from segments where usable) where kind is not null) where rank <= 5"))
 def _(spark, d):
     return A.role_candidates(V.segments(spark, d), 5)

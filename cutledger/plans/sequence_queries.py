@@ -85,6 +85,21 @@ def _(spark, d):
     return Q.assign_timing(_items(spark, d)).select("plan_id", "pos", "fit", "index", "at", "until")
 
 
+#: Two word units of an item: 700 to 1600 and 1900 to 3000 ms after its start.
+_UNITS = """, u1 as (select *, case when {f} > 700 and {f} < 1600 then case when 1700 <= cap then 1700 else 650 end else {f} end as f1 from {t}), u2 as (select * exclude (f1, fit), cast(case when f1 > 1900 and f1 < 3000 then case when 3100 <= cap then 3100 else 1850 end else f1 end as bigint) as fit from u1)"""
+
+
+def _spoken(spark, d):
+    start = (F.col("segment_id") * 37 % 60_000).cast("long")
+    unit = lambda a, b: F.struct((start + a).alias("s"), (start + b).alias("e"))
+    return _items(spark, d).withColumns({"start": start, "units": F.array(unit(700, 1600), unit(1900, 3000))})
+
+
+@R.add("q07_guarded_timing", sql("plan_items", _END + _UNITS.format(f="fit", t="ended") + ' select plan_id, pos, fit, cast(sum(fit) over w as bigint) - fit as "at" from u2 window w as (partition by plan_id order by pos)'))
+def _(spark, d):
+    return Q.assign_timing(_spoken(spark, d)).select("plan_id", "pos", "fit", "at")
+
+
 @R.add("q09_shot_share", sql("plan_items", " select plan_id, pos, greatest(500, target // count(*) over (partition by plan_id, asset_id % 3)) as share from plan_items"))
 def _(spark, d):
     return Q.shot_share(V.plan_items(spark, d).withColumn("slot_id", F.col("asset_id") % 3)).select("plan_id", "pos", "share")
@@ -107,14 +122,14 @@ def _(spark, d):
 _SIZES = "['extreme_close_up','close_up','medium','wide','extreme_wide']"
 
 
-@R.add("q13_pair_features", sql("plan_items", f""", it as (select plan_id, pos, case when segment_id % 6 > 0 then cast(segment_id % 6 as bigint) end as sz, case when segment_id % 7 > 0 then cast(segment_id % 11 as bigint) end as en, role as st, case when segment_id % 3 > 0 then cast(segment_id % 3 as varchar) end as ln from plan_items), p as (select *, lag(sz) over w as psz, lag(en) over w as pen, lag(st) over w as pst, lag(ln) over w as pln, lag(pos) over w as pp from it window w as (partition by plan_id order by pos))
- select plan_id, pos, sz - psz as shot_delta, en - pen as energy_delta, st = pst as setting_match, case when ln is null and pln is null then 'none' when ln = pln then 'same' else 'other' end as lane_relation from p where pp is not null"""))
+@R.add("q13_pair_features", sql("plan_items", f""", it as (select plan_id, pos, case when segment_id % 6 > 0 then cast(segment_id % 6 as bigint) end as sz, case when segment_id % 7 > 0 then cast(segment_id % 11 as bigint) end as en, role as st, case when segment_id % 3 > 0 then cast(segment_id % 3 as varchar) end as ln, ['left','right','up',null,null][cast(segment_id % 5 + 1 as int)] as mo from plan_items), p as (select *, lag(sz) over w as psz, lag(en) over w as pen, lag(st) over w as pst, lag(ln) over w as pln, lag(mo) over w as pmo, lag(pos) over w as pp from it window w as (partition by plan_id order by pos))
+ select plan_id, pos, sz - psz as shot_delta, en - pen as energy_delta, st = pst as setting_match, mo = pmo as motion_match, case when ln is null and pln is null then 'none' when ln = pln then 'same' else 'other' end as lane_relation from p where pp is not null"""))
 def _(spark, d):
     from ..functions.text import SHOT_SIZES, strings
 
     seg = F.col("segment_id")
     rows = V.plan_items(spark, d).withColumns({
-        "shot_size": F.when(seg % 6 > 0, F.get(strings(SHOT_SIZES), (seg % 6 - 1).cast("int"))), "energy": F.when(seg % 7 > 0, seg % 11), "setting": F.col("role"), "lane": F.when(seg % 3 > 0, (seg % 3).cast("string")),
+        "shot_size": F.when(seg % 6 > 0, F.get(strings(SHOT_SIZES), (seg % 6 - 1).cast("int"))), "energy": F.when(seg % 7 > 0, seg % 11), "setting": F.col("role"), "motion": F.get(F.array(F.lit("pans LEFT slowly"), F.lit("moves right."), F.lit("tilt-up"), F.lit("static"), F.lit(None)), (seg % 5).cast("int")), "lane": F.when(seg % 3 > 0, (seg % 3).cast("string")),
     })
     return Q.pair_features(rows)
 
@@ -133,12 +148,17 @@ def _(spark, d):
     return Q.novelty_assign(items.select("plan_id", "pos", more.alias("c")).select("plan_id", "pos", "c.*").dropDuplicates(["plan_id", "pos", "segment_id"]))
 
 
-@R.add("q16_pin_anchors", sql("plan_items", """, an as (select plan_id, plan_id*10 + k as anchor_id, p as position from (select distinct plan_id from plan_items), (values (0,'first'),(1,'anywhere'),(2,'last'),(3,'anywhere')) t(k, p)), en as (select plan_id, min(pos) as lo, max(pos) as hi from plan_items group by 1), fx as (select plan_id, anchor_id, case when position = 'first' then lo else hi end as pos from an join en using (plan_id) where position <> 'anywhere'),
- fr as (select plan_id, pos, row_number() over (partition by plan_id order by pos) as k from plan_items p where not exists (select 1 from fx where fx.plan_id = p.plan_id and fx.pos = p.pos)), fl as (select *, row_number() over (partition by plan_id order by anchor_id) as k from an where position = 'anywhere') select * from fx union all select fl.plan_id, anchor_id, pos from fl left join fr using (plan_id, k)"""))
+@R.add("q16_pin_anchors", sql("plan_items", """, sl as (select plan_id, pos, row_number() over (partition by plan_id order by pos) - 1 as i, count(*) over (partition by plan_id) as n from plan_items), pl as (select plan_id, max(n) as n from sl group by 1),
+ fx0 as (select plan_id, n, 0 as a0, n - 1 as a2, least(1, n - 1) as b4 from pl),
+ fx1 as (select *, case when b4 not in (a0, a2) then b4 end as a4, least(coalesce(case when b4 not in (a0, a2) then b4 end, 0) + 1, n - 1) as b5 from fx0),
+ fx as (select plan_id, 0 as k, a0 as i from fx1 union all select plan_id, 2, a2 from fx1 union all select plan_id, 4, a4 from fx1 union all select plan_id, 5, case when b5 not in (a0, a2) and b5 is distinct from a4 then b5 end from fx1),
+ fp as (select fx.plan_id, fx.plan_id*10 + k as anchor_id, pos from fx left join sl on sl.plan_id = fx.plan_id and sl.i = fx.i),
+ fr as (select plan_id, pos, row_number() over (partition by plan_id order by pos) as k from sl where not exists (select 1 from fp where fp.plan_id = sl.plan_id and fp.pos = sl.pos)),
+ fl as (select plan_id, plan_id*10 + c as anchor_id, k from pl, (values (1, 1), (3, 2)) t(c, k)) select plan_id, anchor_id, pos from fp union all select fl.plan_id, anchor_id, pos from fl left join fr using (plan_id, k)"""))
 def _(spark, d):
     slots = V.plan_items(spark, d).select("plan_id", "pos")
-    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("position")) for k, p in enumerate(("first", "anywhere", "last", "anywhere"))])
-    anchors = slots.select("plan_id").distinct().select("plan_id", F.inline(kinds)).select("plan_id", (F.col("plan_id") * 10 + F.col("k")).alias("anchor_id"), "position")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("position"), F.lit(n).alias("description")) for k, (p, n) in enumerate((("first", "opening"), ("anywhere", "b"), ("last", "close"), ("anywhere", "d"), ("after: opening", "e"), ("after:e", "f")))])
+    anchors = slots.select("plan_id").distinct().select("plan_id", F.inline(kinds)).select("plan_id", (F.col("plan_id") * 10 + F.col("k")).alias("anchor_id"), "position", "description")
     return Q.pin_anchors(slots, anchors)
 
 
@@ -194,6 +214,23 @@ def _(spark, d):
     return Q.retime(Q.assign_timing(_items(spark, d)), "middle", 150).select("plan_id", "pos", "fit", "changed")
 
 
+@R.add("q27_guarded_retime", sql("plan_items", _END + ", th as (select *, row_number() over (partition by plan_id order by pos) as i, count(*) over (partition by plan_id) as n from ended), hit as (select plan_id, pos, cap, i <= greatest(1, n // 3) as changed, fit as was, least(cap, greatest(500, fit*150//100)) as fit from th)" + _UNITS.format(f="fit", t="hit") + " select plan_id, pos, case when changed then fit else was end as fit, changed from u2"))
+def _(spark, d):
+    items = _spoken(spark, d)
+    timed = Q.reflow(Q.reserve_ending(Q.fit_durations(items)))
+    return Q.retime(timed, "opening", 150).select("plan_id", "pos", "fit", "changed")
+
+
+@R.add("q28_swap_ending", sql("plan_items", _END + " select plan_id, pos, case when pos = last then case when pos % 2 = 0 then segment_id + 500000 else segment_id + 300000 end else segment_id end as segment_id, pos = last as changed from (select plan_id, row_number() over (partition by plan_id order by pos) as pos, segment_id, count(*) over (partition by plan_id) as last from ended)"))
+def _(spark, d):
+    items = Q.assign_timing(_items(spark, d))
+    last = items.groupBy("plan_id").agg(F.max_by("segment_id", "pos").alias("s"), F.count("*").alias("n"))
+    # the best substitute of every second plan is the ending that it has
+    best = F.when(F.col("n") % 2 == 0, F.col("s")).otherwise(F.col("s") + 300_000)
+    ranked = last.select("plan_id", F.posexplode(F.array(best, F.col("s") + 500_000)).alias("rank", "segment_id"))
+    return Q.apply_script(items, [("swap_ending", ranked)]).select("plan_id", "pos", "segment_id", "changed")
+
+
 _SCRIPT = _RET + """, d2 as (select *, row_number() over (partition by plan_id order by i) as p2 from rt where i <> 2), r2 as (select plan_id, p2, case when p2 = 1 then segment_id + 1000000 else segment_id end as segment_id, cap, fit, changed or p2 = 1 as changed from d2),
  ins as (select plan_id, cast(p2 as double) as p2, segment_id, fit, changed from r2 union all select plan_id, 1.5, max(segment_id), cast(1234 as bigint), true from plan_items where plan_id in (select plan_id from r2) group by plan_id), fin as (select plan_id, row_number() over (partition by plan_id order by p2) as pos, segment_id, fit, changed from ins)"""
 

@@ -9,6 +9,12 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, unless a folder is set for them."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine."""
     context = spark.sparkContext
