@@ -135,3 +135,83 @@ def _(spark, d):
     seg = V.segments(spark, d)
     cards = seg.where("has_card").select(F.col("asset_id").alias("source"))
     return A.context_summary(cards, seg.select(F.col("role").alias("kind")), seg.select(F.explode(A.captions()).alias("caption")))
+
+
+def _replies(spark, d, *cases: str):
+    """One of the given JSON texts for each event, with its id in place of @; a duration for two of three."""
+    ev = V.table(spark, d, "events")
+    pick = F.element_at(F.array(*map(F.lit, cases)), (F.col("event_id") % len(cases) + 1).cast("int"))
+    raw = F.replace(pick, F.lit("@"), (F.col("event_id") % 50).cast("string"))
+    return ev.select(F.col("event_id").alias("reply_id"), raw.alias("raw"), F.when(F.col("event_id") % 3 > 0, F.lit(20_000).cast("long")).alias("duration_ms"), F.concat(F.lit("cut "), F.col("event_type")).alias("directive"), (F.col("event_id") % 4 + 1).alias("n_items"))
+
+
+_CUT = "case when {c} then greatest(0, least({s}, 19900)) else {s} end as s, case when {c} then least(greatest(least({s}, 19900) + 100, {e}), 20000) else {e} end as e"
+
+
+def _clamped(s: str, e: str) -> str:
+    return _CUT.format(c="event_id % 3 > 0", s=f"({s})", e=f"({e})")
+
+
+@R.add("s11_segments", f"""select event_id as reply_id, 0 as i, {_clamped("event_id % 50 * 1000", "event_id % 50 * 1000 + 8000")}, 'candidate_moment' as kind, 'Seen ' || cast(event_id % 50 as varchar) as summary, cast(null as varchar) as transcript, 'Ann,Bo' as people, '' as roles, 0.5 as quality, true as usable, false as needs_caption from events where event_id % 3 = 0
+ union all select event_id, 1, {_clamped("0", "100")}, 'shot', 'two', 'said', '', 'hook', cast(null as double), false, true from events where event_id % 3 = 0
+ union all select event_id, 3, {_clamped("1500", "greatest(1600, event_id % 50 * 1000 + 600)")}, 'candidate_moment', 'late', cast(null as varchar), '', '', 1.0, false, true from events where event_id % 3 = 1""")
+def _(spark, d):
+    from ..operators import replies as Y
+
+    one = '{"segments": [{"start_sec": "@", "summary": " Seen @ ", "people": ["Ann", "Bo"], "quality_score": 0.5}, {"start_sec": -4, "end_sec": 0.01, "kind": "shot", "summary": "two", "transcript_summary": " said ", "story_roles": "hook", "quality_score": "good", "usable": false, "needs_caption": 1}, {"summary": " "}, "text"]}'
+    two = '{"segments": [7, {"start_sec": 2}, {"summary": null}, {"start_sec": 1.5, "end_sec": @.6, "summary": "late", "quality_score": "1", "usable": 0, "needs_caption": true}]}'
+    got = Y.explode_segments(_replies(spark, d, one, two, '{"segments": "none"}'))
+    return got.withColumns({"people": F.array_join("people", ","), "roles": F.array_join("roles", ",")})
+
+
+@R.add("s11_facets", f"""select event_id as reply_id, event_type as facet, 0 as i, {_clamped("event_id % 50 * 1000", "event_id % 50 * 1000 + 1000")}, 0.9 as confidence from events where event_id % 2 = 0
+ union all select event_id, event_type, 1, {_clamped("0", "2500")}, cast(null as double) from events where event_id % 2 = 0 union all select event_id, event_type, 0, {_clamped("3000", "4000")}, cast(null as double) from events where event_id % 2 = 1""")
+def _(spark, d):
+    from ..operators import replies as Y
+
+    rows = _replies(spark, d, '{"observations": [{"start_sec": @, "confidence": "0.9", "look": {"a": [1]}}, 5, {"start_sec": "x", "end_sec": 2.5, "confidence": {}}], "segments": [{}]}', '{"segments": ["no", {"start_sec": 3, "end_sec": 0}]}')
+    return Y.explode_facets(rows.withColumn("facet", F.substring("directive", 5, 99))).drop("value")
+
+
+@R.add("s11_budget", f"""select event_id as reply_id, 'cinematography' as facet, 0 as i, {_clamped("event_id % 50 * 1000", "event_id % 50 * 1000 + 1000")}, cast(null as double) as confidence from events where event_id % 2 = 0
+ union all select event_id, 'emotion_tone', k, {_clamped("k * 1000", "9000")}, k / 4.0 from events, (values (0), (1)) t(k) where event_id % 2 = 0""")
+def _(spark, d):
+    from ..operators import replies as Y
+
+    rows = _replies(spark, d, '{"facets": {"cinematography": [{"start_sec": @}], "emotion_tone": [{"start_sec": 0, "end_sec": 9, "confidence": 0}, {"start_sec": 1, "end_sec": 9, "confidence": 0.25}], "objects_text": {"start_sec": 1}, "weather": [{}]}}', '{"facets": []}')
+    return Y.explode_budget(rows).drop("value")
+
+
+_INTENTS = (
+    '{"operation": {"mode": " Subtract", "output": "report", "sources": "subset:a"}, "edit_type": "trim", "requirements": [{"text": " keep @ ", "provenance": "user_explicit"}, {"text": "", "provenance": "agent"}, {"text": "slow", "provenance": "boss"}], "anchors": [{"description": "door", "position": "After: x"}, {"position": "first"}, {"description": " sea ", "position": "up"}, {"description": "sky"}], "evidence_attributes": ["  a ", " ", "b"]}',
+    "no json",
+    "{}",
+    '{"edit_type": "mix", "operation": {"mode": "dance", "output": "x", "sources": "web"}}',
+    '{"requirements": []}',
+    '{"requirements": "none", "edit_type": "", "operation": "compose"}',
+)
+
+
+@R.add("q31_conform_intents", """select event_id as reply_id, case when k = 0 then 'subtract' else 'compose' end as mode, case when k = 0 then 'report' else 'timeline' end as output, case when k = 0 then 'subset:a' else 'corpus' end as sources, case k when 0 then 'trim' when 3 then 'mix' else 'unspecified_edit' end as edit_type,
+ case when k = 0 then 'keep ' || cast(event_id % 50 as varchar) || '/user_explicit|slow/agent' else 'cut ' || event_type || '/user_explicit' end as requirements, case when k = 0 then 'door@after: x|sea@anywhere|sky@anywhere' else '' end as anchors, case when k = 0 then 'a|b' else '' end as attributes, k in (1, 2, 5) as fallback,
+ case k when 0 then 'requirement without text; invalid provenance; missing why; anchor without description; invalid position' when 3 then 'unknown mode; unknown output; unknown sources; no requirements' when 4 then 'no requirements' else 'malformed reply' end as warnings from (select *, event_id % 6 as k from events)""")
+def _(spark, d):
+    from ..operators import replies as Y
+
+    return Y.conform_intents(_replies(spark, d, *_INTENTS)).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+_SCRIPTS = (
+    '{"operations": [{"op": "Retime", "target": "middle", "factor": 1.5}, {"op": "retime", "target": [0, 1], "target_duration_sec": 4}, {"op": "retime", "target": "all", "factor": 0}, {"op": "drop_item", "item": -2}, 3]}',
+    '[{"op": "replace_item", "item": "slot_1", "with": ""}, {"op": "swap_ending", "with_query": " sea "}, {"op": "swap_ending"}, {"op": "insert_beat", "after": 0, "need": "calm"}, {"op": "insert_beat", "after": 9, "need": "calm"}, {"op": "sing"}]',
+    "none",
+)
+
+
+@R.add("q31_conform_scripts", """with e as (select *, event_id % 4 + 1 as n from events), a as (select * from (values (0, 0, 'retime', 'middle', '1.5', null), (0, 1, 'retime', '[0,1]', '4', 'range'), (0, 2, 'retime', 'all', '0', 'no positive factor or duration'), (0, 3, 'drop_item', '-2', null, 'item'), (0, 4, '', null, null, 'not an object'),
+  (1, 0, 'replace_item', 'slot_1', 'recast', null), (1, 1, 'swap_ending', 'sea', null, null), (1, 2, 'swap_ending', null, null, 'no query'), (1, 3, 'insert_beat', '0', 'calm', null), (1, 4, 'insert_beat', '9', 'calm', 'no place or need'), (1, 5, 'sing', null, null, 'unknown operation')) v(k, i, op, o, b, problem))
+ select event_id as reply_id, i, op, o as "on", case when op = 'retime' and b = '0' then null else b end as "by", case when problem = 'range' then case when n < 2 then 'invalid target' end when problem = 'item' then case when n < 2 then 'invalid item' end else problem end as problem from e join a on event_id % 3 = k""")
+def _(spark, d):
+    from ..operators import replies as Y
+
+    return Y.conform_scripts(_replies(spark, d, *_SCRIPTS))
