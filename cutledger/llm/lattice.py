@@ -10,9 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .families import BLOCK, forest
+from .filters import in_filter, seed_filter
 from .scratch import cut
 from .words import mix
 
@@ -95,44 +97,45 @@ class Tables:
         return own.astype(np.int64), near.astype(np.int64)
 
 
-def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that have one, and which rows those are."""
-    ok, out = [], []
+def _units(rows: list) -> np.ndarray:
+    """The unit vectors (in doubles) of the rows that have one; null for those that are null, empty, zero or not finite."""
+    out = np.empty(len(rows), object)
+    by_size: dict[int, list[int]] = {}
     for i, v in enumerate(rows):
-        if v is None or not len(v):
-            continue
-        x = np.asarray(v, float)
-        top = np.abs(x).max()
-        if np.isfinite(top) and top > 0:
-            x = x / top
-            out.append(x / np.sqrt((x * x).sum()))
-            ok.append(i)
-    return np.array(out), np.array(ok, np.int64)
+        if v is not None and len(v):
+            by_size.setdefault(len(v), []).append(i)
+    for which in by_size.values():
+        x = np.array([rows[i] for i in which], float)
+        top = np.abs(x).max(1)
+        ok = np.isfinite(top) & (top > 0)
+        x = x[ok] / top[ok, None]
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        for i, u in zip(np.array(which)[ok], x, strict=True):
+            out[i] = u
+    return out
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, cls (of equal vectors; null for one that links with nothing), unit (array of double)."""
+    """vec_id, cls (of equal vectors; null for one that links with nothing), vector (as given: floats stay floats)."""
+    kind = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = part.column("embedding").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(rows):
-                by_size.setdefault(len(v or ()), []).append(i)
+            some = [i for i, u in enumerate(_units(rows)) if u is not None]
             cls: list = [None] * len(rows)
-            unit: list = [None] * len(rows)
-            for size, which in by_size.items():
-                own, ok = _units([rows[i] for i in which])
-                if len(ok):
-                    with np.errstate(over="ignore"):
-                        raw = np.array([rows[which[i]] for i in ok], float).view(np.uint64)
-                        keys = mix((mix(raw + np.arange(size, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64) + np.uint64(size)).astype(np.int64)
-                    for i, k, u in zip(ok, keys, own, strict=True):
-                        cls[which[i]], unit[which[i]] = int(k), u
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(cls, pa.int64()), pa.array(unit, pa.list_(pa.float64()))], names=["vec_id", "cls", "unit"])
+            with np.errstate(over="ignore"):
+                for i in some:
+                    raw = np.array(rows[i], float).view(np.uint64)
+                    cls[i] = int((mix(raw + np.arange(len(raw), dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
+                keys = mix(np.array([c or 0 for c in cls], np.uint64) + np.array([len(r or ()) for r in rows], np.uint64)).astype(np.int64)
+            cls = [None if c is None else int(k) for c, k in zip(cls, keys, strict=True)]
+            vector = [r if c is not None else None for r, c in zip(rows, cls, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(cls, pa.int64()), pa.array(vector, pa.list_(pa.float32() if kind == "float" else pa.float64()))], names=["vec_id", "cls", "vector"])
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return rows.mapInArrow(run, "vec_id long, cls long, unit array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"))
+    return rows.mapInArrow(run, f"vec_id long, cls long, vector array<{kind}>")
 
 
 def _cells(classes: DataFrame) -> DataFrame:
@@ -141,7 +144,7 @@ def _cells(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Tables] = {}
         for part in batches:
-            rows = part.column("unit").to_pylist()
+            rows = _units(part.column("vector").to_pylist())
             for size in sorted({len(r) for r in rows}):
                 which = [i for i, r in enumerate(rows) if len(r) == size]
                 tables = known.setdefault(size, Tables(size))
@@ -150,7 +153,22 @@ def _cells(classes: DataFrame) -> DataFrame:
                     [part.column("cls").take(pa.array(which)), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(near.reshape(len(which), -1)), pa.list_(pa.int64()))], names=["cls", "own", "near"]
                 )
 
-    return classes.select("cls", "unit").mapInArrow(run, "cls long, own array<long>, near array<long>")
+    return classes.select("cls", "vector").mapInArrow(run, "cls long, own array<long>, near array<long>")
+
+
+def _visits(cells: DataFrame, residents: DataFrame) -> DataFrame:
+    """cls, cell of the cells to probe, without most of those that no vector lives in: a filter of fixed size goes to the tasks."""
+    bits = cells.sparkSession.sparkContext.broadcast(seed_filter(residents.select(F.col("cell").alias("seed"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            near = part.column("near")
+            flat = near.flatten().to_numpy()
+            owner = np.repeat(np.arange(part.num_rows), np.diff(near.offsets.to_numpy()))
+            hit = in_filter(bits.value, mix(flat.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([part.column("cls").take(pa.array(owner[hit])), pa.array(flat[hit])], names=["cls", "cell"])
+
+    return cells.select("cls", "near").mapInArrow(run, "cls long, cell long")
 
 
 def _meets(tables: Tables, units: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +195,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 
     Visitors and residents of a cell are compared in blocks; a pair that meets in more than one table counts in
     the first only, which its two vectors show by themselves. From a block come sums and a forest of its links.
+    Vectors travel as they were given, and become doubles where they are compared.
     """
     spark = vectors.sparkSession
     rows = cut(_classes(vectors), "vectors")
-    classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("unit").alias("unit")), "classes")
+    classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("vector").alias("vector")), "classes")
     cells = cut(_cells(classes), "cells")
     residents = cells.select("cls", F.posexplode("own").alias("t", "cell"))
     homes = residents.groupBy("cell").agg(F.count("*").alias("nr"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("t").alias("t"))
-    visits = cells.select("cls", F.explode("near").alias("cell")).join(homes, "cell").where("lo < hi or cls <> lo")
+    visits = _visits(cells, residents).join(homes, "cell").where("lo < hi or cls <> lo")
     visits = cut(visits.select("cell", "cls", "t", "nr"), "visits")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     buckets = cut(visits.groupBy("cell", "t", "nr").agg(F.count("*").alias("nv")).withColumns({"br": parts("nr"), "bv": parts("nv")}), "buckets")
@@ -196,7 +215,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     total = buckets.agg(F.sum(F.col("nr") + F.col("nv"))).first()[0] or 0
     groups = max(spark.sparkContext.defaultParallelism * 4, total // (8 * BLOCK))
     entries = entries.withColumn("grp", F.when((F.col("br") == 1) & (F.col("bv") == 1), F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.xxhash64("cell", "r", "v")))
-    entries = entries.select("grp", "cell", "t", "r", "v", "visitor", "cls").join(classes.select("cls", "m", "unit"), "cls")
+    entries = entries.select("grp", "cell", "t", "r", "v", "visitor", "cls").join(classes.select("cls", "m", "vector"), "cls")
 
     def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(bucket=f.groupby(["cell", "r", "v"], sort=False).ngroup()).sort_values(["visitor", "bucket"], kind="stable")
@@ -204,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         bucket, cls, m, t = (f[c].to_numpy() for c in ("bucket", "cls", "m", "t"))
         split = len(f) - int(seen.sum())
         lo, hi = (np.searchsorted(bucket[split:], bucket[:split], side=s) for s in ("left", "right"))
-        units = f["unit"].to_numpy()
+        units = _units(f["vector"].tolist())
         counts, left, right = {}, [], []
         tables: dict[int, Tables] = {}
         ends = np.cumsum(hi - lo)
