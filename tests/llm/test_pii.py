@@ -76,6 +76,58 @@ def test_a_term_that_gives_an_entity_away_is_found(spark):
     assert clean[10] == texts[10]
 
 
+def told(texts):
+    """term -> replacement, by counting in the plainest way: pairs of entities and words beside them, over distinct texts."""
+    import math
+    from collections import defaultdict
+
+    import regex
+
+    words = lambda t: set(regex.findall(r"\p{L}{3,}", t.lower()))
+    texts = {t or "" for t in texts}
+    holds, near, owns, pairs, contexts = (defaultdict(set) for _ in range(5))
+    for t in texts:
+        for w in words(t):
+            holds[w].add(t)
+        for kind, a, b in spans(t):
+            value = t[a:b]
+            entity = kind, value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+            left, right = t[max(0, a - pii.CONTEXT) : a], t[b : b + pii.CONTEXT]
+            left = re.sub(r"^\S+", "", left) if a > pii.CONTEXT else left
+            right = re.sub(r"\S+$", "", right) if len(right) == pii.CONTEXT else right
+            both = f"{left} {right}".lower()
+            owns[entity].add(t)
+            for w in words(both):
+                near[w].add(t)
+                pairs[entity, w].add(t)
+                contexts[entity, w].add(both)
+    best = {}
+    for (entity, w), shown in pairs.items():
+        n, share = len(shown), len(shown) / len(holds[w])
+        bits = math.log2(n * len(texts) / (len(holds[w]) * len(owns[entity])))
+        if n >= pii.LEAST_DOCS and len(contexts[entity, w]) >= pii.LEAST_CONTEXTS and share >= pii.DISCLOSES and bits >= pii.BITS:
+            best[w] = max(best.get(w, 0), share)
+    return {w: "" if share >= pii.REMOVED else "[TERM]" for w, share in best.items()}
+
+
+def test_disclosing_terms_are_those_of_brute_force(spark, data):
+    import regex
+
+    rng = random.Random(7)
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    owners = [("Quellbar", "quell@corp.example", 5), ("Vimtor", "+1 555 123 4567", 4), ("Drosk", "10.1.2.3", 3), ("Rarely", "once@corp.example", 2), ("Münchow", "4111 1111 1111 1111", 6)]
+    for name, data_of, n in owners:
+        texts += [f"{prose(rng.randint(3, 30), rng)} {name} has {data_of}, {prose(rng.randint(3, 30), rng)}" for _ in range(n)]
+        texts += [f"{prose(8, rng)} {name} again" for _ in range(0 if name == "Vimtor" else n // 3)]
+    texts += texts[-3:] + [None, ""] + [prose(rng.randint(5, 40), rng) for _ in range(900)]
+    want = told(texts)
+    assert {"quellbar", "vimtor", "drosk", "münchow"} <= set(want) and "rarely" not in want and set(want.values()) == {"", "[TERM]"}
+    got = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        mine = [(m.start(), m.end(), want[m.group().lower()]) for m in regex.finditer(r"\p{L}{3,}", t or "") if m.group().lower() in want]
+        assert [(s.start, s.end, s.tag) for s in got[i].terms] == mine
+
+
 def test_redaction_covers_overlaps(spark):
     texts = ["call 4111 1111 1111 1111 or a@1.2.3.4 now", "é 10.0.0.1", None, ""]
     rows = pii.sanitise(docs(spark, texts))
