@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutledger.llm.decontaminate import contaminated
@@ -23,7 +23,12 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.
+
+    A null text counts as an empty one, a null source as a site of its own; both are judged like others. Repeated rows
+    are judged, and kept, each. A null doc_id has no label. Other columns pass unchanged, whatever their names; without
+    labels all rows stay.
+    """
     judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("_kept").select(*docs.columns)
 
@@ -43,26 +48,39 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = both.where(~wins).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     twice = both.where(wins).groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key")
     marked = cut(gone.withColumn("_twice", F.lit(False)).unionByName(twice.withColumn("_twice", F.lit(True))), "marked")
-    rest = docs.join(marked.hint("merge"), _same_row(), "left_anti")
+    rest = _rows(docs, marked.hint("merge"), "left_anti")
     # rows that repeat a winner: only those are brought together
-    once = docs.join(marked.where("_twice"), _same_row(), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = _rows(docs, marked.where("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
     return rest.unionByName(once).select(*docs.columns)
 
 
-def _same_row() -> Column:
-    """Whether doc_id and text are those of _id and _key."""
-    return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_key"))
+def _rows(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are (left_semi) or aren't (left_anti) those of _id and _key in ``marked``.
+
+    A row travels as one struct, so that none of its names can clash with those used here.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    same = F.col("_row")["doc_id"].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col("_row")["text"].cast("string")).eqNullSafe(F.col("_key"))
+    return row.join(marked, same, how).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold no passage and stay. Rows are told apart by doc_id (null or not) and text: of repeated
+    rows all go or all stay. Other columns pass unchanged, whatever their names; without a benchmark all rows stay.
+    """
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hits = cut(hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "hits")
-    return docs.join(hits, _same_row(), "left_anti").select(*docs.columns)
+    return _rows(docs, hits, "left_anti")
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and terms that disclose it replaced."""
+    """All documents, personal data and terms that disclose it replaced.
+
+    A null text stays null, an empty one empty; equal texts are changed alike. n_chars counts the new text; other columns
+    pass unchanged, whatever their names.
+    """
     return sanitise(docs)
 
 
