@@ -149,3 +149,22 @@ def test_overlaps():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert families.overlaps(sets, sets).tolist() == want
     assert isinstance(pd.DataFrame(want), pd.DataFrame)
+
+
+def test_loose_chains_make_no_family(spark):
+    """Texts that share half of their words with the next one meet in bands, but none is close: nothing is compared further."""
+    from pyspark.sql import functions as F
+
+    from cutledger.llm.families import families
+    from cutledger.llm.near_dup import sketches
+
+    rng = random.Random(11)
+    blocks = [prose(60, rng) for _ in range(81)]
+    texts = [f"{a} {b}" for a, b in zip(blocks[:-1], blocks[1:], strict=True)]
+    texts.append(texts[0] + " more")
+    rows = sketches(docs(spark, texts), 5).withColumnRenamed("cls", "node").cache()
+    buckets = rows.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").join(buckets, "bucket").select("node").distinct().count()
+    close = {r.node for r in families(buckets, rows.select("node", "n", "regs"), 4, 5, 6.0).collect()}
+    near = {r.node for r in rows.collect() if r.doc_id in (0, 80)}
+    assert near <= close and len(close) <= 4 < shared
