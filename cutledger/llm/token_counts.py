@@ -6,13 +6,17 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import chunks
+
 #: Format: the pattern that cuts text into pre-tokens for byte-level BPE of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a leaf holds when the tree is built, and words whose counts a task remembers.
@@ -157,6 +161,21 @@ def _bytes(path: str) -> bytes:
 _LEAVES = "sizes array<array<int>>, counts array<array<int>>"
 
 
+def _lists(leaves: list[list[list[int]]]) -> pa.Array:
+    return pa.array(leaves, pa.list_(pa.list_(pa.int32())))
+
+
+def _leaves(column: pa.Array) -> list[list[list[int]]]:
+    """The nested lists of a column, by way of all its numbers at once."""
+
+    def cut(values: list, sizes: pa.Array) -> list:
+        ends = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy())]).tolist()
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    inner = column.flatten()
+    return cut(cut(inner.flatten().to_numpy().tolist(), pc.list_value_length(inner)), pc.list_value_length(column))
+
+
 def trees(docs: DataFrame, ranks_path: str) -> DataFrame:
     """All columns of ``docs`` but those named below, then n_tokens, sizes, counts: the segment tree of each text, to be kept.
 
@@ -165,42 +184,50 @@ def trees(docs: DataFrame, ranks_path: str) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(_bytes(ranks_path))
     rest = docs.select(*[c for c in docs.columns if c not in ("n_tokens", "sizes", "counts")])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(ranks.value)
-        for f in frames:
-            built = [Tree(t or "", counter) for t in f["text"]]
-            yield f.assign(n_tokens=[t.total() for t in built], sizes=[t.sizes for t in built], counts=[t.counts for t in built])
+        for part in chunks(batches):
+            built = [Tree(t or "", counter) for t in part.column("text").to_pylist()]
+            new = [pa.array([t.total() for t in built], pa.int64()), _lists([t.sizes for t in built]), _lists([t.counts for t in built])]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "n_tokens", "sizes", "counts"])
 
     schema = T.StructType([*rest.schema.fields, T.StructField("n_tokens", T.LongType()), *T.StructType.fromDDL(_LEAVES).fields])
-    return rest.mapInPandas(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
-def edited(kept: DataFrame, ranks_path: str) -> DataFrame:
+def edited(kept: DataFrame, ranks_path: str, keep: bool = True) -> DataFrame:
     """``kept``: doc_id, text, sizes, counts as of ``trees``, and edits (array of struct start, finish, added, applied in order, each to the text left by the last).
 
     Returns doc_id, n_pre_tokens, n_tokens (before any edit), n_after (after all), n_encoded (pre-tokens that the edits
-    had encoded), and the text, sizes and counts after them, to be kept in place of the old ones. Only what an edit
-    touches, and what stands beside it, is encoded. Null edits count as none, a null or negative place as 0, one past
-    the end as the end, null new text as empty. Characters are code points.
+    had encoded), the text after them and, with ``keep``, its sizes and counts, to be kept in place of the old ones. Only
+    what an edit touches, and what stands beside it, is encoded. Null edits count as none, a null or negative place as
+    0, one past the end as the end, null new text as empty. Characters are code points.
     """
     ranks = kept.sparkSession.sparkContext.broadcast(_bytes(ranks_path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(ranks.value)
-        for f in frames:
-            rows = []
-            for doc, text, sizes, counts, edits in zip(f["doc_id"], f["text"], f["sizes"], f["counts"], f["edits"], strict=True):
-                tree = Tree(text or "", counter, ([x.tolist() for x in sizes], [x.tolist() for x in counts]))
+        for part in chunks(batches):
+            numbers, done = [], []
+            texts, edits = (part.column(c).to_pylist() for c in ("text", "edits"))
+            for text, sizes, counts, changes in zip(texts, _leaves(part.column("sizes")), _leaves(part.column("counts")), edits, strict=True):
+                tree = Tree(text or "", counter, (sizes, counts))
                 first, n = tree.total(), sum(map(len, tree.sizes))
-                for e in edits if edits is not None else ():
+                for e in changes or ():
                     if e is not None:
-                        tree.edit(int(e["start"] or 0), int(e["finish"] or 0), e["added"] or "")
-                rows.append((doc, n, first, tree.total(), tree.encoded, tree.text, tree.sizes, tree.counts))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_pre_tokens", "n_tokens", "n_after", "n_encoded", "text", "sizes", "counts"]).astype({"doc_id": "Int64"})
+                        tree.edit(e["start"] or 0, e["finish"] or 0, e["added"] or "")
+                numbers.append((n, first, tree.total(), tree.encoded))
+                done.append(tree)
+            columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)), pa.array([t.text for t in done], pa.string())]
+            names = ["doc_id", "n_pre_tokens", "n_tokens", "n_after", "n_encoded", "text"]
+            if keep:
+                columns += [_lists([t.sizes for t in done]), _lists([t.counts for t in done])]
+                names += ["sizes", "counts"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = "array<struct<start:int,finish:int,added:string>>"
-    rows = kept.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "sizes", "counts", F.col("edits").cast(kind))
-    return rows.mapInPandas(run, f"doc_id long, n_pre_tokens long, n_tokens long, n_after long, n_encoded long, text string, {_LEAVES}")
+    rows = kept.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("sizes").cast("array<array<int>>"), F.col("counts").cast("array<array<int>>"), F.col("edits").cast(kind))
+    return rows.mapInArrow(run, "doc_id long, n_pre_tokens long, n_tokens long, n_after long, n_encoded long, text string" + f", {_LEAVES}" * keep)
 
 
 def counts(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -210,5 +237,5 @@ def counts(docs: DataFrame, ranks_path: str) -> DataFrame:
     Repeated rows give a row each; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "edits")
-    out = edited(trees(rows, ranks_path), ranks_path)
-    return out.withColumn("text_sha", F.sha2("text", 256)).drop("text", "sizes", "counts")
+    out = edited(trees(rows, ranks_path), ranks_path, keep=False)
+    return out.withColumn("text_sha", F.sha2("text", 256)).drop("text")
