@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .families import compare, families, near_links
 from .hyperminhash import bands, registers
-from .scratch import cut
+from .scratch import cut, drop
 from .words import Words, chunks, mix
 
 _SKETCH = "doc_id long, text_key long, n long, cls long, regs binary, bands array<long>"
@@ -95,6 +95,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, err
     named = classes.select("cls", "least").join(reached, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = cut(named.join(least, "comp").select("cls", "component_id", F.col("comp").alias("group_key")), "named")
+    drop(classes, wanted, sizes, links)
     out = sk.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", F.when(F.col("n") > 0, F.col("group_key")).alias("group_key"))

@@ -188,7 +188,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
     A document's own belief is taken out of its site's sums, the path's mean is shrunk to the host's and the
     host's to the mean of all, each by the strength that the spread between groups shows; a path that is its whole
     host has the host's mean. The posterior odds of the site take the place of the classifier's prior odds.
-    ``_kept`` = ``_good`` >= ``least``. Texts are read once: rows are written with their odds.
+    ``_kept`` = ``_good`` >= ``least``. Without ``text`` the texts are read once.
 
     A null text counts as empty, a null source as site ''. Repeated rows count each. Without labels the
     classifier says 1/2 of every text and all are kept. Empty tables give empty results. Other columns pass
@@ -200,9 +200,11 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
     packed = docs.select(F.struct(*docs.columns).alias("_row"), host.alias("_host"), path.alias("_path"))
     columns = [c for c in docs.columns if text or c != "text"]
     slim = F.col("_row") if text else F.struct(*[F.col("_row")[c].alias(c) for c in columns], F.lit(0).alias("_none"))
-    odds = cut(evidence(packed, model).select(slim.alias("_row"), "_host", "_path", "_odds"), "odds")
+    odds = evidence(packed, model).select(slim.alias("_row"), "_host", "_path", "_odds")
+    # whole texts aren't written once more: with them, the odds are worked out again for the result
+    odds = odds if text else cut(odds, "odds")
     odds = odds.withColumn("_doc", 1 / (1 + F.exp(-F.col("_odds"))))
-    sites = posteriors(odds.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_doc").alias("p")))
+    sites = posteriors(cut(odds.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_doc").alias("p")), "beliefs"))
     sites = sites.withColumnsRenamed({c: f"_{c}" for c in sites.columns})
     both = odds.join(sites, ["_host", "_path"])
     mine = F.col("_doc")
