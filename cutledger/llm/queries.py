@@ -98,6 +98,42 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=4, num=4, den=5).drop("text_key", "group_key")
 
 
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_search import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one of ten documents the words from a hashed place on repeat with a hashed period before runs are looked for."""
+    from .periodic import periodic
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.select("doc_id", "text", "words", F.size("words").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    n, g, words = F.col("n"), F.col("g"), F.col("words")
+    docs = docs.withColumn("a", F.when(n > 0, g % n).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice(words, F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    again = F.array_join(F.concat(F.slice(words, F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a"))), " ")
+    out = periodic(docs.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    told = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = (-F.col("b.s")).alias("start"), F.col("b.length"), (-F.col("b.p")).alias("period")
+    milli = F.floor(1000 * F.col("b.length") / -F.col("b.p")).cast("long")
+    return out.select("doc_id", "n_runs", start, length, period, milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
