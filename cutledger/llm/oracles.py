@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {
  links as (select a, b from pr where 100*c >= 80*(na + nb - c)){_REACH}, c as (select a, min(b) as m from reach group by 1)
  select sh.doc_id, cast(len(s) as bigint) as n_shingles, least(sh.doc_id, coalesce(c.m, sh.doc_id)) as component_id, least(sh.doc_id, coalesce(c.m, sh.doc_id)) = sh.doc_id as kept from sh left join c on c.a = sh.doc_id""",
     "op11_block_search": """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
- d as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+ d as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda x, y: x + y)) as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
  r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
     "op12_hard_negatives": """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
  s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_dot_product(a.e, c.e) as bigint) as score from v a join v c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id and len(a.e) = len(c.e)),
