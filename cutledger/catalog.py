@@ -7,7 +7,7 @@ import importlib
 from .plans.registry import Query
 
 #: Modules with a Registry named R.
-TOPICS = ["interval_queries", "search_queries", "profile_queries", "sequence_queries", "work_queries", "more_queries", "evidence_queries"]
+TOPICS = ["interval_queries", "search_queries", "profile_queries", "sequence_queries", "work_queries", "more_queries", "evidence_queries", "plan_queries"]
 
 
 def _registries() -> list:

@@ -125,9 +125,9 @@ def conform_intents(replies: DataFrame) -> DataFrame:
 
 
 def conform_scripts(replies: DataFrame) -> DataFrame:
-    """reply_id, i, op, on, by, problem: the entries of edit scripts (reply_id, raw, n_items), a list or an object with operations.
+    """reply_id, i, op, on, by, timed_by, problem: the entries of edit scripts (reply_id, raw, n_items), a list or an object with operations.
 
-    on: the target, item, query or place that the entry names; by: factor, target duration, substitute or need. An entry
+    on: the target, item, query or place that the entry names; by: factor, target duration (timed_by: factor or length), substitute or need. An entry
     with a ``problem`` (unknown operation, bad target or reference, no positive factor, no query or need) isn't to be
     applied. Regions are opening, middle, ending, all, a slot's or beat's name, or [first, last] of the items.
     """
@@ -153,4 +153,5 @@ def conform_scripts(replies: DataFrame) -> DataFrame:
     )
     on = F.when(op == "retime", x["target"]).when(op.isin("replace_item", "drop_item"), x["item"]).when(op == "swap_ending", x["with_query"]).when(op == "insert_beat", x["after"])
     by = F.when(op == "retime", F.when(positive(x["factor"]), x["factor"]).otherwise(x["target_duration_sec"])).when(op == "replace_item", X.text_or(x["with"], F.lit("recast"))).when(op == "insert_beat", x["need"])
-    return rows.select("reply_id", "i", op.alias("op"), on.alias("on"), by.alias("by"), problem.alias("problem"))
+    timed_by = F.when(op == "retime", F.when(positive(x["factor"]), "factor").otherwise("length"))
+    return rows.select("reply_id", "i", op.alias("op"), on.alias("on"), by.alias("by"), timed_by.alias("timed_by"), problem.alias("problem"))

@@ -214,4 +214,4 @@ _SCRIPTS = (
 def _(spark, d):
     from ..operators import replies as Y
 
-    return Y.conform_scripts(_replies(spark, d, *_SCRIPTS))
+    return Y.conform_scripts(_replies(spark, d, *_SCRIPTS)).drop("timed_by")
