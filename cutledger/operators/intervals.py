@@ -6,17 +6,18 @@ duration_ms. All joins carry asset_id, and overlap joins a time bucket too, so a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .scans import scan, time_band
+
 #: Pause between words that separates runs, and margins, in ms.
 PAUSE, UNIT_TAIL, UNIT_HEAD = 120, 100, 50
 
 
-def by_time(*more: str):  # noqa: ANN201
-    return Window.partitionBy("asset_id").orderBy("s", "e", *more)
-
-
 def fixed_windows(assets: DataFrame, width: int) -> DataFrame:
     """asset_id, win, s, e: max(1, ceil(duration / width)) windows, the last one cut at the duration."""
     n = F.greatest(F.ceil(F.col("duration_ms") / width), F.lit(1)).cast("long")
@@ -86,9 +87,8 @@ def gap_intervals(points: DataFrame, assets: DataFrame, least: int, opens: str =
 
 
 def _pairs(points: DataFrame, assets: DataFrame, opens: str, closes: str) -> DataFrame:
-    order = Window.partitionBy("asset_id").orderBy("t", "point_id")
-    rows = points.where(F.col("reason").isin(opens, closes)).withColumns({"before": F.lag("reason").over(order), "since": F.lag("t").over(order), "next": F.lead("reason").over(order)})
-    rows = rows.join(assets.select("asset_id", "duration_ms"), "asset_id")
+    rows = points.where(F.col("reason").isin(opens, closes))
+    rows = scan(rows, ["t", "point_id"], band=time_band("t"), before=("lag", F.col("reason")), since=("lag", F.col("t")), next=("lead", F.col("reason"))).join(assets.select("asset_id", "duration_ms"), "asset_id")
     opened = F.coalesce(F.col("before") == opens, F.lit(False))
     closed = rows.where(F.col("reason") == closes).select("asset_id", "duration_ms", F.when(opened, F.col("since")).otherwise(0).alias("s"), F.col("t").alias("e"), (~opened).alias("orphan"))
     tail = rows.where((F.col("reason") == opens) & F.col("next").isNull()).select("asset_id", "duration_ms", F.col("t").alias("s"), F.col("duration_ms").alias("e"), F.lit(False).alias("orphan"))
@@ -143,8 +143,7 @@ def clamp_ranges(items: DataFrame, assets: DataFrame, least: int, default: int)
 
 def word_boundary_points(words: DataFrame, assets: DataFrame, pause: int = PAUSE) -> DataFrame:
     """asset_id, t, reason: starts after, ends before a pause of ``pause`` or more (the first start and last end always), inside the asset."""
-    order = by_time("pos", "i")
-    rows = words.withColumns({"prev": F.lag("e").over(order), "next": F.lead("s").over(order)}).join(assets.select("asset_id", "duration_ms"), "asset_id", "left")
+    rows = scan(words, ["s", "e", "pos", "i"], prev=("lag", F.col("e")), next=("lead", F.col("s"))).join(assets.select("asset_id", "duration_ms"), "asset_id", "left")
     start = F.when(F.col("prev").isNull() | (F.col("s") - F.col("prev") >= pause), F.struct(F.col("s").alias("t"), F.lit("word_start").alias("reason")))
     end = F.when(F.col("next").isNull() | (F.col("next") - F.col("e") >= pause), F.struct(F.col("e").alias("t"), F.lit("word_end").alias("reason")))
     return rows.select("asset_id", "duration_ms", F.inline(F.array_compact(F.array(start, end)))).where("t > 0 and (duration_ms is null or t < duration_ms)").select("asset_id", "t", "reason")
@@ -152,9 +151,9 @@ def word_boundary_points(words: DataFrame, assets: DataFrame, pause: int = PAUSE
 
 def speech_runs(words: DataFrame, pause: int = PAUSE) -> DataFrame:
     """asset_id, run, s, e, n_words: runs of words with pauses of under ``pause``, by the end of the word before."""
-    order = by_time("pos", "i")
-    fresh = F.coalesce((F.col("s") - F.lag("e").over(order) >= pause).cast("int"), F.lit(1))
-    rows = words.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["s", "e", "pos", "i"]
+    fresh = F.coalesce((F.col("s") - F.col("prev") >= pause).cast("int"), F.lit(1))
+    rows = scan(scan(words, order, keep=True, prev=("lag", F.col("e"))), order, run=("sum_to", fresh))
     return rows.groupBy("asset_id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_words"))
 
 
@@ -206,19 +205,31 @@ def anchor_trim(s: Column, e: Column, budget: Column, units: Column, hint: Colum
     return F.struct(F.when(whole, s).otherwise(start).cast("long").alias("s"), F.when(whole, e).otherwise(start + budget).cast("long").alias("e"))
 
 
-def islands(ranges: DataFrame, fresh: Column) -> DataFrame:
-    """Adds ``island``: a new one starts where ``fresh`` (of s and prev_end, the largest end before) holds, or at the first range."""
-    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranges.withColumn("prev_end", F.max("e").over(before))
-    rows = rows.withColumn("_fresh", (F.col("prev_end").isNull() | fresh).cast("int"))
-    return rows.withColumn("island", F.sum("_fresh").over(by_time().rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh", "prev_end")
+def islands(ranges: DataFrame, fresh: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``island``: a new one starts at a range whose start s and largest end before, ``prev``, make ``fresh(s, prev)`` hold, or at the first.
+
+    ``fresh`` has to stay true as s grows. Islands are found within time bands first. Of those, what starts too close to the
+    largest end of the bands before goes on with the island that was open there, which a row a band tells.
+    """
+    within = Window.partitionBy("asset_id", "_band").orderBy("s", "e")
+    before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.withColumn("_band", time_band()).withColumn("_prev", F.max("e").over(before))
+    rows = rows.withColumn("_fresh", F.col("_prev").isNull() | fresh(F.col("s"), F.col("_prev")))
+    rows = rows.withColumns({"_n": F.sum(F.col("_fresh").cast("int")).over(upto), "_from": F.max(F.when(F.col("_fresh"), F.col("s"))).over(upto), "_max": F.max("e").over(upto), "_last": F.lead(F.lit(1)).over(within).isNull()})
+    rows = written(rows.drop("_prev", "_fresh"), "islands")
+    along = Window.partitionBy("asset_id").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("_end").isNull() | fresh(F.col("_from"), F.col("_end")), F.struct("_band", "_n"))
+    bands = rows.where("_last").select("asset_id", "_band", "_from", "_n", F.max("_max").over(along).alias("_end"))
+    bands = bands.select("asset_id", "_band", "_end", F.last(own, ignorenulls=True).over(along).alias("_open"))
+    out = rows.join(bands, ["asset_id", "_band"]).withColumn("island", F.coalesce(own, "_open"))
+    return out.select(*ranges.columns, "island")
 
 
 def union_length(ranges: DataFrame, assets: DataFrame) -> DataFrame:
     """asset_id, covered: length of the union of an asset's ranges, clipped to its duration."""
     rows = ranges.select("asset_id", "s", "e").join(assets.select("asset_id", "duration_ms"), "asset_id")
     rows = rows.select("asset_id", F.greatest("s", F.lit(0)).alias("s"), F.when(F.col("duration_ms") > 0, F.least("e", "duration_ms")).otherwise(F.col("e")).alias("e")).where("e > s")
-    merged = islands(rows, F.col("s") > F.col("prev_end")).groupBy("asset_id", "island").agg((F.max("e") - F.min("s")).alias("len"))
+    merged = islands(rows, lambda s, prev: s > prev).groupBy("asset_id", "island").agg((F.max("e") - F.min("s")).alias("len"))
     return merged.groupBy("asset_id").agg(F.sum("len").alias("covered"))
 
 
@@ -234,19 +245,20 @@ def speech_density(assets: DataFrame, words: DataFrame, spans: DataFrame) -> Dat
 
 def speechless_gaps(words: DataFrame, assets: DataFrame, least: int) -> DataFrame:
     """Gaps of ``least`` or more before the first word, between the end of one word and the start of the next, and after the last; assets without words have none."""
-    order = by_time("pos", "i")
-    rows = words.withColumns({"prev": F.coalesce(F.lag("e").over(order), F.lit(0)), "last": F.lead("s").over(order).isNull()}).join(assets.select("asset_id", "duration_ms"), "asset_id")
+    rows = scan(words, ["s", "e", "pos", "i"], prev=("lag", F.col("e")), next=("lead", F.lit(1)))
+    rows = rows.withColumns({"prev": F.coalesce("prev", F.lit(0)), "last": F.col("next").isNull()}).join(assets.select("asset_id", "duration_ms"), "asset_id")
     gaps = rows.select("asset_id", F.col("prev").alias("s"), F.col("s").alias("e")).unionByName(rows.where("last").select("asset_id", F.col("e").alias("s"), F.col("duration_ms").alias("e")))
     return gaps.where(F.col("e") - F.col("s") >= least)
 
 
 def merge_removals(regions: DataFrame, gap: int) -> DataFrame:
-    """Regions (asset_id, s, e, evidence array, why array) merged where the next starts less than ``gap`` after the largest end so far; evidence in order, whys once each."""
-    rows = islands(regions.where("e > s"), F.col("s") - F.col("prev_end") >= gap)
+    """Regions (asset_id, s, e, evidence array, why array, perhaps sliver) merged where the next starts less than ``gap`` after the largest end so far; evidence in order, whys once each."""
+    rows = islands(regions.where("e > s"), lambda s, prev: s - prev >= gap)
     parts = F.array_sort(F.collect_list(F.struct("s", "e", "evidence", "why")))
-    out = rows.groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), parts.alias("parts"))
+    marks = [F.max(c).alias(c) for c in regions.columns if c == "sliver"]
+    out = rows.groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), parts.alias("parts"), *marks)
     flat = lambda n: F.flatten(F.transform("parts", lambda p: p[n]))
-    return out.select("asset_id", "s", "e", flat("evidence").alias("evidence"), F.array_distinct(flat("why")).alias("why"))
+    return out.select("asset_id", "s", "e", flat("evidence").alias("evidence"), F.array_distinct(flat("why")).alias("why"), *[c for c in regions.columns if c == "sliver"])
 
 
 def apply_margin(regions: DataFrame, margin: int, least: int) -> DataFrame:
@@ -259,27 +271,26 @@ def complement(regions: DataFrame, assets: DataFrame) -> DataFrame:
     both = assets.select("asset_id", "duration_ms").join(regions.select("asset_id", F.col("s").alias("_s"), F.col("e").alias("_e")), "asset_id", "left")
     clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.col(c), F.col("duration_ms"))))
     rows = both.select("asset_id", "duration_ms", clip("_s").alias("s"), clip("_e").alias("e"))
-    cursor = F.coalesce(F.max("e").over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"cursor": cursor, "last": F.lead("asset_id").over(by_time()).isNull()})
+    rows = scan(rows, ["s", "e"], cursor=("max_before", F.col("e")), next=("lead", F.lit(1)))
+    rows = rows.withColumns({"cursor": F.coalesce("cursor", F.lit(0)), "last": F.col("next").isNull()})
     part = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
     parts = F.array(part(F.col("cursor"), F.col("s")), F.when(F.col("last"), part(F.greatest("cursor", F.coalesce("e", F.lit(0))), F.col("duration_ms"))))
     return rows.select("asset_id", F.inline(F.filter(parts, lambda p: p["e"] > p["s"])))
 
 
 def absorb_slivers(removals: DataFrame, kept: DataFrame, assets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(removals, kept) after kept parts of under ``least`` became removals, unless all of an asset's kept parts are so short."""
+    """(removals, with ``sliver`` where a kept part went into one, and kept) after kept parts of under ``least`` became removals, unless all of an asset's kept parts are so short."""
     short = F.col("e") - F.col("s") < least
-    all_of = Window.partitionBy("asset_id")
-    slivers = kept.withColumn("_long", F.max(~short).over(all_of)).where(short & F.col("_long"))
+    slivers = kept.where(short).join(kept.where(~short).select("asset_id").distinct(), "asset_id", "left_semi")
     why = F.concat(F.lit("kept sliver "), (F.col("e") - F.col("s")).cast("string"), F.lit(" ms is too short to keep"))
-    slivers = slivers.select("asset_id", "s", "e", F.array().cast("array<string>").alias("evidence"), F.array(why).alias("why"))
-    merged = merge_removals(removals.unionByName(slivers), 1)
+    slivers = slivers.select("asset_id", "s", "e", F.array().cast("array<string>").alias("evidence"), F.array(why).alias("why"), F.lit(True).alias("sliver"))
+    merged = written(merge_removals(removals.select("asset_id", "s", "e", "evidence", "why", F.lit(False).alias("sliver")).unionByName(slivers), 1), "removals")
     return merged, complement(merged, assets)
 
 
 def speech_islands(words: DataFrame, pause: int) -> DataFrame:
     """asset_id, s, e, units (array of s, e in order): words up to a pause of ``pause`` or more after the largest end before."""
-    rows = islands(words.select("asset_id", "s", "e"), F.col("s") - F.col("prev_end") >= pause)
+    rows = islands(words.select("asset_id", "s", "e"), lambda s, prev: s - prev >= pause)
     return rows.groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("units")).drop("island")
 
 
@@ -305,7 +316,7 @@ def guard_regions(kept: DataFrame, words: DataFrame, assets: DataFrame, bucket:
 
 def merge_kept(kept: DataFrame) -> DataFrame:
     """Kept parts joined where they touch."""
-    return islands(kept, F.col("s") > F.col("prev_end")).groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).where("e > s").select("asset_id", "s", "e")
+    return islands(kept, lambda s, prev: s > prev).groupBy("asset_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).where("e > s").select("asset_id", "s", "e")
 
 
 def attach_evidence(kept: DataFrame, candidates: DataFrame, assets: DataFrame, bucket: int = 10_000) -> DataFrame:
@@ -322,14 +333,17 @@ def attach_evidence(kept: DataFrame, candidates: DataFrame, assets: DataFrame, b
 
 
 def subtract_regions(candidates: DataFrame, assets: DataFrame, words: DataFrame | None = None, points: DataFrame | None = None, margin: int = 200, gap: int = 500, keep: int = 500, removal: int = 200, tolerance: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed with evidence): merge, margin, complement, slivers, snap, word guard, merge; together they partition [0, duration]."""
+    """(kept, removed with evidence): merge, margin, complement, slivers, snap, word guard, merge; together they partition [0, duration].
+
+    What later steps read more than once is written to the shared folder.
+    """
     clip = candidates.join(assets.select("asset_id", "duration_ms"), "asset_id")
     clip = clip.withColumns({"s": F.greatest(F.lit(0), "s"), "e": F.least("e", "duration_ms")}).where("e > s").drop("duration_ms")
-    merged = merge_removals(clip, gap)
+    merged = written(merge_removals(clip, gap), "merged")
     padded = apply_margin(merged, margin, removal)
     kept = complement(padded, assets)
     final, after = absorb_slivers(padded, kept, assets, keep)
-    sources = merged.unionByName(final.where(F.exists("why", lambda w: F.startswith(w, F.lit("kept sliver")))))
+    sources = merged.unionByName(final.where("sliver").select(*merged.columns))
     if points is not None and tolerance > 0:
         named = after.withColumn("target_id", F.xxhash64("s", "e"))
         moved = snap_ranges(named, points, tolerance, keep).join(assets.select("asset_id", "duration_ms"), "asset_id")
@@ -337,15 +351,15 @@ def subtract_regions(candidates: DataFrame, assets: DataFrame, words: DataFrame
         e = F.when((F.col("e") < F.col("duration_ms")) & F.col("e_reason").isNotNull(), F.least("duration_ms", "new_e")).otherwise(F.col("e"))
         after = moved.select("asset_id", s.alias("s"), e.alias("e"))
     if words is not None:
-        after = guard_regions(after, words, assets)
-    done = merge_kept(after)
+        after = guard_regions(written(after, "kept"), words, assets)
+    done = written(merge_kept(after), "kept")
     return done, attach_evidence(done, sources, assets)
 
 
 def kept_items(kept: DataFrame, removed: DataFrame, words: DataFrame, segments: DataFrame, bucket: int = 10_000) -> DataFrame:
     """asset_id, pos, s, e, at (timeline offset), n_words inside, segment_id (first that overlaps), cut_before, cut_after (a removal within 50 ms)."""
-    order = by_time()
-    rows = kept.withColumns({"pos": F.row_number().over(order), "at": F.sum(F.col("e") - F.col("s")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("e") - F.col("s"))})
+    rows = scan(kept, ["s", "e"], pos=("sum_to", F.lit(1)), at=("sum_to", F.col("e") - F.col("s")))
+    rows = rows.withColumns({"pos": F.col("pos").cast("int"), "at": F.col("at") - (F.col("e") - F.col("s"))})
     key = ["asset_id", "s", "e"]
     inside = overlap_join(kept, words.select("asset_id", "s", "e"), bucket).where("b_s >= s and b_e <= e").groupBy(*key).agg(F.count("*").alias("n_words"))
     first = overlap_join(kept, segments.select("asset_id", "s", "e", "segment_id"), bucket).groupBy(*key).agg(F.min(F.struct("b_s", "segment_id")).alias("f")).select(*key, "f.segment_id")

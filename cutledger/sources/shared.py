@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -26,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
     return _OWN[context.applicationId]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table in the shared folder, where it is written now: what follows reads it as often as it likes."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,3 +73,27 @@ def test_anchor_trim(spark):
     none = F.array().cast("array<struct<s:bigint,e:bigint,text:string>>")
     got = {r.id: (r.x.s, r.x.e) for r in rows.select("id", T.anchor_trim(F.col("s"), F.col("e"), F.lit(6000), none, F.lit("")).alias("x")).collect()}
     assert got == {1: (12_000, 18_000), 2: (5000, 10_000)}
+
+
+def test_one_asset_of_all_rows_is_spread(spark):
+    """Islands of an asset that has every row: the same as of small ones, and no task of the window holds a large share."""
+    import random
+
+    from cutledger.operators import scans
+
+    rng = random.Random(4)
+    rows = sorted((t, t + rng.choice([0, 10, 400, 130_000])) for t in (rng.randrange(3_000_000) for _ in range(3000)))
+    words = spark.createDataFrame([(1, s, e) for s, e in rows], "asset_id long, s long, e long")
+    want, end = [], None
+    for s, e in rows:
+        if end is None or s > end:
+            want.append([s, e])
+        want[-1][1] = end = max(end or 0, e)
+    got = T.merge_kept(words).orderBy("s").collect()
+    assert [[r.s, r.e] for r in got] == [w for w in want if w[1] > w[0]]
+    found = scans.scan(words, ["s", "e"], n=("sum_to", F.lit(1)), top=("max_before", F.col("e")), prev=("lag", F.col("e")), next=("lead", F.col("s"))).orderBy("n").collect()
+    assert [(r.s, r.e) for r in found] == rows and [r.n for r in found] == list(range(1, 3001))
+    for i, r in enumerate(found):
+        assert r.prev == (rows[i - 1][1] if i else None) and r.next == (rows[i + 1][0] if i < 2999 else None) and r.top == max((e for _, e in rows[:i]), default=None)
+    dealt = words.withColumn("b", scans.time_band()).repartition(8, "asset_id", "b").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in dealt) < 2 * 3000 / 8
