@@ -1,6 +1,6 @@
-"""Evidence search: BM25 over postings, weighted term scores with reasons, filters and coverage.
+"""Evidence search: weighted term scores with reasons, filters and coverage (BM25: ``ranking``).
 
-``queries`` tables (query_id, query_text) may grow with the corpus. BM25 joins on words. The substring scorer joins
+``queries`` tables (query_id, query_text) may grow with the corpus. The substring scorer joins
 terms with the corpus's distinct words on two or three letters, and words with segments.
 """
 
@@ -10,34 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-K1, B = 1.2, 0.75
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, len for docs (doc_id, text): words of letters and digits, lower-cased."""
-    rows = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("ws"))
-    return rows.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents for the OR of a query's words; less is better (negated sums).
-
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Corpus statistics cover all documents; only documents with
-    a query's word are scored, by joins on the word.
-    """
-    post = postings(docs)
-    wanted = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query_text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))).alias("term"))
-    stats = docs.select(F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    hits = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(stats)).join(wanted, "term")  # stats is one row
-    scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.negative(F.sum(idf * weight)), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
+from ..sources.shared import written
+from .ranking import bm25  # noqa: F401
 
 def term_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, segment_id, hits, spoken: the query's terms found (as substrings) in a segment's hay and transcript, in the query's order.
@@ -89,15 +63,18 @@ def context_search(segments: DataFrame, queries: DataFrame, k: int) -> DataFrame
     them that does have a hit moves up. So nothing is computed for pairs that can't be among the k.
     """
     order = [F.col("score").desc(), F.col("quality").desc(), "s", "segment_id"]
+    slim = segments.select("segment_id", "s", "quality", "has_card")
     none = F.array().cast("array<string>")
-    still = _scored(segments.withColumns({"hits": none, "spoken": none})).orderBy(*order).limit(k)
-    hit = score_segments(segments, queries)
+    still = _scored(slim.withColumns({"hits": none, "spoken": none})).orderBy(*order).limit(k)
+    # ids, scores and reasons: texts come to the k best alone
+    hit = written(_scored(term_hits(segments, queries).join(slim, "segment_id")), "hits")
     rest = queries.select("query_id").distinct().crossJoin(F.broadcast(still))  # k rows
-    rest = rest.join(hit.select("query_id", "segment_id"), ["query_id", "segment_id"], "left_anti")
-    scored = hit.unionByName(rest)
-    best = scored.groupBy("query_id").agg(F.max("score").alias("_best"))
-    rows = scored.join(best, "query_id").where("score > 0 or _best <= 0")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("_best")
+    among = hit.join(F.broadcast(still.select("segment_id")), "segment_id", "left_semi").select("query_id", "segment_id")
+    rest = rest.join(among, ["query_id", "segment_id"], "left_anti")
+    by = Window.partitionBy("query_id").orderBy(*order)
+    best = hit.unionByName(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    best = best.withColumn("_best", F.max("score").over(Window.partitionBy("query_id"))).where("score > 0 or _best <= 0").drop("_best")
+    return best.select("query_id", "segment_id", "score", "reasons", "rank").join(segments, "segment_id")
 
 
 def packet_warnings(ranked: DataFrame) -> DataFrame:

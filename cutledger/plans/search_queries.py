@@ -68,9 +68,9 @@ def _(spark, d):
 
 
 def _bm25_sql(views: str, docs: str, k: int) -> str:
-    return sql(views, f""", d as ({docs}), w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') as ws from d), st as (select count(*) as nd, avg(len(ws)) as al from w),
+    return sql(views, f""", d as ({docs}), w as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') as ws from d), st as (select count(*) as nd, avg(len(ws)) as al from w),
  p as (select doc_id, term, len, count(*) as tf from (select doc_id, len(ws) as len, unnest(ws) as term from w) group by 1, 2, 3),
- q as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(query_text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as term from queries), n as (select term, count(*) as n from p where term in (select term from q) group by 1),
+ q as (select distinct query_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(query_text)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as term from queries), n as (select term, count(*) as n from p where term in (select term from q) group by 1),
  sc as (select query_id, doc_id, round(-sum(greatest(ln((nd - n + 0.5)/(n + 0.5)), 1e-6) * tf*2.2/(tf + 1.2*(0.25 + 0.75*len/al))), 6) as score from q join p using (term) join n using (term), st group by 1, 2)
  select * from (select *, cast(row_number() over (partition by query_id order by score, doc_id) as int) as rank from sc) where rank <= {k}""")
 
@@ -96,6 +96,32 @@ def _(spark, d):
     return S.bm25(docs, queries, 10)
 
 
+def _phrases_sql(views: str, docs: str, queries: str, k: int) -> str:
+    words = "list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+    return sql(views, f""", asked as ({queries}), d as ({docs}), w as (select doc_id, {words.format(c='text')} as ws from d), st as (select count(*) as nd, avg(len(ws)) as al from w),
+ q as (select distinct query_id, {words.format(c='part')} as unit from (select query_id, unnest(regexp_split_to_array(query_text, '\\s+')) as part from asked)), u as (select distinct unit from q where len(unit) > 0),
+ p as (select unit, doc_id, len(ws) as len, len(list_filter(range(1, len(ws) - len(unit) + 2), lambda i: ws[i:i + len(unit) - 1] = unit)) as tf from w join u on len(list_filter(unit, lambda t: list_contains(ws, t))) = len(unit)),
+ n as (select unit, count(*) as n from p where tf > 0 group by 1), sc as (select query_id, doc_id, round(-sum(greatest(ln((nd - n + 0.5)/(n + 0.5)), 1e-6) * tf*2.2/(tf + 1.2*(0.25 + 0.75*len/al))), 6) as score from q join p using (unit) join n using (unit), st where tf > 0 group by 1, 2)
+ select * from (select *, cast(row_number() over (partition by query_id order by score, doc_id) as int) as rank from sc) where rank <= {k}""")
+
+
+_ASKED = [(1, "click_k"), (2, "k_5 view"), (3, "purch\u00e1se-K error_k_7"), (4, "k__9_"), (5, " "), (6, "Sign\u00fcp K")]
+
+
+@R.add("x08_bm25_phrases", _phrases_sql("observations", "select obs_id as doc_id, facet || ' ' || value as text from observations", "select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in _ASKED) + ") v(query_id, query_text)", 10))
+def _(spark, d):
+    docs = V.observations(spark, d).select(F.col("obs_id").alias("doc_id"), F.concat_ws(" ", "facet", "value").alias("text"))
+    return S.bm25(docs, spark.createDataFrame(_ASKED, "query_id int, query_text string"), 10, phrases=True)
+
+
+@R.add("x06_bm25_phrases", _phrases_sql("spans", "select asset_id*1000 + pos as doc_id, text from spans", "select asset_id*1000 + pos as query_id, array_to_string(string_split(text, ' ')[1:2], '_') || ' ' || string_split(text, ' ')[3] as query_text from spans where asset_id % 5 = 0 and len(string_split(text, ' ')) > 2", 10))
+def _(spark, d):
+    docs = V.spans(spark, d).select("asset_id", (F.col("asset_id") * 1000 + F.col("pos")).alias("doc_id"), "text")
+    ws = F.split("text", " ")
+    asked = docs.where((F.col("asset_id") % 5 == 0) & (F.size(ws) > 2)).select(F.col("doc_id").alias("query_id"), F.concat(F.array_join(F.slice(ws, 1, 2), "_"), F.lit(" "), ws[2]).alias("query_text"))
+    return S.bm25(docs, asked, 10, phrases=True)
+
+
 _SEG = ", seg as (select *, lower(replace(concat_ws(' ', nullif(replace(lower(summary),' ','_'),''), role, mood, cast(asset_id as varchar)), chr(0), '')) as hay, lower(summary) as transcript from segments where usable)"
 _SCORE = _SEG + f""", qt as (select query_id, {_dterms('query_text')} as terms from queries), sc0 as (select seg.*, query_id, list_filter(terms, lambda t: contains(hay, t)) as hits, list_filter(terms, lambda t: contains(transcript, t)) as spoken from seg, qt),
  sc as (select *, len(hits)*20 + least(30, len(spoken)*10) + case when has_card then 15 else 0 end + least(20, quality*2) as score, list_filter([case when len(hits) > 0 then 'matches directive terms: ' || array_to_string(hits[1:5], ', ') end, case when len(spoken) > 0 then 'directive terms land in spoken words: ' || array_to_string(spoken[1:4], ', ') end, case when has_card then 'has editorial context card' end], lambda r: r is not null) as reasons from sc0),
