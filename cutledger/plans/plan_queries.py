@@ -69,3 +69,69 @@ def _(spark, d):
 @R.add("q28_edit_log", sql("plan_items", _END + _EDIT + """, l as (select plan_id, unnest(log) as x from done) select plan_id, x.i as i, x.op as op, x.outcome as outcome, x.at as "at", x.segment_id as segment_id from l""", recursive=True))
 def _(spark, d):
     return edited(spark, d).select("plan_id", F.explode("log").alias("x")).select("plan_id", "x.*")
+
+
+#: Replies whose references (#) and names (@) depend on the event; the second to fourth fall back.
+STRUCTURES = (
+    '{"logline": " arc @ ", "lanes": [{"id": "green", "casting_filter": "f"}, {"id": ""}, {"id": "blue"}], "beats": [{"id": "b1", "function": "open", "lane": "green", "intensity_target": 0.4, "motif": {"slot": "door", "occurrence": 1}}, {"id": "b2", "function": "x", "pattern": "Alternate", "lanes": ["green", "red", "blue"], "count": 4, "intensity_target": [0.4, 1.2], "recontextualizes": "b#"}, 7, {"pattern": "spiral", "lane": "red", "intensity_target": "high", "fill": {"shots": [2, 3], "continuity": ["setting", ""]}, "overlay": {"need": "sea", "audio": "mix"}}], "ordering_constraints": [{"type": "Before", "a": "b1", "b": "b#"}, {"type": "near", "a": "b1", "b": "b2"}, "x"], "ending_policy": {"reserve_ending": false}}',
+    '{"beats": [], "lanes": [{"id": "green"}]}',
+    '{"beats": [1, "x"]}',
+    "nonsense",
+    '{"lanes": "none", "beats": [{"id": "x@", "function": "f", "lane": "any", "pattern": "alternate", "lanes": ["p"], "fill": 3, "motif": {}, "overlay": []}]}',
+)
+
+_FB = "array_to_string(list_transform(range(n), lambda i: 'fb' || cast(i + 1 as varchar) || '/' || case when i = 0 then 'open' when i = n - 1 then 'close' else 'develop_' || cast(i as varchar) end || '/-/-//' || cast(case when i = n - 1 then 3000 else cast(round((3500 + 3500*i/(n - 1))/10) as bigint)*10 end as varchar) || '/-/-/-/-/-'), ';')"
+
+
+@R.add("q31_conform_structures", f"""with e as (select event_id as reply_id, event_type, event_id % 5 as k, cast(event_id % 4 as varchar) as h, cast(event_id % 50 as varchar) as a, greatest(3, event_id % 7) as n from events)
+ select reply_id, case k when 0 then 'arc ' || a when 4 then 'no logline' else 'linear: cut ' || event_type end as logline, case when k = 0 then 'green,blue' else '' end as lanes,
+ case k when 0 then 'b1/open/green/-//4000/-/-/-/door1/-;b2/x/-/alternate/green,blue/4000/10000/-/4/-/' || case when h in ('1','2') then 'b' || h else '-' end || ';beat_4/unnamed/-/-//-/-/2-3setting/-/-/-' when 4 then 'x' || a || '/f/any/-/p/-/-/-/-/-/-' else {_FB} end as beats,
+ case when k = 0 and h in ('1','2') then 'before b1 b' || h else '' end as rules, k <> 0 as reserve_ending, k in (1, 2, 3) as fallback,
+ case k when 0 then 'lane without an id; beat b2: unknown lanes red; entry 3: not an object; beat beat_4: no function; beat beat_4: unknown pattern spiral; beat beat_4: unknown lane red; beat beat_4: invalid intensity; beat beat_4: unknown overlay audio mix' || case when h in ('0','3') then '; beat b2: recontextualizes unknown beat b' || h || '; rule of unknown beats b1/b' || h else '' end || '; rule of unknown type near'
+  when 2 then 'no valid beats' when 4 then 'beat x' || a || ': alternates fewer than two lanes; beat x' || a || ': invalid fill; beat x' || a || ': motif without a slot; beat x' || a || ': overlay without a need' else 'malformed reply' end as warnings from e""")
+def _(spark, d):
+    from ..operators import structure as U
+
+    ev = V.table(spark, d, "events")
+    raw = F.element_at(F.array(*map(F.lit, STRUCTURES)), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.replace(F.replace(raw, F.lit("@"), (F.col("event_id") % 50).cast("string")), F.lit("b#"), F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")))
+    out = U.conform_structures(ev.select(F.col("event_id").alias("reply_id"), raw.alias("raw"), (F.col("event_id") % 7 * 10_000).alias("duration_ms"), F.concat(F.lit("cut "), "event_type").alias("directive")))
+    or_dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    shots = lambda b: F.concat(b["shots_min"].cast("string"), F.lit("-"), b["shots_max"].cast("string"), F.array_join(b["continuity"], ","))
+    motif = lambda b: F.concat(b["motif"], b["occurrence"].cast("string"))
+    beat = lambda b: F.concat_ws("/", b["id"], b["function"], or_dash(b["lane"]), or_dash(b["pattern"]), F.array_join(b["lanes"], ","), or_dash(b["lo"]), or_dash(b["hi"]), or_dash(shots(b)), or_dash(b["count"]), or_dash(motif(b)), or_dash(b["recontextualizes"]))
+    return out.select(
+        "reply_id", "logline", F.array_join(F.transform("lanes", lambda v: v["id"]), ",").alias("lanes"), F.array_join(F.transform("beats", beat), ";").alias("beats"),
+        F.array_join(F.transform("rules", lambda r: F.concat_ws(" ", r["type"], r["a"], r["b"])), ";").alias("rules"), "reserve_ending", "fallback", F.array_join("warnings", "; ").alias("warnings"),
+    )
+
+
+_CAST = """, sl as (select plan_id, pos, case when segment_id % 3 = 0 then 'm' || cast(segment_id % 2 as varchar) end as motif, 1 + segment_id % 2 as low, 1 + segment_id % 2 + asset_id % 2 as high, case when plan_id % 4 = 0 and pos = 1 then segment_id % 50 + 14 end as pre,
+  [{'seg': segment_id % 50 + t, 'asset': (asset_id + t//7) % 9, 'score': target % 97 + (t//7)*5, 'tok': segment_id % 3 + t//14} for t in [0, 7, 14, 21]] as raw from plan_items),
+ slots as (select plan_id, pos, motif, low, high, pre, row_number() over (partition by plan_id, motif order by pos) as occ, row_number() over (partition by plan_id order by pos) as p, case when pos % 5 = 4 then [] else raw[4:4] || raw[3:3] || raw[2:2] || raw[1:1] end as cands from sl),
+ st(plan_id, k, p, shots, segs, assets, reg, o) as (select distinct plan_id, cast(0 as bigint), cast(1 as bigint), cast([] as struct(seg bigint, asset bigint, score bigint, tok bigint)[]), cast([] as bigint[]), cast([] as bigint[]), cast([] as struct(m varchar, c struct(seg bigint, asset bigint, score bigint, tok bigint))[]), cast(null as struct(pos bigint, shot int, seg bigint, score bigint, status varchar)) from slots union all
+  select plan_id, k + 1, case when best is null or len(shots) + 1 >= hi then p + 1 else p end, case when best is null or len(shots) + 1 >= hi then [] else list_append(shots, best) end, case when best is null then segs else list_append(segs, best.seg) end, case when best is null then assets else list_append(assets, best.asset) end,
+   case when best is not null and motif is not null and occ = 1 and len(list_filter(reg, lambda r: r.m = motif)) = 0 then list_append(reg, {'m': motif, 'c': best}) else reg end,
+   case when best is null then case when len(shots) = 0 then {'pos': pos, 'shot': null, 'seg': null, 'score': null, 'status': 'uncast'} when len(shots) < lo then {'pos': pos, 'shot': null, 'seg': null, 'score': null, 'status': 'too few shots'} end
+    else {'pos': pos, 'shot': len(shots), 'seg': best.seg, 'score': best.score - case when motif is not null then 0 else 30*cast(list_contains(segs, best.seg) as int) + 10*cast(list_contains(assets, best.asset) as int) end, 'status': case when again then 'motif again' when motif is null and list_contains(segs, best.seg) then 'used again' else 'cast' end} end
+  from (select *, case when len(pool) = 0 then null when motif is not null then pool[1] else list_reduce(pool, lambda x, y: case when y.score - 30*cast(list_contains(segs, y.seg) as int) - 10*cast(list_contains(assets, y.asset) as int) > x.score - 30*cast(list_contains(segs, x.seg) as int) - 10*cast(list_contains(assets, x.asset) as int) then y else x end) end as best from (
+   select *, case when again or pre is not null then 1 else low end as lo, case when again or pre is not null then 1 else high end as hi, case when again then list_transform(list_filter(reg, lambda r: r.m = motif), lambda r: r.c) when pre is not null then list_filter(cands, lambda c: c.seg = pre) else list_filter(cands, lambda c: not list_contains(list_transform(shots, lambda s: s.seg), c.seg) and (len(shots) = 0 or pos % 2 = 0 or c.tok = shots[1].tok)) end as pool from (
+    select st.*, slots.pos, slots.motif, slots.occ, slots.low, slots.high, slots.pre, slots.cands, coalesce(motif is not null and occ > 1 and len(list_filter(reg, lambda r: r.m = motif)) > 0, false) as again from st join slots on slots.plan_id = st.plan_id and slots.p = st.p))))"""
+
+
+@R.add("q15_motif_cast", sql("plan_items", _CAST + " select plan_id, o.pos as pos, o.shot as shot, o.seg as segment_id, o.score as score, o.status as status from st where o is not null", recursive=True))
+def _(spark, d):
+    from pyspark.sql import Window
+
+    from ..operators import casting as C
+
+    items = V.plan_items(spark, d)
+    seg = F.col("segment_id")
+    motif = F.when(seg % 3 == 0, F.concat(F.lit("m"), (seg % 2).cast("string")))
+    slots = items.withColumn("motif", motif).select(
+        "plan_id", "pos", "motif", F.row_number().over(Window.partitionBy("plan_id", "motif").orderBy("pos")).alias("occurrence"), (1 + seg % 2).cast("int").alias("shots_min"), (1 + seg % 2 + F.col("asset_id") % 2).cast("int").alias("shots_max"),
+        F.when(F.col("pos") % 2 == 1, F.array(F.lit("setting"))).alias("continuity"), F.when((F.col("plan_id") % 4 == 0) & (F.col("pos") == 1), seg % 50 + 14).alias("preselected"),
+    )
+    one = lambda t: F.struct(F.lit(4 - t).alias("rank"), (seg % 50 + 7 * t).alias("segment_id"), ((F.col("asset_id") + t) % 9).alias("asset_id"), (F.col("target") % 97 + 5 * t).alias("score"), F.create_map(F.lit("setting"), F.array((seg % 3 + t // 2).cast("string"))).alias("tokens"))
+    pools = items.where("pos % 5 <> 4").select("plan_id", "pos", F.explode(F.array(*map(one, range(4)))).alias("c")).select("plan_id", "pos", "c.*")
+    return C.cast_plans(slots, pools)
