@@ -45,8 +45,16 @@ def relationship_type(cosine: Column, same_asset: Column, dup: float) -> Column:
 
 
 def relate(vectors: DataFrame, least: float, dup: float, k: int, existing: DataFrame | None = None) -> DataFrame:
-    """src, dst, type: pairs in the k best of either end, each unordered pair once, those in ``existing`` (src, dst) left out."""
+    """src, dst, type: pairs in the k best of either end, each unordered pair once, those in ``existing`` (src, dst) left out.
+
+    Where vectors have s and e, two segments of one asset that overlap in time are no pair.
+    """
     pairs = similar_pairs(vectors, least)
+    if {"s", "e"} <= set(vectors.columns):
+        when = F.struct("asset_id", "s", "e")
+        pairs = pairs.join(vectors.select(F.col("segment_id").alias("a"), when.alias("_a")), "a").join(vectors.select(F.col("segment_id").alias("b"), when.alias("_b")), "b")
+        same = (F.col("_a.asset_id") == F.col("_b.asset_id")) & (F.col("_a.s") < F.col("_b.e")) & (F.col("_b.s") < F.col("_a.e"))
+        pairs = pairs.where(~F.coalesce(same, F.lit(False))).select("a", "b", "cosine")
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "cosine"))
     top = both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.col("cosine").desc(), "dst"))).where(F.col("r") <= k)
     once = top.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "cosine").distinct()
@@ -58,11 +66,12 @@ def relate(vectors: DataFrame, least: float, dup: float, k: int, existing: DataF
 
 
 def related(edges: DataFrame, ids: DataFrame, usable: DataFrame, k: int) -> DataFrame:
-    """segment_id, other, type, rank: the k neighbours of each id, either way along an edge, that are usable; by confidence, then id."""
-    both = edges.select(F.col("src").alias("segment_id"), F.col("dst").alias("other"), "type", "confidence").unionByName(edges.select(F.col("dst").alias("segment_id"), F.col("src").alias("other"), "type", "confidence"))
-    rows = both.dropDuplicates(["segment_id", "other", "type"]).join(ids, "segment_id", "left_semi").join(usable.select(F.col("segment_id").alias("other")), "other", "left_semi")
-    order = Window.partitionBy("segment_id").orderBy(F.col("confidence").desc(), "other", "type")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("segment_id", "other", "type", "rank")
+    """segment_id, other, type, rank: the k neighbours of each id, either way along an edge, that are usable; by confidence, then id. Of repeated edges the most confident counts; edges with other evidence (where they have it) stand for themselves."""
+    same = ["evidence"] if "evidence" in edges.columns else []
+    both = edges.select(F.col("src").alias("segment_id"), F.col("dst").alias("other"), "type", "confidence", *same).unionByName(edges.select(F.col("dst").alias("segment_id"), F.col("src").alias("other"), "type", "confidence", *same))
+    rows = both.groupBy("segment_id", "other", "type", *same).agg(F.max("confidence").alias("confidence")).join(ids, "segment_id", "left_semi").join(usable.select(F.col("segment_id").alias("other")), "other", "left_semi")
+    order = Window.partitionBy("segment_id").orderBy(F.col("confidence").desc(), "other", "type", *same)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("segment_id", "other", "type", *same, "rank")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

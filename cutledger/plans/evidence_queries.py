@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import intervals as T
+from ..operators import removal as P
 from ..operators import profile as A
 from ..operators import search as S
 from ..sources import views as V
@@ -82,6 +83,19 @@ _CHAIN = (_SLIVER + _KEEP.replace("guarded", "kept2") + _COMP.format(n="gone", r
 @R.add("q33_subtract_plan", sql("words word_assets spans", _SILENT + _CAND + _CHAIN + " select ka.q, ka.a as asset_id, x.s, x.e, x.kept from (select asset_id, s, e, true as kept from final union all select asset_id, s, e, false from gone) x join ka using (asset_id)"))
 def _(spark, d):
     """Each directive of the query set against each asset: the removals it asks for, and what is kept. Every third names a target."""
+    return P.expanded_plans(*_factored(spark, d))
+
+
+@R.add("q33_plan_factors", sql("words word_assets spans", _SILENT + _CAND + _CHAIN + """, sg as (select ka.asset_id as k, ka.q, ka.a, case kind when 0 then 'silences' when 1 then 'dead,silences' else '' end || '|' || coalesce((select string_agg(distinct target, ',' order by target) from sem where sem.q = ka.q and sem.asset_id = ka.a and kind = 2), '') as sig from ka),
+ parts as (select distinct sig, sg.a as asset_id, x.s, x.e, x.kept from (select asset_id, s, e, true as kept from final union all select asset_id, s, e, false from gone) x join sg on sg.k = x.asset_id)
+ select sig, asset_id, s, e, kept, null as q from parts union all select distinct case kind when 0 then 'silences' when 1 then 'dead,silences' else '' end || '|', null, null, null, null, q from ka union all select sig, a, null, null, null, q from sg where not ends_with(sig, '|')"""))
+def _(spark, d):
+    """The distinct plans, and the links of directives to them."""
+    plans, links = _factored(spark, d)
+    return plans.select("sig", "asset_id", "s", "e", "kept", F.lit(None).cast("long").alias("q")).unionByName(links.select("sig", "asset_id", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("boolean").alias("kept"), "q"))
+
+
+def _factored(spark, d):
     docs = V.table(spark, d, "documents").where("doc_id % 50 = 0")
     kind = F.expr("(doc_id div 50) % 3")
     text = F.when(kind == 0, "Cut the pauses").when(kind == 1, "drop boring parts").otherwise("remove what is named")
@@ -91,15 +105,10 @@ def _(spark, d):
     silent = T.speechless_gaps(words, assets, 300).withColumn("why", F.lit("silences"))
     dull = V.spans(spark, d).where(S.low_energy(F.col("text")) | (F.col("pos") % 9 == 8)).select("asset_id", "s", "e", F.lit("dead").alias("why"))
     # long stretches without speech go for either
-    asked = routed.select("q", F.explode(F.array_compact(F.array(F.when(F.col("silences") | F.col("dead"), F.lit("silences")), F.when(F.col("dead"), F.lit("dead"))))).alias("why"))
-    by_name = S.semantic_removals(_spoken(spark, d), routed.select("q", F.explode("targets").alias("target")), assets)
-    found = silent.unionByName(dull).join(asked, "why").select("q", "asset_id", "s", "e", "why").unionByName(by_name)
-    key = F.struct("q", "asset_id")
-    found = found.select(key.alias("asset_id"), "s", "e", F.array().cast("array<string>").alias("evidence"), F.array("why").alias("why"))
-    plans = routed.select("q").crossJoin(assets).select(key.alias("asset_id"), "duration_ms")  # the result: each directive's plan of each asset
-    kept, removed = T.subtract_regions(found, plans)
-    both = kept.withColumn("kept", F.lit(True)).unionByName(removed.select("asset_id", "s", "e", F.lit(False).alias("kept")))
-    return both.select("asset_id.q", "asset_id.asset_id", "s", "e", "kept")
+    asked = routed.select("q", F.explode_outer(F.array_compact(F.array(F.when(F.col("silences") | F.col("dead"), F.lit("silences")), F.when(F.col("dead"), F.lit("dead"))))).alias("why"))
+    targets = routed.select("q", F.explode("targets").alias("target"))
+    by_name = S.semantic_removals(_spoken(spark, d), targets.select(F.col("target").alias("q"), "target"), assets).withColumnRenamed("q", "target")
+    return P.factored_plans(asked, silent.unionByName(dull), by_name, targets, assets, ["silences", "dead"])
 
 
 @R.add("t12_clamped_range", sql("iv", """, a as (select asset_id, s, e, flag, case when asset_id % 3 > 0 then cast(40000 as bigint) end as d from iv), b as (select *, case when d is null then s else least(s, d - 100) end as x from a), c as (select *, case when d is null then e else least(greatest(x + 100, e), d) end as y from b)

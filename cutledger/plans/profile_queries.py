@@ -105,10 +105,10 @@ def _(spark, d):
 
 
 def _vectors(spark, d):
-    return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("label").alias("asset_id"), "embedding")
+    return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("label").alias("asset_id"), "embedding", (F.col("vec_id") * 37 % 20_000).alias("s"), (F.col("vec_id") * 37 % 20_000 + 4000).alias("e"))
 
 
-_COS = ", v as (select vec_id as segment_id, label as asset_id, embedding::double[64] as e from embeddings), pr as (select a.segment_id as a, b.segment_id as b, a.asset_id = b.asset_id as same, array_cosine_similarity(a.e, b.e) as c from v a join v b on a.segment_id < b.segment_id where array_cosine_similarity(a.e, b.e) >= 0.35), bth as (select a as src, b as dst, c, same from pr union all select b, a, c, same from pr), tk as (select *, row_number() over (partition by src order by c desc, dst) as r from bth), edges as (select distinct least(src,dst) as src, greatest(src,dst) as dst, case when c >= 0.45 then 'duplicates' when same then 'echoes_same_source' else 'echoes' end as type from tk where r <= 8)"
+_COS = ", v as (select vec_id as segment_id, label as asset_id, embedding::double[64] as e, vec_id*37 % 20000 as t from embeddings), pr as (select a.segment_id as a, b.segment_id as b, a.asset_id = b.asset_id as same, array_cosine_similarity(a.e, b.e) as c from v a join v b on a.segment_id < b.segment_id and not (a.asset_id = b.asset_id and abs(a.t - b.t) < 4000) where array_cosine_similarity(a.e, b.e) >= 0.35), bth as (select a as src, b as dst, c, same from pr union all select b, a, c, same from pr), tk as (select *, row_number() over (partition by src order by c desc, dst) as r from bth), edges as (select distinct least(src,dst) as src, greatest(src,dst) as dst, case when c >= 0.45 then 'duplicates' when same then 'echoes_same_source' else 'echoes' end as type from tk where r <= 8)"
 
 
 @R.add("g01_relate", sql("queries", _COS + " select * from edges"))
