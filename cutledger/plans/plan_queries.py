@@ -135,3 +135,37 @@ def _(spark, d):
     one = lambda t: F.struct(F.lit(4 - t).alias("rank"), (seg % 50 + 7 * t).alias("segment_id"), ((F.col("asset_id") + t) % 9).alias("asset_id"), (F.col("target") % 97 + 5 * t).alias("score"), F.create_map(F.lit("setting"), F.array((seg % 3 + t // 2).cast("string"))).alias("tokens"))
     pools = items.where("pos % 5 <> 4").select("plan_id", "pos", F.explode(F.array(*map(one, range(4)))).alias("c")).select("plan_id", "pos", "c.*")
     return C.cast_plans(slots, pools)
+
+
+def _near(t: str, banned: str, some: str) -> str:
+    return f"list_sort(list_transform(list_filter(points, lambda p: (not list_contains([{banned}], p.reason) or not {some}) and abs(p.t - {t}) <= 500), lambda p: {{'gap': abs(p.t - {t}), 'back': -p.t, 'reason': p.reason}}))[1]"
+
+
+_FILL = f""", cn as (select asset_id, s, e, row_number() over (partition by asset_id order by e - s desc, s, flag) as rank, case when s % 3 = 0 then 2000 + s % 5000 end as cap from iv where flag <> 'N'),
+ pt as (select asset_id, s as t, 'shot_change' as reason from iv where flag = 'N' union all select asset_id, e, 'gap_start' from iv where flag = 'N'), un as (select asset_id, s + 700 as s, s + 1500 as e, 'w' || cast(s % 4 as varchar) as text from iv where flag = 'N'),
+ cp as (select cn.*, coalesce((select list({{'t': t, 'reason': reason}}) from pt where pt.asset_id = cn.asset_id and t < cn.e + 501 and greatest(0, cn.s - 500) < t + 1), []) as points, coalesce((select list({{'s': s, 'e': e, 'text': text}} order by s, e, text) from un where un.asset_id = cn.asset_id and un.s < cn.e + 501 and greatest(0, cn.s - 500) < un.e), []) as units, coalesce(f.si, false) as si, coalesce(f.so, false) as so from cn left join (select asset_id, bool_or(reason <> 'gap_start') as si, true as so from pt group by 1) f using (asset_id)),
+ st(query_id, r, cursor, it) as (select distinct asset_id, cast(0 as bigint), cast(0 as bigint), cast(null as struct(s bigint, e bigint, "at" bigint, cut boolean)) from cn union all
+  select query_id, r + 1, cursor + y - x, {{'s': x, 'e': y, 'at': cursor, 'cut': cut}} from (
+  select *, case when cut then ns else s0 end as x, case when cut then ns + greatest(100, least(ne, ns + most) - ns) else s0 + len end as y from (
+  select *, case when qe - qs >= 500 then qs else ks end as ns, case when qe - qs >= 500 then qe else ke end as ne from (
+  select *, coalesce(-a.back, ks) as qs, case when b.reason = 'gap_start' then 150 - b.back else coalesce(-b.back, ke) end as qe from (
+  select *, {_near('ks', "'gap_start','word_end'", 'si')} as a, {_near('ke', "'gap_end','word_start'", 'so')} as b from (
+  select *, greatest(s0, least(case when u is null then (s0 + e0 - len)//2 else least(u.s - 300, e0 - len) end, e0 - len)) as ks, greatest(s0, least(case when u is null then (s0 + e0 - len)//2 else least(u.s - 300, e0 - len) end, e0 - len)) + len as ke from (
+  select *, len < e0 - s0 - 10 as cut, coalesce(list_filter(ins, lambda v: contains(hint, v.text))[1], ins[1]) as u from (
+  select *, greatest(100, least(most, e0 - s0, 15000 - cursor)) as len, list_filter(units, lambda v: v.e > v.s and v.s >= s0 - 10 and v.s < e0) as ins from (
+  select st.query_id, st.r, st.cursor, points, units, si, so, least(cp.s, 69900) as s0, least(greatest(least(cp.s, 69900) + 100, cp.e), 70000) as e0, least(6000, coalesce(cap, 6000)) as most, 'quotes w' || cast(rank % 4 as varchar) as hint from st join cp on cp.asset_id = st.query_id and cp.rank = st.r + 1 where st.cursor < 15000)))))))))"""
+
+
+@R.add("q19_exact_fill", sql("iv", _FILL + ' select query_id, r as rank, it.s as s, it.e as e, it."at" as "at", it.cut as cut from st where r > 0', recursive=True))
+def _(spark, d):
+    from pyspark.sql import Window
+
+    from ..operators import fill as L
+
+    iv = V.intervals(spark, d)
+    order = Window.partitionBy("asset_id").orderBy((F.col("e") - F.col("s")).desc(), "s", "flag")
+    rows = iv.where("flag <> 'N'").withColumn("rank", F.row_number().over(order)).withColumns({"query_id": F.col("asset_id"), "cap": F.when(F.col("s") % 3 == 0, 2000 + F.col("s") % 5000), "asset_ms": F.lit(70_000), "hint": F.concat(F.lit("quotes w"), (F.col("rank") % 4).cast("string"))})
+    marks = iv.where("flag = 'N'")
+    points = marks.select("asset_id", F.col("s").alias("t"), F.lit("shot_change").alias("reason")).unionByName(marks.select("asset_id", F.col("e").alias("t"), F.lit("gap_start").alias("reason")))
+    units = marks.select("asset_id", (F.col("s") + 700).alias("s"), (F.col("s") + 1500).alias("e"), F.concat(F.lit("w"), (F.col("s") % 4).cast("string")).alias("text"))
+    return L.exact_fill(L.with_surroundings(rows.drop("flag"), points, units, 500), 15_000, 6000)
