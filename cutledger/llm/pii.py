@@ -24,6 +24,8 @@ _SPAN = "array<struct<kind:string,start:int,end:int,tag:string>>"
 #: term beside an entity; share of the term's documents, and bits of pointwise information, that disclose it;
 #: share from which it is removed, not generalised.
 CONTEXT, LEAST_DOCS, LEAST_CONTEXTS, DISCLOSES, BITS, REMOVED = 80, 3, 3, 0.5, 6.0, 0.9
+#: Values that are summed together, and characters of a piece of text that are counted through together.
+CHUNK, PIECE = 128, 2048
 
 
 def _luhn(digits: Column) -> Column:
@@ -48,21 +50,57 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, add) -> Column:  # noqa: ANN001
+    """For each of ``values`` (not negative) what ``add``, a sum or a maximum, makes of ``zero`` and all values before it.
+
+    Chunks are summed, then what comes before a chunk, then what comes before a value in it: no array grows with each
+    value, so a text of many spans costs little more than as many of few.
+    """
+    def found(v: Column) -> Column:
+        chunk = lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.aggregate(chunk(k), F.lit(0), add))
+        each = lambda begin, k: _let(chunk(k), lambda c: F.transform(c, lambda x, i: F.aggregate(F.slice(c, F.lit(1), i), begin, add)))
+        starts = lambda t: F.transform(t, lambda x, k: F.aggregate(F.slice(t, F.lit(1), k), zero, add))
+        return F.when(F.size(v) > 0, _let(sums, lambda t: F.flatten(F.transform(starts(t), each)))).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, found)
+
+
 def _marked(text: Column, pattern: str, kind: str, tag) -> Column:  # noqa: ANN001
     """Spans of the matches for which ``tag`` (of the match) isn't null: each match is put between two marks, then lengths are summed."""
     bare = F.translate(text, "\x01\x02", "\x03\x03")
     parts = F.split(F.regexp_replace(bare, pattern, "\x01$0\x02"), "\x01", -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        match = F.substring_index(part, "\x02", 1)
-        mark = tag(match)
-        span = F.struct(F.lit(kind).alias("kind"), acc["pos"].alias("start"), (acc["pos"] + F.length(match)).alias("end"), mark.alias("tag"))
-        out = F.when(mark.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct((acc["pos"] + F.length(part) - 1).alias("pos"), out.alias("out"))
+    def located(parts: Column) -> Column:
+        # a part but for the first is a match, a mark, and what follows
+        rest = F.slice(parts, F.lit(2), F.size(parts) - 1)
+        starts = lambda r: _before(F.transform(r, lambda p: F.length(p) - 1), F.length(F.get(parts, F.lit(0))), lambda t, n: t + n)
+
+        def span(part: Column, start: Column) -> Column:
+            match = F.substring_index(part, "\x02", 1)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), tag(match).alias("tag"))
+
+        spans = _let(rest, lambda r: F.zip_with(r, starts(r), span))
+        return F.filter(spans, lambda x: x["tag"].isNotNull()).cast(_SPAN)
+
+    return _let(parts, lambda p: F.when(F.size(p) > 1, located(p)).otherwise(F.array().cast(_SPAN)))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters, as a place deep in a text is found only by counting from its start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+
 
-    start = F.struct(F.length(F.get(parts, 0)).alias("pos"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step, lambda a: a["out"])
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(_SPAN))
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor(F.greatest(end - 1, start) / PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
 
 
 def base_spans(text: Column) -> Column:
@@ -84,27 +122,26 @@ def joined(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its tag; of overlapping spans the first (the longer at a tie) gives the tag."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.negative(s["end"]).alias("back"), s["tag"].alias("tag"))))
+    reach = lambda o: _before(F.transform(o, lambda s: -s["back"]), F.lit(0), lambda t, e: F.greatest(t, e))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = F.negative(s["back"])
-        piece = F.concat(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), s["tag"])
-        fresh = s["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], end).alias("pos"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def done(o: Column, pieces: Column) -> Column:
+        # a span gives its tag, and the text since the last one, if none before reaches into it
+        parts = F.zip_with(o, reach(o), lambda s, at: F.when(s["start"] >= at, F.concat(_part(pieces, at, s["start"]), s["tag"])).otherwise(F.lit("")))
+        end = F.array_max(F.transform(o, lambda s: -s["back"]))
+        return F.concat(F.array_join(parts, ""), _part(pieces, end, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(order, lambda o: _let(_pieces(text), lambda p: done(o, p))))
 
 
 def _contexts(text: Column, spans: Column) -> Column:
     """For each base span its entity (kind and bare value), its context's key and the context's whole words."""
 
-    def one(s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def one(pieces: Column, s: Column) -> Column:
+        value = _part(pieces, s["start"], s["end"])
         bare = F.when(s["kind"] == "email", F.lower(value)).when(s["kind"] == "ip", value).otherwise(F.regexp_replace(value, "[^0-9]", ""))
         low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, low + 1, s["start"] - low)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+        left = _part(pieces, low, s["start"])
+        right = _part(pieces, s["end"], s["end"] + CONTEXT)
         # words that the window cuts are dropped
         left = F.when(low > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
         right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
@@ -112,7 +149,7 @@ def _contexts(text: Column, spans: Column) -> Column:
         terms = F.array_distinct(F.regexp_extract_all(both, F.lit(TERM), F.lit(0)))
         return F.struct(F.xxhash64(s["kind"], bare).alias("entity"), F.xxhash64(both).alias("context"), terms.alias("terms"))
 
-    return F.transform(spans, one)
+    return _let(_pieces(text), lambda p: F.transform(spans, lambda s: one(p, s)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
