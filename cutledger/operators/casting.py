@@ -83,7 +83,7 @@ def cast_plans(slots: DataFrame, candidates: DataFrame, group: int = 64) -> Data
             for s in found:
                 s["candidates"] = [c if isinstance(c, dict) else c.asDict() for c in (s["candidates"] if s["candidates"] is not None else ())]
                 for c in s["candidates"]:
-                    c["tokens"] = dict(c["tokens"] or {})
+                    c["tokens"] = {k: list(v) for k, v in dict(c["tokens"] or {}).items() if v is not None}
             out += [(plan, *r) for r in _cast_one(found)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"shot": "Int32", "segment_id": "Int64", "score": "Int64"})
 
