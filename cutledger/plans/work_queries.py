@@ -231,6 +231,18 @@ def _(spark, d):
     return _drain(spark, lambda s: R_.first_replies(s, "10 minutes").select("asset_id", "obs_id"), d).where("asset_id is not null")
 
 
+@R.add("r06_newest_slices", "select user_id as asset_id, event_type as source, event_id % 3 as version, event_id as i from events qualify event_id % 3 = max(event_id % 3) over (partition by user_id, event_type)")
+def _(spark, d):
+    """Each user's events of a type are a slice of three versions, which come newest, oldest, middle, and newest once more."""
+    work = f"{shared_dir(spark)}/cl_{uuid.uuid4().hex}"
+    rows = V.table(spark, d, "events").select(F.col("user_id").alias("asset_id"), F.col("event_type").alias("source"), (F.col("event_id") % 3).alias("version"), F.col("event_id").alias("i"))
+    for n, version in enumerate((2, 0, 1, 2)):
+        rows.where(F.col("version") == version).coalesce(1).write.parquet(f"{work}/in/part={n}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in").select(*rows.columns)
+    R_.replace_slices(stream, f"{work}/table", f"{work}/checkpoint").awaitTermination()
+    return R_.newest_slices(spark.read.parquet(f"{work}/table")).select("asset_id", "source", "version", "i")
+
+
 @R.add("r01_incremental_ingest", "select page_id as asset_id, md5(url) as path_key, length(html) as size from pages where page_id in (select max(page_id) from pages group by url)")
 def _(spark, d):
     """Pages come as files; each batch is merged into the table by path, the newest page of a path wins, and a batch seen twice changes nothing."""

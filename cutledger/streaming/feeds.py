@@ -70,3 +70,18 @@ def first_replies(stream: DataFrame, late: str) -> DataFrame:
 def ingest(stream: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str):  # noqa: ANN201
     """Runs ``apply`` on each batch of a file source, with progress kept in ``checkpoint``: a batch that is seen twice must give the same table (``replace_by_source``, ``upsert``)."""
     return stream.writeStream.foreachBatch(lambda df, _: apply(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replace_slices(stream: DataFrame, table: str, checkpoint: str):  # noqa: ANN201
+    """Keeps replies (asset_id, source, version, i, ...) of a stream in ``table``, where the newest version of a slice (asset_id, source) stands for it.
+
+    Late versions and replays may come at any time, after any watermark: nothing is kept as state. Each batch is a folder of
+    the table, written over if the batch is run again, so a failure between two steps leaves no row twice.
+    """
+    return stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{table}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_slices(kept: DataFrame) -> DataFrame:
+    """The rows of a table of ``replace_slices`` that hold: those of each slice's greatest version, each item i once."""
+    newest = kept.groupBy("asset_id", "source").agg(F.max("version").alias("version"))
+    return kept.drop("batch").join(newest, ["asset_id", "source", "version"]).dropDuplicates(["asset_id", "source", "version", "i"])
