@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+from .search import candidate_rank, evidence_matches
+
 #: What using a segment, or a source, once more costs, in tenths.
 AGAIN, SAME_SOURCE = 30, 10
 
@@ -88,3 +91,25 @@ def cast_plans(slots: DataFrame, candidates: DataFrame, group: int = 64) -> Data
         return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"shot": "Int32", "segment_id": "Int64", "score": "Int64"})
 
     return rows.withColumn("_g", F.pmod(F.xxhash64("plan_id"), F.lit(groups))).groupBy("_g").applyInPandas(run, _OUT)
+
+
+def gather_candidates(pool: DataFrame, facet_hits: DataFrame, similar: DataFrame, slots: DataFrame, k: int = 8, bucket: int = 10_000) -> DataFrame:
+    """slot_id, segment_id, pos, via, value: each slot's k best candidates from three channels.
+
+    ``pool``: what evidence search gives for a slot (slot_id, segment_id, asset_id, s, e, score, tokens of its evidence, energy).
+    ``facet_hits`` (slot_id, asset_id, s, e, facet) and ``similar`` (slot_id, segment_id) tag members of the pool that they
+    overlap, or name, and raise them; they add none. ``slots``: slot_id, need and withhold (arrays of terms), intensity: a
+    candidate without a needed term, or with a withheld one, isn't there. via: context_search, facet:<kind>, similar. Ties
+    go to the smaller segment_id. Hits meet the pool by slot, source and time bucket.
+    """
+    own = lambda df: df.withColumn("asset_id", F.struct("slot_id", "asset_id"))
+    met = overlap_join(own(pool.select("slot_id", "asset_id", "segment_id", "s", "e")), own(facet_hits).select("asset_id", "s", "e", "facet"), bucket)
+    tags = met.groupBy("slot_id", "segment_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("facet:"), "facet"))).alias("_facets"))
+    rows = pool.join(tags, ["slot_id", "segment_id"], "left").join(similar.select("slot_id", "segment_id").distinct().withColumn("_similar", F.lit(True)), ["slot_id", "segment_id"], "left").join(slots, "slot_id")
+    none = F.array().cast("array<string>")
+    facets, like = F.coalesce("_facets", none), F.coalesce("_similar", F.lit(False))
+    fit = evidence_matches(F.col("tokens"), F.coalesce("need", none)) & ~F.arrays_overlap("tokens", F.coalesce("withhold", none))
+    rows = rows.where(fit).withColumn("via", F.concat(F.array(F.lit("context_search")), facets, F.when(like, F.array(F.lit("similar"))).otherwise(none)))
+    rows = rows.withColumn("value", candidate_rank(F.col("score"), F.size(facets), like, F.col("energy"), F.col("intensity")).cast("double"))
+    order = Window.partitionBy("slot_id").orderBy(F.col("value").desc(), "segment_id")
+    return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("slot_id", "segment_id", "pos", "via", "value")

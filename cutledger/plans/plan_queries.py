@@ -9,6 +9,7 @@ from ..operators import revise as E
 from ..operators import sequence as Q
 from ..sources import views as V
 from .registry import Registry
+from .search_queries import _SCORE, _top
 from .sequence_queries import _END, _items
 from .sql import sql
 
@@ -169,3 +170,29 @@ def _(spark, d):
     points = marks.select("asset_id", F.col("s").alias("t"), F.lit("shot_change").alias("reason")).unionByName(marks.select("asset_id", F.col("e").alias("t"), F.lit("gap_start").alias("reason")))
     units = marks.select("asset_id", (F.col("s") + 700).alias("s"), (F.col("s") + 1500).alias("e"), F.concat(F.lit("w"), (F.col("s") % 4).cast("string")).alias("text"))
     return L.exact_fill(L.with_surroundings(rows.drop("flag"), points, units, 500), 15_000, 6000)
+
+
+_ROLES = ("hook", "context", "reaction", "performance", "payoff", "archive", "emotion")
+
+
+@R.add("x20_three_channels", sql("segments queries", _SCORE + f""", fh as (select q.query_id, g.* from (select query_id, {list(_ROLES)}[cast((query_id // 50) % 7 + 1 as int)] as want from queries) q join (select *, row_number() over (partition by role order by segment_id) as n from segments where segment_id % 4 = 0) g on g.role = q.want where n <= 24),
+ v as (select top.*, (select list_sort(list(distinct 'facet:' || fh.role)) from fh where fh.query_id = top.query_id and fh.asset_id = top.asset_id and fh.s < top.e and top.s < fh.e) as fs, top.segment_id % 11 = top.query_id % 11 as sim, case when top.segment_id % 3 > 0 then (top.segment_id % 3)*5 - 5 end as en, case when (top.query_id // 50) % 4 > 0 then 7 end as ins from top),
+ k as (select *, cast(score + 20*coalesce(len(fs), 0) + case when sim then 10 else 0 end + case when en is not null and ins is not null then (10 - abs(en - ins))*15/10.0 else 0 end as double) as value from v where ((query_id // 50) % 2 = 0 or quality = 0) and not ((query_id // 50) % 3 = 0 and role = 'archive'))
+ select query_id as slot_id, segment_id, cast(pos as int) as pos, array_to_string(['context_search'] || coalesce(fs, []) || case when sim then ['similar'] else [] end, ',') as via, value from (select *, row_number() over (partition by query_id order by value desc, segment_id) as pos from k) where pos <= 8"""))
+def _(spark, d):
+    from ..operators import casting as C
+    from ..operators import ranking as K
+
+    top = _top(spark, d)
+    number = F.floor(F.col("query_id") / 50)
+    seg = F.col("segment_id")
+    pool = top.select(F.col("query_id").alias("slot_id"), "segment_id", "asset_id", "s", "e", "score", F.array("role", F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("tokens"), F.when(seg % 3 > 0, seg % 3 * 5 - 5).alias("energy"))
+    asked = V.search_queries(spark, d)
+    want = F.element_at(F.array(*map(F.lit, _ROLES)), (number % 7 + 1).cast("int"))
+    some = V.segments(spark, d).where("segment_id % 4 = 0").select("segment_id", "asset_id", "s", "e", "role")
+    hits = K.bm25(some.select(F.col("segment_id").alias("doc_id"), F.col("role").alias("text")), asked.select("query_id", want.alias("query_text")), 24, phrases=True)
+    hits = hits.select(F.col("query_id").alias("slot_id"), F.col("doc_id").alias("segment_id")).join(some, "segment_id").select("slot_id", "asset_id", "s", "e", F.col("role").alias("facet"))
+    none = F.array().cast("array<string>")
+    slots = asked.select(F.col("query_id").alias("slot_id"), F.when(number % 2 == 1, F.array(F.lit("q0"))).otherwise(none).alias("need"), F.when(number % 3 == 0, F.array(F.lit("archive"))).otherwise(none).alias("withhold"), F.when(number % 4 > 0, F.lit(7)).alias("intensity"))
+    similar = pool.where(seg % 11 == F.col("slot_id") % 11).select("slot_id", "segment_id")
+    return C.gather_candidates(pool, hits, similar, slots).withColumn("via", F.array_join("via", ","))
