@@ -209,7 +209,7 @@ def _stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).select(*_event())
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}").select(*_event())
 
 
 @R.add("r02_tumbling_activity", "select user_id as asset_id, epoch_ms(date_trunc('hour', ts)) as start_ms, count(*) as n from events group by 1, 2")
@@ -249,7 +249,7 @@ def _(spark, d):
     work = f"{shared_dir(spark)}/cl_{uuid.uuid4().hex}"
     pages = V.table(spark, d, "pages")
     schema = pages.schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).parquet(f"{d}/page[s].parquet")  # a pattern: a file, or a folder of files
     state = {"at": None, "n": 0}
 
     def apply(batch):

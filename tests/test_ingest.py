@@ -21,3 +21,11 @@ def test_pending_with_a_limit_gets_through(spark):
         got = pending(rows, spark.createDataFrame([(i,) for i in done], "asset_id long"), 2).collect()
         done += [r.asset_id for r in got]
     assert done == list(range(7))
+
+
+def test_pages_may_be_a_folder_of_files(spark, data, tmp_path):
+    from cutledger import catalog
+
+    query = catalog.queries()["r01_incremental_ingest"]
+    spark.read.parquet(f"{data}/pages.parquet").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(query(spark, str(tmp_path)).collect()) == sorted(query(spark, data).collect())
