@@ -94,3 +94,16 @@ def test_bounds_leave_most_hits_unscored(spark):
     want = {(q, d) for q, v in best.items() for _, d in sorted(v)[:5]}
     assert {(r.query_id, r.doc_id) for r in top.collect()} == want
     assert pairs.count() < 0.4 * sum(map(len, best.values()))
+
+
+def test_removal_plans_meet_directives_in_the_last_step(spark):
+    from cutledger.operators import removal as P
+
+    plans = spark.createDataFrame([("a|", 1, 0, 5, True), ("a|", 1, 5, 900_000, False), ("a|", 2, 0, 9, True), ("a|x", 2, 0, 9, False)], "sig string, asset_id long, s long, e long, kept boolean")
+    links = spark.createDataFrame([(q, None, "a|") for q in range(20)] + [(7, 2, "a|x")], "q long, asset_id long, sig string")
+    out = P.expanded_plans(plans, links)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftAnti" not in plan
+    got = sorted(map(tuple, out.collect()))
+    want = [(q, 1, *r) for q in range(20) for r in ((0, 5, True), (5, 900_000, False))] + [(q, 2, 0, 9, q != 7) for q in range(20)]
+    assert got == sorted(want)
