@@ -93,6 +93,19 @@ def alike(a: Column, b: Column) -> Column:
     return (F.bit_count(other.bitwiseAND(F.lit(0xFFFF))) <= 1) | (F.bit_count(F.shiftrightunsigned(other, 16).bitwiseAND(F.lit(0xFFFF))) <= 1)
 
 
+def elsewhere(met: DataFrame, bands: DataFrame) -> DataFrame:
+    """doc, mark, other, its_mark: of the occurrences in ``met`` (doc, band, mark) of some ``bands``, each with the first document that has the band with the same three of the four words before, or after.
+
+    Eight keys an occurrence say which three words, and what they are; rows grow with the occurrences, never with their pairs.
+    """
+    some = met.join(bands.hint("merge"), "band", "left_semi")
+    masks = [m << side for side in (0, 16) for m in (0xFFF0, 0xFF0F, 0xF0FF, 0x0FFF)]
+    keys = F.array(*[F.xxhash64("band", F.lit(m), F.col("mark").bitwiseAND(F.lit(m))) for m in masks])
+    rows = some.select("doc", "mark", F.explode(keys).alias("key"))
+    firsts = rows.groupBy("key").agg(F.min("doc").alias("other"), F.min_by("mark", "doc").alias("its_mark"), F.max("doc").alias("two"))
+    return rows.join(firsts.where("other < two").drop("two").hint("merge"), "key").where("doc > other").drop("key").distinct()
+
+
 def occurrences(docs: DataFrame, first: bool = False) -> DataFrame:
     """doc, band, mark (place of its shingle in the upper half, what ``beside`` keeps in the lower) of each paragraph's band; of equal ones of a document only the ``first``."""
 
@@ -202,15 +215,19 @@ def repeated(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataF
     inside one document don't count. Other columns are ignored, whatever their names.
 
     A band links each document that has it to the first that has it, never all pairs, if three of the four words before
-    or after it agree; documents linked at one shift are compared once there. Each step is an aggregate with partial sums or a join whose hot keys can be split.
+    or after it agree; where they don't for some document, also to the first with the same three of these (``elsewhere``);
+    documents linked at one shift are compared once there. Each step is an aggregate with partial sums or a join whose hot keys can be split.
     """
     spread = occurrences(docs, first=True).groupBy("band").agg(F.min("doc").alias("other"), F.min_by("mark", "doc").alias("its_mark"), F.max("doc").alias("two"))
     spread = cut(spread.where("other < two").drop("two"), "spread")
-    met = occurrences(docs).join(spread.hint("merge"), "band").where((F.col("doc") > F.col("other")) & alike(F.col("mark"), F.col("its_mark")))
+    met = cut(occurrences(docs).join(spread.hint("merge"), "band").where("doc >= other"), "met")
     place = lambda c: F.shiftright(c, 32).cast("int")
-    lines = met.select("doc", "other", place("mark").alias("word"), (place("mark") - place("its_mark")).alias("shift"))
+    line = lambda rows: rows.select("doc", "other", place("mark").alias("word"), (place("mark") - place("its_mark")).alias("shift"))
+    same = alike(F.col("mark"), F.col("its_mark"))
+    other = F.col("doc") > F.col("other")
+    lines = line(met.where(other & same)).unionByName(line(elsewhere(met, met.where(other & ~same).select("band").distinct())))
     shifts = cut(lines.groupBy("doc", "other", "shift").agg(F.min("word").alias("first"), F.max("word").alias("last")), "shifts")
-    drop(spread)
+    drop(spread, met)
     links = compared(docs, shifts, least, share)
     drop(shifts)
     mine = links.select("doc", "word", (F.col("word") + F.col("n")).alias("end"))

@@ -141,3 +141,18 @@ def test_sliding():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for size in range(1, 8):
         assert P._sliding(x, size, np.minimum).tolist() == [min(x[i : i + size]) for i in range(8 - size)]
+
+
+def test_a_passage_whose_bands_stand_elsewhere_in_an_earlier_text(spark):
+    import random
+
+    from cutledger.llm.passages import repeated
+
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = some(30)
+    first = [w for i in range(26) for _ in range(30) for w in (*some(4), *passage[i : i + 5], *some(4))]
+    texts = [first, some(40) + passage + some(40), some(25) + passage + some(60)]
+    docs = spark.createDataFrame([(i + 1, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.first_word, r.n_words, r.copy_of, r.removed) for r in repeated(docs).collect()}
+    assert got == {(2, 40, 30, 2, False), (3, 25, 30, 2, True)}
