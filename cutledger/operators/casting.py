@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import operator
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,52 +18,96 @@ from .search import candidate_rank, evidence_matches
 #: What using a segment, or a source, once more costs, in tenths.
 AGAIN, SAME_SOURCE = 30, 10
 
-_OUT = "plan_id long, pos long, shot int, segment_id long, score long, status string"
+_OUT = {"plan_id": pa.int64(), "pos": pa.int64(), "shot": pa.int32(), "segment_id": pa.int64(), "score": pa.int64(), "status": pa.string()}
+
 
+def _cast_one(slots: list[tuple], tokens: Callable[[int, str], set]) -> list[tuple]:
+    """The shots of one plan: pos, shot, segment_id, score, status.
 
-def _cast_one(slots: list[dict]) -> list[tuple]:
-    """The shots of one plan: pos, shot, segment_id, score, status."""
+    A slot: pos, motif, occurrence, shots_min, shots_max, continuity, preselected, candidates by rank; a candidate: rank,
+    segment_id, asset_id, score, place; ``tokens`` gives those of a place for a key.
+    """
     used: set = set()
     sources: set = set()
     registry: dict = {}
     out: list[tuple] = []
-    for slot in slots:
-        motif, low = slot["motif"], max(1, slot["shots_min"] or 1)
-        high = max(low, slot["shots_max"] or low)
-        pool = slot["candidates"]
-        again = motif is not None and slot["occurrence"] > 1 and motif in registry
+    for pos, motif, occurrence, shots_min, shots_max, continuity, preselected, pool in slots:
+        low = max(1, shots_min or 1)
+        high = max(low, shots_max or low)
+        again = motif is not None and occurrence > 1 and motif in registry
         if again:
             pool, high, low = [registry[motif]], 1, 1
-        elif slot["preselected"] is not None:
-            pool, high, low = [c for c in pool if c["segment_id"] == slot["preselected"]], 1, 1
+        elif preselected is not None:
+            pool, high, low = [c for c in pool if c[1] == preselected], 1, 1
         if not pool:
-            out.append((slot["pos"], None, None, None, "uncast"))
+            out.append((pos, None, None, None, "uncast"))
             continue
-        shots: list[dict] = []
-        while pool and len(shots) < high:
-            cost = lambda c: 0 if motif is not None else AGAIN * (c["segment_id"] in used) + SAME_SOURCE * (c["asset_id"] in sources)  # noqa: B023, E731
-            # a motif's slots take the first by rank, others the best after what is spent
-            best = pool[0] if motif is not None else max(pool, key=lambda c: c["score"] - cost(c))
-            repeat = best["segment_id"] in used and motif is None
-            out.append((slot["pos"], len(shots), best["segment_id"], best["score"] - cost(best), "motif again" if again else "used again" if repeat else "cast"))
-            used.add(best["segment_id"])
-            sources.add(best["asset_id"])
-            if motif is not None and slot["occurrence"] == 1:
+        first, n = None, 0
+        while pool and n < high:
+            if motif is not None:
+                # a motif's slots take the first by rank, others the best after what is spent
+                best, value = pool[0], pool[0][3]
+            else:
+                best, value = None, 0
+                for c in pool:
+                    v = c[3] - AGAIN * (c[1] in used) - SAME_SOURCE * (c[2] in sources)
+                    if best is None or v > value:
+                        best, value = c, v
+            segment = best[1]
+            out.append((pos, n, segment, value, "motif again" if again else "used again" if motif is None and segment in used else "cast"))
+            used.add(segment)
+            sources.add(best[2])
+            if motif is not None and occurrence == 1:
                 registry.setdefault(motif, best)
-            shots.append(best)
-            taken = {s["segment_id"] for s in shots}
-            pool = [c for c in pool if c["segment_id"] not in taken and _goes_with(shots[0], c, slot["continuity"])]
-        if len(shots) < low:
-            out.append((slot["pos"], None, None, None, "too few shots"))
+            first = first or best
+            n += 1
+            if n < high:
+                # what was taken before is gone from the pool, and what is left goes with the first shot unless this is it
+                pool = [c for c in pool if c[1] != segment and (n > 1 or all(tokens(first[4], k) & tokens(c[4], k) for k in continuity))]
+        if n < low:
+            out.append((pos, None, None, None, "too few shots"))
     return out
 
 
-def _goes_with(first: dict, other: dict, keys: list[str]) -> bool:
-    """Whether two candidates share a token for each key."""
-    return all(set(first["tokens"].get(k) or ()) & set(other["tokens"].get(k) or ()) for k in keys)
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _bounds(lists: pa.Array) -> list[int]:
+    """Where each list begins in the flattened lists, and the end; a null counts as an empty one."""
+    return [0, *np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()]
 
 
-def cast_plans(slots: DataFrame, candidates: DataFrame, group: int = 64) -> DataFrame:
+def _tokens_of(maps: pa.MapArray) -> Callable[[int, str], set]:
+    """(place, key) -> the tokens there."""
+    entry, at = maps.offsets.to_pylist(), maps.items.offsets.to_pylist()
+    keys, words = maps.keys.to_pylist(), maps.items.values.to_pylist()
+    return lambda place, key: {w for i in range(entry[place], entry[place + 1]) if keys[i] == key for w in words[at[i] : at[i + 1]]}
+
+
+def _cast_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        plans, slots, pools = batch.column("plan_id").to_pylist(), batch.column("slots"), batch.column("pool")
+        slot_at, pool_at = _bounds(slots), _bounds(pools)
+        slots, pools = slots.flatten(), pools.flatten()
+        slot = list(zip(*[_values(slots.field(c)) for c in ("pos", "motif", "occurrence", "shots_min", "shots_max", "continuity", "preselected")], strict=True))
+        places = _values(pools.field("pos"))
+        candidates = list(zip(*[_values(pools.field(c)) for c in ("rank", "segment_id", "asset_id", "score")], range(len(places)), strict=True))
+        tokens = functools.cache(_tokens_of(pools.field("tokens")))
+        out: list[tuple] = []
+        for n, plan in enumerate(plans):
+            by_pos: dict = {}
+            for i in range(pool_at[n], pool_at[n + 1]):
+                by_pos.setdefault(places[i], []).append(candidates[i])
+            for found in by_pos.values():
+                found.sort(key=operator.itemgetter(0))
+            mine = sorted(slot[slot_at[n] : slot_at[n + 1]], key=operator.itemgetter(0))
+            out += [(plan, *r) for r in _cast_one([(*s, by_pos.get(s[0], ())) for s in mine], tokens)]
+        columns = list(zip(*out, strict=True)) or [()] * len(_OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OUT.values(), strict=True)], names=list(_OUT))
+
+
+def cast_plans(slots: DataFrame, candidates: DataFrame) -> DataFrame:
     """plan_id, pos, shot (from 0), segment_id, score, status: what each slot of each plan is filled with, in order.
 
     ``slots``: plan_id, pos, motif, occurrence, shots_min, shots_max, continuity (array of keys), preselected (a segment, or
@@ -68,29 +118,17 @@ def cast_plans(slots: DataFrame, candidates: DataFrame, group: int = 64) -> Data
     motif's first occurrence fixes its segment; later ones take that, one shot, whatever else there is, and its slots
     pay nothing. status: cast, used again (the corpus is smaller than the plan), motif again (a sanctioned reuse); rows
     without a segment say uncast or too few shots. Greedy order can't be split within a plan, which has tens of slots and
-    some candidates each; many plans share a group, and the number of groups follows the plans.
+    some candidates each: a plan is a row, dealt by its id alone, and many rows are a batch.
     """
-    n = slots.select("plan_id").distinct().count()
-    groups = max(slots.sparkSession.sparkContext.defaultParallelism, n // group)
-    best = F.array_sort(F.collect_list(F.struct("rank", "segment_id", "asset_id", F.col("score").cast("long").alias("score"), "tokens")), lambda a, b: (a["rank"] - b["rank"]).cast("int"))
-    pools = candidates.groupBy("plan_id", "pos").agg(best.alias("candidates"))
     none = F.array().cast("array<string>")
-    rows = slots.select("plan_id", "pos", "motif", F.coalesce("occurrence", F.lit(1)).alias("occurrence"), "shots_min", "shots_max", F.coalesce("continuity", none).alias("continuity"), "preselected").join(pools, ["plan_id", "pos"], "left")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        f = f.sort_values(["plan_id", "pos"]).astype(object)
-        f = f.where(f.notna(), None)
-        for plan, part in f.groupby("plan_id", sort=False):
-            found = part.to_dict("records")
-            for s in found:
-                s["candidates"] = [c if isinstance(c, dict) else c.asDict() for c in (s["candidates"] if s["candidates"] is not None else ())]
-                for c in s["candidates"]:
-                    c["tokens"] = {k: list(v) for k, v in dict(c["tokens"] or {}).items() if v is not None}
-            out += [(plan, *r) for r in _cast_one(found)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"shot": "Int32", "segment_id": "Int64", "score": "Int64"})
-
-    return rows.withColumn("_g", F.pmod(F.xxhash64("plan_id"), F.lit(groups))).groupBy("_g").applyInPandas(run, _OUT)
+    slot = F.struct(
+        F.col("pos").cast("long").alias("pos"), "motif", F.coalesce("occurrence", F.lit(1)).cast("long").alias("occurrence"), F.col("shots_min").cast("long").alias("shots_min"), F.col("shots_max").cast("long").alias("shots_max"),
+        F.coalesce("continuity", none).alias("continuity"), F.col("preselected").cast("long").alias("preselected"),
+    )
+    one = F.struct(F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), F.col("segment_id").cast("long").alias("segment_id"), F.col("asset_id").cast("long").alias("asset_id"), F.col("score").cast("long").alias("score"), "tokens")
+    plans = slots.where("plan_id is not null").groupBy("plan_id").agg(F.collect_list(slot).alias("slots"))
+    rows = plans.join(candidates.groupBy("plan_id").agg(F.collect_list(one).alias("pool")), "plan_id", "left")
+    return rows.select(F.col("plan_id").cast("long").alias("plan_id"), "slots", "pool").mapInArrow(_cast_batches, "plan_id long, pos long, shot int, segment_id long, score long, status string")
 
 
 def gather_candidates(pool: DataFrame, facet_hits: DataFrame, similar: DataFrame, slots: DataFrame, k: int = 8, bucket: int = 10_000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cutledger.operators import casting as C
@@ -107,3 +109,12 @@ def test_removal_plans_meet_directives_in_the_last_step(spark):
     got = sorted(map(tuple, out.collect()))
     want = [(q, 1, *r) for q in range(20) for r in ((0, 5, True), (5, 900_000, False))] + [(q, 2, 0, 9, q != 7) for q in range(20)]
     assert got == sorted(want)
+
+
+def test_slots_and_candidates_are_dealt_by_their_plan_alone(spark, data):
+    from cutledger import catalog
+
+    plan = catalog.queries()["q15_motif_cast"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    # neither slots with their candidates nor candidates are dealt by slot or by a number of groups
+    assert dealt and not any("pos#" in x or "_g#" in x for x in dealt)
