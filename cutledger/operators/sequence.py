@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DIRECTIONS, SHOT_SIZES, strings, terms
 from .intervals import respect_word_units
+from .revise import place_of
 
 # Weight and cap multiplier (hundredths) of a role where a beat has no intensity.
 PACING = {"hook": (80, 100), "reaction": (80, 100), "performance": (110, 150), "emotion": (120, 175), "payoff": (140, 200)}
@@ -217,10 +218,13 @@ def pin_anchors(slots: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def overlay_candidates(items: DataFrame, pool: DataFrame) -> DataFrame:
     """plan_id, pos, segment_id: for each item the best other segment of the pool (plan_id, segment_id, voiceless, visual, score): voiceless first, then visual, then any."""
-    rows = items.select("plan_id", "pos", F.col("segment_id").alias("own")).join(pool, "plan_id").where("segment_id <> own")
     tier = F.when(F.col("voiceless"), 0).when(F.col("visual"), 1).otherwise(2)
-    best = rows.groupBy("plan_id", "pos").agg(F.min(F.struct(tier.alias("t"), F.negative("score").alias("s"), "segment_id")).alias("b"))
-    return best.select("plan_id", "pos", "b.segment_id")
+    # an item takes its plan's best, or, where that is its own, the best of another segment: items never meet the pool row by row
+    packed = pool.where("segment_id is not null").groupBy("plan_id").agg(F.collect_list(F.struct(tier.alias("t"), F.negative("score").alias("s"), "segment_id")).alias("_pool"))
+    best = packed.withColumn("_a", F.array_min("_pool"))
+    best = best.withColumn("_b", F.array_min(F.filter("_pool", lambda c: c["segment_id"] != F.col("_a")["segment_id"])))
+    rows = items.where("segment_id is not null").select("plan_id", "pos", F.col("segment_id").alias("own")).join(best, "plan_id")
+    return rows.select("plan_id", "pos", F.when(F.col("_a.segment_id") != F.col("own"), F.col("_a.segment_id")).otherwise(F.col("_b.segment_id")).alias("segment_id")).where("segment_id is not null")
 
 
 def overlay_fit(rows: DataFrame) -> DataFrame:
@@ -320,13 +324,10 @@ def plan_diff(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
 
 def resolve_item_ref(refs: DataFrame, items: DataFrame) -> DataFrame:
     """ref_id, pos of refs (plan_id, ref_id, ref): a number counts from 0 (from the end if negative), else the first item whose slot, beat or segment id it is."""
-    n = items.groupBy("plan_id").agg(F.count("*").alias("n"))
-    numbered = refs.join(n, "plan_id").withColumn("i", F.expr("try_cast(ref as bigint)"))
-    place = F.when(F.col("i") < 0, F.col("n") + F.col("i")).otherwise(F.col("i"))
-    by_number = numbered.where("i is not null").select("plan_id", "ref_id", F.when(place.between(0, F.col("n") - 1), place).alias("pos"))
-    names = items.withColumn("index", F.row_number().over(by_pos()) - 1).select("plan_id", "index", F.explode(F.array(F.col("slot_id").cast("string"), F.col("beat_id").cast("string"), F.col("segment_id").cast("string"))).alias("ref"))
-    named = refs.where("try_cast(ref as bigint) is null").join(names, ["plan_id", "ref"], "left").groupBy("plan_id", "ref_id").agg(F.min("index").cast("long").alias("pos"))
-    return by_number.unionByName(named)
+    one = F.struct("pos", *[F.col(c).cast("string").alias(c) for c in ("slot_id", "beat_id", "segment_id")])
+    packed = items.groupBy("plan_id").agg(F.sort_array(F.collect_list(one)).alias("_items"))
+    rows = refs.join(packed, "plan_id", "left").where("_items is not null or try_cast(ref as bigint) is null")
+    return rows.select("plan_id", "ref_id", place_of(F.col("_items"), F.col("ref")).alias("pos"))
 
 
 def explain_items(items: DataFrame) -> DataFrame:
