@@ -251,6 +251,5 @@ _KEPT = "select doc_id, key, min(pos) as pos from (select doc_id, translate(lowe
 
 @R.add("x30_dedupe", f"select doc_id, string_agg(key, ' ' order by pos) as kept from ({_KEPT}) group by 1")
 def _(spark, d):
-    words = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "value"))
-    kept = S.dedupe(words, "doc_id")
+    kept = S.dedupe(_docs(spark, d).select("doc_id", F.split("text", " ").alias("values")), "doc_id")
     return kept.select("doc_id", F.array_join(F.transform("kept", X.norm), " ").alias("kept"))
