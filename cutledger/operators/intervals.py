@@ -271,7 +271,8 @@ def complement(regions: DataFrame, assets: DataFrame) -> DataFrame:
     both = assets.select("asset_id", "duration_ms").join(regions.select("asset_id", F.col("s").alias("_s"), F.col("e").alias("_e")), "asset_id", "left")
     clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.col(c), F.col("duration_ms"))))
     rows = both.select("asset_id", "duration_ms", clip("_s").alias("s"), clip("_e").alias("e"))
-    rows = scan(rows, ["s", "e"], cursor=("max_before", F.col("e")), next=("lead", F.lit(1)))
+    # kept, as a scan reads its rows twice and regions are the end of a chain
+    rows = scan(rows, ["s", "e"], keep=True, cursor=("max_before", F.col("e")), next=("lead", F.lit(1)))
     rows = rows.withColumns({"cursor": F.coalesce("cursor", F.lit(0)), "last": F.col("next").isNull()})
     part = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
     parts = F.array(part(F.col("cursor"), F.col("s")), F.when(F.col("last"), part(F.greatest("cursor", F.coalesce("e", F.lit(0))), F.col("duration_ms"))))
@@ -281,6 +282,7 @@ def complement(regions: DataFrame, assets: DataFrame) -> DataFrame:
 def absorb_slivers(removals: DataFrame, kept: DataFrame, assets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(removals, with ``sliver`` where a kept part went into one, and kept) after kept parts of under ``least`` became removals, unless all of an asset's kept parts are so short."""
     short = F.col("e") - F.col("s") < least
+    kept = written(kept, "kept")
     slivers = kept.where(short).join(kept.where(~short).select("asset_id").distinct(), "asset_id", "left_semi")
     why = F.concat(F.lit("kept sliver "), (F.col("e") - F.col("s")).cast("string"), F.lit(" ms is too short to keep"))
     slivers = slivers.select("asset_id", "s", "e", F.array().cast("array<string>").alias("evidence"), F.array(why).alias("why"), F.lit(True).alias("sliver"))
@@ -321,7 +323,7 @@ def merge_kept(kept: DataFrame) -> DataFrame:
 
 def attach_evidence(kept: DataFrame, candidates: DataFrame, assets: DataFrame, bucket: int = 10_000) -> DataFrame:
     """asset_id, s, e, n_evidence, why: what ``kept`` leaves, with evidence and whys of the candidates that overlap it."""
-    removed = complement(kept, assets)
+    removed = written(complement(kept, assets), "gone")
     hits = overlap_join(removed, candidates.select("asset_id", "s", "e", "evidence", "why"), bucket)
     parts = F.array_sort(F.collect_list(F.struct("b_s", "b_e", "evidence", "why")))
     found = hits.groupBy("asset_id", "s", "e").agg(parts.alias("parts"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as T
 from ..sources import views as V
+from ..sources.shared import written
 from .registry import Registry
 from .sql import sql
 
@@ -237,11 +238,19 @@ _SLIVER = _PAD + _COMP.format(n="kept", r="padded") + """, sl as (select asset_i
  again as (select * from padded union all select * from sl), a1 as (select *, case when s - max(e) over (partition by asset_id order by s, e rows between unbounded preceding and 1 preceding) < 1 then 0 else 1 end as f from again), a2 as (select *, sum(f) over (partition by asset_id order by s, e rows unbounded preceding) as isl from a1), removals as (select asset_id, min(s) as s, max(e) as e from a2 group by asset_id, isl)""" + _COMP.format(n="kept2", r="removals")
 
 
+def _merged(spark, d):
+    """Merged regions from the shared folder, as what follows reads them more than once."""
+    return written(T.merge_removals(_regions(spark, d), 500), "merged")
+
+
+def _absorbed(merged, assets):
+    padded = T.apply_margin(merged, 200, 200)
+    return T.absorb_slivers(padded, T.complement(padded, assets), assets, 2500)
+
+
 @R.add("t25_absorb_slivers", sql("iv iv_assets", _SLIVER + " select asset_id, s, e, false as removed from kept2 union all select asset_id, s, e, true from removals"))
 def _(spark, d):
-    assets = V.interval_assets(spark, d)
-    padded = T.apply_margin(T.merge_removals(_regions(spark, d), 500), 200, 200)
-    removed, kept = T.absorb_slivers(padded, T.complement(padded, assets), assets, 2500)
+    removed, kept = _absorbed(_merged(spark, d), V.interval_assets(spark, d))
     return kept.withColumn("removed", F.lit(False)).unionByName(removed.select("asset_id", "s", "e", F.lit(True).alias("removed")))
 
 
@@ -256,11 +265,10 @@ _GUARD = """, u as (select asset_id, s, s + 900 as e, row_number() over (partiti
  guarded as (select g.asset_id, g.s, g.e from g left join un using (asset_id) where g.k = coalesce(un.n, 0))"""
 
 
-def _guarded(spark, d):
+def _guarded(spark, d, merged=None):
     assets = V.interval_assets(spark, d)
-    padded = T.apply_margin(T.merge_removals(_regions(spark, d), 500), 200, 200)
-    _, kept = T.absorb_slivers(padded, T.complement(padded, assets), assets, 2500)
-    return T.guard_regions(kept, _unit_words(spark, d), assets)
+    _, kept = _absorbed(_merged(spark, d) if merged is None else merged, assets)
+    return T.guard_regions(written(kept, "kept"), _unit_words(spark, d), assets)
 
 
 @R.add("t26_guard_regions", sql("iv iv_assets", _SLIVER + _GUARD + " select * from guarded", recursive=True))
@@ -281,8 +289,9 @@ _EVID = _COMP.format(n="gone", r="final") + ", sources as (select asset_id, s, e
 
 @R.add("t28_attach_evidence", sql("iv iv_assets", _SLIVER + _GUARD + _KEEP + _EVID + " select * from ev", recursive=True))
 def _(spark, d):
-    kept = T.merge_kept(_guarded(spark, d))
-    return T.attach_evidence(kept, T.merge_removals(_regions(spark, d), 500), V.interval_assets(spark, d)).drop("why")
+    merged = _merged(spark, d)
+    kept = T.merge_kept(_guarded(spark, d, merged))
+    return T.attach_evidence(written(kept, "kept"), merged, V.interval_assets(spark, d)).drop("why")
 
 
 @R.add("t29_subtract_regions", sql("iv iv_assets", _SLIVER + _GUARD + _KEEP + _COMP.format(n="gone", r="final") + " select asset_id, s, e, true as kept from final union all select asset_id, s, e, false from gone", recursive=True))

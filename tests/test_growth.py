@@ -36,3 +36,14 @@ def test_values_are_compared_within_their_list(spark, data):
 def test_items_of_a_plan_meet_as_arrays(spark, data, name, windows):
     plan = planned(spark, data, name)
     assert plan.count("Window [") <= windows and "SortAggregate" not in plan and "posexplode" not in plan
+
+
+def test_regions_of_a_chain_are_worked_out_once(spark, data, monkeypatch):
+    from cutledger.operators import intervals as T
+
+    runs = []
+    merge = T.merge_removals
+    monkeypatch.setattr(T, "merge_removals", lambda *a, **k: runs.append(1) or merge(*a, **k))
+    plan = planned(spark, data, "t28_attach_evidence")
+    # once for the regions, once with the slivers; what is left to do reads written rows
+    assert len(runs) == 2 and plan.count("lineitem") == plan.count("lineitem.parquet]") and "Window [" not in plan
