@@ -67,3 +67,15 @@ def test_names_meet_the_documents_that_have_them(spark, data):
     # no row for each name and document that has its first word
     plan = planned(spark, data, "x29_evidence_for_name")
     assert plan.count("Generate") == 0 and "doc_id = doc_id" not in plan.replace("#", " ") and plan.count("Join") == 1
+
+
+def test_a_script_is_read_once_for_plans_of_one_length(spark, data, monkeypatch):
+    from cutledger.operators import replies as Y
+
+    from cutledger.sources import views as V
+
+    read, conform = [], Y.conform_scripts
+    monkeypatch.setattr(Y, "conform_scripts", lambda replies: read.append(replies.count()) or conform(replies))
+    plan = planned(spark, data, "q28_edit_log")
+    n = V.plan_items(spark, data).groupBy("plan_id").count()
+    assert read and read[0] <= 6 * n.select("count").distinct().count() < n.count() and "MapInArrow" in plan
