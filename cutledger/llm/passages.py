@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .filters import in_filter, seed_filter
 from .scratch import cut, drop
-from .words import Words, chunks, mix
+from .words import Words, chunks, mix, text_bytes
 
 SHINGLE = 5
 #: Nine words, five shingles: any nine words in a row that two texts share give both the same band, so of passages in
@@ -118,7 +118,7 @@ def occurrences(docs: DataFrame, first: bool = False) -> DataFrame:
             owner = np.searchsorted(words.first, at, side="right") - 1
             mark = ((at - words.first[owner]).astype(np.uint64) << np.uint64(32)) | beside(words, at)
             if first:
-                order = np.lexsort((at, found, owner))
+                order = np.lexsort((found, owner))  # stable, and places rise
                 new = np.ones(len(at), bool)
                 new[1:] = (found[order][1:] != found[order][:-1]) | (owner[order][1:] != owner[order][:-1])
                 keep = np.sort(order[new])
@@ -147,20 +147,28 @@ def word_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.min("words").alias("words"))
 
 
-def parts(same: np.ndarray, least: int = LEAST, share: float = SHARE) -> list[tuple[int, int]]:
-    """The passages (first, end) of a row of equal and other words: words in windows of ``least`` with ``share`` equal, ends equal."""
+def passages(same: np.ndarray, first: np.ndarray, least: int = LEAST, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and end of the passages of many rows of equal and other words, laid end to end (row i is same[first[i] : first[i + 1]]): words in windows of ``least`` with ``share`` equal, ends equal."""
+    none = np.zeros(0, np.int64)
     if len(same) < least:
-        return []
+        return none, none, none
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     total = np.concatenate([[0], np.cumsum(same)])
-    good = np.flatnonzero(total[least:] - total[:-least] >= int(np.ceil(share * least - 1e-9)))
+    good = np.flatnonzero((total[least:] - total[:-least] >= int(np.ceil(share * least - 1e-9))) & (owner[least - 1 :] == owner[: len(owner) - least + 1]))
     if not len(good):
-        return []
-    new = np.flatnonzero(np.diff(good, prepend=-least - 1) > least)
-    found = []
-    for a, b in zip(good[new], np.append(good[new[1:] - 1], good[-1]) + least, strict=True):
-        hit = np.flatnonzero(same[a:b])
-        found.append((int(a + hit[0]), int(a + hit[-1] + 1)))
-    return found
+        return none, none, none
+    row = owner[good]
+    new = np.flatnonzero((np.diff(good, prepend=-least - 1) > least) | (np.diff(row, prepend=-1) > 0))
+    row, hit = row[new], np.flatnonzero(same)
+    start = hit[np.searchsorted(hit, good[new])]
+    end = hit[np.searchsorted(hit, np.append(good[new[1:] - 1], good[-1]) + least) - 1] + 1
+    return row, start - first[row], end - first[row]
+
+
+def parts(same: np.ndarray, least: int = LEAST, share: float = SHARE) -> list[tuple[int, int]]:
+    """The passages (first, end) of one row."""
+    _, start, end = passages(same, np.array([0, len(same)]), least, share)
+    return list(zip(start.tolist(), end.tolist(), strict=True))
 
 
 def compared(docs: DataFrame, shifts: DataFrame, least: int, share: float) -> DataFrame:
@@ -175,16 +183,17 @@ def compared(docs: DataFrame, shifts: DataFrame, least: int, share: float) -> Da
     near = near.join(words.select(F.col("doc").alias("other"), "words").hint("merge"), "other").withColumn("theirs", piece("low - shift"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for doc, other, shift, start, mine, theirs in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
-                x, y = (np.frombuffer(w, np.uint8).reshape(-1, HASH) for w in (mine, theirs))
-                n = min(len(x), len(y))
-                out += [(doc, start + i, j - i, other, start + i - shift) for i, j in parts((x[:n] == y[:n]).all(1), least, share)]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "word", "n", "other", "its_word"])
-
-    found = near.select("doc", "other", "shift", "low", "mine", "theirs").mapInArrow(run, "doc long, word long, n long, other long, its_word long")
+        for b in chunks(batches, "mine"):
+            (mine, ends), (theirs, _) = text_bytes(b.column("mine")), text_bytes(b.column("theirs"))
+            equal = mine == theirs
+            row, start, end = passages(np.logical_and.reduce([equal[k::HASH] for k in range(HASH)]), ends // HASH, least, share)
+            doc, other, shift, low = (b.column(c).to_numpy().astype(np.int64)[row] for c in ("doc", "other", "shift", "low"))
+            columns = [doc, low + start, end - start, other, low + start - shift]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "word", "n", "other", "its_word"])
+
+    # both as long as the shorter one is, so that rows can be laid end to end
+    near = near.select("doc", "other", "shift", "low", F.expr("substring(mine, 1, length(theirs))").alias("mine"), F.expr("substring(theirs, 1, length(mine))").alias("theirs"))
+    found = near.mapInArrow(run, "doc long, word long, n long, other long, its_word long")
     found = cut(found.distinct(), "links")
     drop(words, docs_of)
     return found

@@ -39,8 +39,8 @@ def powers(n: int) -> np.ndarray:
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, and n + 1 offsets; a null is an empty text."""
-    texts = texts.cast(pa.large_string())
+    """All bytes of the texts (strings, or bytes without nulls), and n + 1 offsets; a null is an empty text."""
+    texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

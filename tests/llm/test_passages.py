@@ -156,3 +156,14 @@ def test_a_passage_whose_bands_stand_elsewhere_in_an_earlier_text(spark):
     docs = spark.createDataFrame([(i + 1, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {(r.doc_id, r.first_word, r.n_words, r.copy_of, r.removed) for r in repeated(docs).collect()}
     assert got == {(2, 40, 30, 2, False), (3, 25, 30, 2, True)}
+
+
+def test_rows_are_compared_many_at_a_time():
+    rng = np.random.default_rng(3)
+    rows = [rng.random(n) < p for n in (0, 5, 19, 20, 21, 40, 90, 0, 300) for p in (0.7, 0.85, 0.95, 1.0) for _ in range(20)]
+    first = np.cumsum([0, *map(len, rows)])
+    want = [(i, a, b) for i, same in enumerate(rows) for a, b in P.parts(same)]
+    row, start, end = P.passages(np.concatenate(rows), first)
+    assert list(zip(row, start, end, strict=True)) == want and len(want) > 100
+    # a window over two rows is none
+    assert not len(P.passages(np.ones(38, bool), np.array([0, 19, 38]))[0]) and not len(P.passages(np.zeros(0, bool), np.array([0, 0]))[0])
