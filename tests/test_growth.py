@@ -79,3 +79,27 @@ def test_a_script_is_read_once_for_plans_of_one_length(spark, data, monkeypatch)
     plan = planned(spark, data, "q28_edit_log")
     n = V.plan_items(spark, data).groupBy("plan_id").count()
     assert read and read[0] <= 6 * n.select("count").distinct().count() < n.count() and "MapInArrow" in plan
+
+
+def test_directives_of_one_wish_share_their_links(spark, monkeypatch):
+    from cutledger.operators import intervals as T
+    from cutledger.operators import removal as P
+
+    rows = {}
+    written = P.written
+    monkeypatch.setattr(P, "written", lambda df, name: rows.setdefault(name, written(df, name)))
+    monkeypatch.setattr(T, "attach_evidence", None)
+    asked = spark.createDataFrame([(q, "dull" if q == 30 else None) for q in range(31)], "q long, why string")
+    targets = spark.createDataFrame([(q, "sea") for q in range(31)] + [(q, "sun") for q in range(20, 25)] + [(25, None)], "q long, target string")
+    named = spark.createDataFrame([("sea", 1, 2000, 4000), ("sea", 2, 0, 5000), ("sun", 2, 7000, 9000), ("sun", 3, 0, 9000)], "target string, asset_id long, s long, e long")
+    found = spark.createDataFrame([(1, 6000, 9000, "dull")], "asset_id long, s long, e long, why string")
+    assets = spark.createDataFrame([(a, 10_000) for a in (1, 2, 3)], "asset_id long, duration_ms long")
+    plans, links = P.factored_plans(asked, found, named, targets, assets, ["dull"])
+    # sea and sea,sun touch two and three assets, and dull with sea two, however many directives ask
+    assert rows["own"].count() == 7
+    want = {(q, None, "dull|" if q == 30 else "|") for q in range(31)} | {(q, a, "|sea") for q in range(30) for a in (1, 2) if a == 1 or not 20 <= q < 25}
+    want |= {(q, 2, "|sea,sun") for q in range(20, 25)} | {(q, 3, "|sun") for q in range(20, 25)} | {(30, 1, "dull|sea"), (30, 2, "dull|sea")}
+    got = [(r.q, r.asset_id, r.sig) for r in links.collect()]
+    assert len(got) == len(want) and set(got) == want
+    made = {(r.sig, r.asset_id, r.s, r.e, r.kept) for r in plans.collect()}
+    assert {("|sea", 1, 0, 2200, True), ("|sea", 1, 2200, 3800, False), ("|sea", 1, 3800, 10_000, True), ("|", 3, 0, 10_000, True)} <= made
