@@ -48,16 +48,11 @@ def _seeds(words: Words, short: dict[int, list[str]], whole: bool) -> Iterator[t
     counts = np.diff(words.first)
     owner = np.repeat(np.arange(len(counts)), counts)
     power = powers(LEAST_WORDS + 1)
-    sums: dict[int, np.ndarray] = {}
-
-    def run_of(size: int) -> np.ndarray:
-        """A sum over each ``size`` words in a row."""
-        if size not in sums:
-            m = len(words.hash) - size + 1
-            sums[size] = words.hash if size == 1 else run_of(size - 1)[:m] + words.hash[size - 1 :] * power[size - 1]
-        return sums[size]
-
     masks = [(mask, 0) for mask in MASKS] + [(mask, size) for size, those in short.items() for mask in those]
+    # a sum over each 1, 2, ... words in a row; no closure that refers to itself, which would hold them till a collection of cycles
+    sums = [words.hash]
+    for size in range(2, min(max(len(r) for mask, _ in masks for r in re.findall("1+", mask)), len(words.hash)) + 1):
+        sums.append(sums[-1][:-1] + words.hash[size - 1 :] * power[size - 1])
     for number, (mask, size) in enumerate(masks):
         m = len(words.hash) - len(mask) + 1
         if m <= 0:
@@ -70,7 +65,7 @@ def _seeds(words: Words, short: dict[int, list[str]], whole: bool) -> Iterator[t
         salt = (1000 * size + int(mask, 2) if size else number + 1) * 0xA24BAED4963EE407
         total = np.full(m, np.uint64(salt % 2**64))
         for r in re.finditer("1+", mask):
-            total += run_of(r.end() - r.start())[r.start() : r.start() + m] * power[r.start()]
+            total += sums[r.end() - r.start() - 1][r.start() : r.start() + m] * power[r.start()]
         yield mix(total[at]), at
 
 

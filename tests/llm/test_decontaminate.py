@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import gc
 import random
+import weakref
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
-from cutledger.llm.decontaminate import MASKS, contaminated, overlap, short_masks
+from cutledger.llm.decontaminate import MASKS, _seeds, contaminated, overlap, short_masks
+from cutledger.llm.words import Words
 
 from .common import docs, edge_docs, prose
 
@@ -112,3 +116,15 @@ def test_against_brute_force_on_short_items(spark, spread):
     for (i, j), r in got.items():
         same = sum(texts[i][r.doc_word + k] == items[j][r.item_word + k] for k in range(r.n_words))
         assert same == r.n_equal and 5 * same >= 4 * r.n_words and r.n_words >= min(13, len(items[j]))
+
+
+def test_a_batch_is_let_go_without_a_collection_of_cycles():
+    words = Words(pa.array(["one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "a b"]), alnum=True)
+    held = weakref.ref(words)
+    gc.disable()
+    try:
+        assert sum(len(at) for _, at in _seeds(words, {2: short_masks(2, 0.8)}, whole=True)) > 13
+        del words
+        assert held() is None
+    finally:
+        gc.enable()
