@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +33,51 @@ def overlap_join(a: DataFrame, b: DataFrame, bucket: int, how: str = "inner") ->
 
     Each side is dealt to the time buckets it touches; a pair counts in the later of the two first buckets only.
     """
-
-    def dealt(df: DataFrame, s: str, e: str, first: str) -> DataFrame:
-        low = F.floor(F.col(s) / bucket)
-        return df.withColumn(first, low).withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, F.floor((F.col(e) - 1) / bucket)))))
-
-    right = dealt(b.withColumnRenamed("s", "b_s").withColumnRenamed("e", "b_e"), "b_s", "b_e", "_fb")
+    right = _dealt(b.withColumnRenamed("s", "b_s").withColumnRenamed("e", "b_e"), bucket, "b_s", "b_e", "_fb")
     if how == "left":
         keyed = a.withColumn("_row", F.monotonically_increasing_id())
         hit = overlap_join(keyed, b, bucket)
         return keyed.join(hit.drop(*[c for c in a.columns]), "_row", "left").drop("_row")
-    left = dealt(a, "s", "e", "_fa")
+    left = _dealt(a, bucket, "s", "e", "_fa")
     out = left.join(right, ["asset_id", "_bucket"]).where("s < b_e and b_s < e and _bucket = greatest(_fa, _fb)")
     return out.drop("_bucket", "_fa", "_fb")
 
 
+def first_overlaps(a: DataFrame, b: DataFrame, bucket: int, n: int) -> DataFrame:
+    """key, b_s, text: the first ``n`` rows of ``b`` (asset_id, s, e, text; by start, then text) that overlap a row of ``a`` (key, asset_id, s, e), at least.
+
+    As ``overlap_join`` deals them, but a bucket sends ``n`` rows of ``b`` for a row of ``a`` at most: a key that touches more
+    buckets may have more than ``n``, and among them are its first.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"key": left.column("key").slice(0, 0), "b_s": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        right = right.take(pc.sort_indices(right, [("b_s", "ascending"), ("text", "ascending")], null_placement="at_start"))
+        s, e, fa, bucket_ = (left.column(c).to_numpy() for c in ("s", "e", "_fa", "_bucket"))
+        b_s, b_e, fb = (right.column(c).to_numpy() for c in ("b_s", "b_e", "_fb"))
+        rows, places = [], []
+        for i in range(len(s)):
+            upto = int(np.searchsorted(b_s, e[i], "left"))
+            hit = b_e[:upto] > s[i]
+            if fa[i] != bucket_[i]:  # those of earlier buckets were met there
+                hit &= fb[:upto] == bucket_[i]
+            at = np.flatnonzero(hit)[:n]
+            rows.append(np.full(len(at), i))
+            places.append(at)
+        return pa.table({"key": left.column("key").take(pa.array(np.concatenate(rows))), "b_s": right.column("b_s").take(pa.array(np.concatenate(places))), "text": right.column("text").take(pa.array(np.concatenate(places)))})
+
+    right = _dealt(b.select("asset_id", F.col("s").cast("long").alias("b_s"), F.col("e").cast("long").alias("b_e"), "text").where("asset_id is not null and b_s is not null and b_e is not null"), bucket, "b_s", "b_e", "_fb")
+    left = _dealt(a.select("asset_id", "key", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).where("asset_id is not null and s is not null and e is not null"), bucket, "s", "e", "_fa")
+    return left.groupBy("asset_id", "_bucket").cogroup(right.groupBy("asset_id", "_bucket")).applyInArrow(run, f"key {dict(a.dtypes)['key']}, b_s long, text string")
+
+
+def _dealt(df: DataFrame, bucket: int, s: str, e: str, first: str) -> DataFrame:
+    """A row for each time bucket that it touches, with the first of them."""
+    low = F.floor(F.col(s) / bucket)
+    return df.withColumn(first, low).withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, F.floor((F.col(e) - 1) / bucket)))))
+
+
 def coverage_ratio(windows: DataFrame, ranges: DataFrame, width: int, name: str = "ratio") -> DataFrame:
     """Windows with the share that ranges cover, in ten-thousandths (long), at most 10000; overlapping ranges count twice first."""
     hit = overlap_join(windows.select("asset_id", "win", "s", "e"), ranges.select("asset_id", "s", "e"), width)

@@ -76,10 +76,11 @@ def _(spark, d):
     from pyspark.sql import Window
 
     top = _top(spark, d)
-    facets = V.segments(spark, d).where("role = 'performance'").select("asset_id", "s", "e")
-    via = T.overlap_join(top.select("asset_id", "s", "e", "query_id", "segment_id"), facets, 10_000).select("query_id", "segment_id").distinct().withColumn("n", F.lit(1))
+    facets = V.segments(spark, d).where("role = 'performance'").select("asset_id", "s", "e", F.lit("").alias("text"))
+    some = T.first_overlaps(top.select("asset_id", "s", "e", F.col("segment_id").alias("key")).distinct(), facets, 10_000, 1)
+    via = some.select(F.col("key").alias("segment_id")).distinct().withColumn("n", F.lit(1))
     rank = S.candidate_rank(F.col("score"), F.coalesce("n", F.lit(0)), F.lit(False), F.lit(None), F.lit(None))
-    rows = top.join(via, ["query_id", "segment_id"], "left").withColumn("value", rank)
+    rows = top.join(via, "segment_id", "left").withColumn("value", rank)
     return rows.select("query_id", "segment_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("value").desc(), "segment_id")).alias("pos"))
 
 

@@ -97,3 +97,20 @@ def test_one_asset_of_all_rows_is_spread(spark):
         assert r.prev == (rows[i - 1][1] if i else None) and r.next == (rows[i + 1][0] if i < 2999 else None) and r.top == max((e for _, e in rows[:i]), default=None)
     dealt = words.withColumn("b", scans.time_band()).repartition(8, "asset_id", "b").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert max(r["count"] for r in dealt) < 2 * 3000 / 8
+
+
+def test_facets_of_a_packet_are_the_first_that_overlap(spark):
+    import random
+
+    from cutledger.operators import search as S
+
+    rng = random.Random(4)
+    row = lambda i: (rng.choice(("a", "b", None)), (s := rng.randrange(400)), s + rng.randrange(60), i)
+    ranked = [(*row(i), i) for i in range(40)]
+    facets = [(*row(i)[:3], f"t{i % 7}") for i in range(300)]
+    got = S.packets(spark.createDataFrame(ranked, "asset_id string, s long, e long, segment_id long, query_id long"), spark.createDataFrame(facets, "asset_id string, s long, e long, text string"), 20, 3)
+    want = {i: [t for _, t in sorted((fs, t) for fa, fs, fe, t in facets if fa == a and a and fs < e and s < fe)[:3]] for a, s, e, i, _ in ranked}
+    assert {r.segment_id: r.facet_texts for r in got.collect()} == want and any(len(v) == 3 for v in want.values())
+    # a bucket sends no pair beyond the first: pairs are made within tasks
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan
