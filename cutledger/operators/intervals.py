@@ -357,11 +357,12 @@ def merge_kept(kept: DataFrame) -> DataFrame:
 def attach_evidence(kept: DataFrame, candidates: DataFrame, assets: DataFrame, bucket: int = 10_000) -> DataFrame:
     """asset_id, s, e, n_evidence, why: what ``kept`` leaves, with evidence and whys of the candidates that overlap it."""
     removed = written(complement(kept, assets), "gone")
-    hits = overlap_join(removed, candidates.select("asset_id", "s", "e", "evidence", "why"), bucket)
+    # the number is summed beside the parts, so that neither is dealt out where a caller drops what is made of it
+    hits = overlap_join(removed, candidates.select("asset_id", "s", "e", "evidence", "why", F.size("evidence").alias("_n")), bucket)
     parts = F.array_sort(F.collect_list(F.struct("b_s", "b_e", "evidence", "why")))
-    found = hits.groupBy("asset_id", "s", "e").agg(parts.alias("parts"))
+    found = hits.groupBy("asset_id", "s", "e").agg(parts.alias("parts"), F.sum("_n").alias("_n"))
     rows = removed.join(found, ["asset_id", "s", "e"], "left")
-    n = F.coalesce(F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p["evidence"])), F.lit(0))
+    n = F.coalesce("_n", F.lit(0))
     whys = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["why"])))
     why = F.when(F.size(F.coalesce(whys, F.array().cast("array<string>"))) == 0, F.lit("margin or sliver consolidation around kept content")).otherwise(F.array_join(whys, "; "))
     return rows.select("asset_id", "s", "e", n.cast("long").alias("n_evidence"), why.alias("why"))

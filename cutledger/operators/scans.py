@@ -45,9 +45,9 @@ def scan(rows: DataFrame, order: list[str], key: str = "asset_id", band: Column
             local |= {f"_l_{name}": F.lead(v).over(by), f"_t_{name}": F.first(v).over(upto)}
         else:
             raise ValueError(kind)
-    rows = rows.withColumns(values).withColumns(local)
-    if keep:
-        rows = written(rows, "scan")
+    rows = rows.withColumns(values).withColumns(local).drop(*values)
+    if keep:  # of what a band adds up to only its last row is read
+        rows = written(rows.withColumns({f"_t_{n}": F.when(F.col("_last"), F.col(f"_t_{n}")) for n in measures}), "scan")
     along = Window.partitionBy(key).orderBy("_band")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     carry = {"max_before": lambda c: F.max(c).over(earlier), "sum_to": lambda c: F.sum(c).over(earlier), "lag": lambda c: F.lag(c).over(along), "lead": lambda c: F.lead(c).over(along)}
@@ -63,5 +63,5 @@ def scan(rows: DataFrame, order: list[str], key: str = "asset_id", band: Column
             done[name] = F.when(brought.isNull(), mine).otherwise(F.coalesce(mine, F.lit(0)) + brought)
         else:
             done[name] = F.when(F.col("_first" if kind == "lag" else "_last"), brought).otherwise(mine)
-    extra = ["_band", "_first", "_last", *values, *(f"_{p}_{n}" for p in "ltc" for n in measures)]
+    extra = ["_band", "_first", "_last", *(f"_{p}_{n}" for p in "ltc" for n in measures)]
     return out.withColumns(done).drop(*extra)

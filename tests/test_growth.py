@@ -103,3 +103,8 @@ def test_directives_of_one_wish_share_their_links(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     made = {(r.sig, r.asset_id, r.s, r.e, r.kept) for r in plans.collect()}
     assert {("|sea", 1, 0, 2200, True), ("|sea", 1, 2200, 3800, False), ("|sea", 1, 3800, 10_000, True), ("|", 3, 0, 10_000, True)} <= made
+
+
+def test_evidence_that_is_only_counted_is_not_dealt_out(spark, data):
+    plan = planned(spark, data, "t28_attach_evidence")
+    assert "collect_list" not in plan and "sum(" in plan
